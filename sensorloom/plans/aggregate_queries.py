@@ -64,14 +64,14 @@ def _(spark, sf):
     with_sql(
         "readings",
         TYPED,
-        select=f"""SELECT "siteRef", unit, hour, {rs("sum(x)", 4)} AS sum, {rs("coalesce(var_samp(x), 0)", 4)} AS var,
+        select=f"""SELECT "siteRef", unit, hour, {rs("sum(x)", 4)} AS sum, {rs("coalesce(var_samp(x), 0)")} AS var,
 count(DISTINCT x) AS nunique, arg_min(x, datetime) AS first, arg_max(x, datetime) AS last, {rs("avg(x)")} AS mean, count(x) AS count
 FROM typed WHERE kind = 'num' GROUP BY ALL""",
     ),
 )
 def _(spark, sf):
     out = A.agg_numeric(typed(spark, sf), ["siteRef", "unit", "hour"], ["sum", "var", "nunique", "first", "last", "mean"])
-    return rounded(rounded(out, ["mean"]), ["sum", "var"], 4)
+    return rounded(rounded(out, ["mean", "var"]), ["sum"], 4)
 
 
 @query(

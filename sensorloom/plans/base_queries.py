@@ -50,8 +50,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     path = scratch_path(spark, "weather")
-    # One file per day folder: orders lie on few days, so rows move by day once.
-    R.write_readings_by_day(T.weather(spark, sf).repartition(F.to_date("datetime")), path, "csv")
+    R.write_readings_by_day(T.weather(spark, sf), path, "csv")
     return R.scan_weather_by_day(spark, path)
 
 

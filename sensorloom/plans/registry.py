@@ -46,7 +46,7 @@ def r(c: Column | str, places: int = 6) -> Column:
 
 def rs(expr: str, places: int = 6) -> str:
     """The same as SQL text."""
-    return f"(round({expr}, {places}) + 0.0)"
+    return f"(round(CAST({expr} AS DOUBLE), {places}) + 0.0)"
 
 
 def rounded(df: DataFrame, columns: list[str], places: int = 6) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sensorloom.functions.values import PLAIN_NUMBER_TEXT, SIGNED_PLAIN_NUMBER_TEXT
 from sensorloom.schemas import ENERGY_UNITS, READING_SCHEMA, WEATHER_SCHEMA
@@ -25,13 +25,16 @@ def check_day(day: str) -> str:
 def _day_files(spark: SparkSession, folder: str, schema, start: str | None, end: str | None) -> DataFrame:
     """All day files of a folder in one scan; the day filter prunes files before they are read."""
     day = F.regexp_extract(F.concat(F.col("_metadata.file_path"), F.lit(" ")), DAY_IN_PATH, 1)
+    # Times are read as text: exports carry a UTC offset that a plain timestamp format rejects.
+    as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     df = (
-        spark.read.schema(schema)
+        spark.read.schema(as_text)
         .option("header", True)
         .option("recursiveFileLookup", True)
         .csv(folder)
         .withColumn("day", day)
         .filter(F.col("day") != "")
+        .withColumn("datetime", F.col("datetime").try_cast("timestamp_ntz"))
     )
     if start is not None:
         df = df.filter(F.col("day") >= check_day(start)[:10])
@@ -135,6 +138,11 @@ def site_list(df: DataFrame, since: str | None = None) -> DataFrame:
 
 def write_readings_by_day(df: DataFrame, path: str, fmt: str = "parquet", ts: str = "datetime") -> None:
     """Readings as one folder per day, so that a range of days prunes to its folders."""
-    df.withColumn("date", F.to_date(ts).cast("string")).write.partitionBy("date").format(fmt).option(
-        "header", True
-    ).save(path)
+    (
+        df.withColumn("date", F.to_date(ts).cast("string"))
+        .write.partitionBy("date")
+        .format(fmt)
+        .option("header", True)
+        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        .save(path)
+    )

@@ -1,7 +1,6 @@
 """Adapter: the driver's tables as sensor data.
 
-``events`` become readings (one sensor per user and event type), ``orders`` become weather
-readings. The same definitions as SQL text are the first steps of every oracle query.
+``events`` become readings (one sensor per user and event type) and weather readings. The same definitions as SQL text are the first steps of every oracle query.
 """
 
 from __future__ import annotations
@@ -101,12 +100,12 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "orders").select(
-        F.col("o_orderdate").alias("datetime"),
+    return load(spark, sf_dir, "events").select(
+        F.col("ts").alias("datetime"),
         F.lit("weatherRef").alias("groupRef"),
-        F.col("o_orderpriority").alias("typeRef"),
+        F.concat(F.lit("UBC "), "event_type").alias("typeRef"),
         F.lit("°C").alias("unit"),
-        F.col("o_totalprice").cast("string").alias("value"),
+        F.col("value").cast("string").alias("value"),
     )
 
 
@@ -198,8 +197,8 @@ READINGS_CTE = f"""readings AS (SELECT event_id AS seq, ts AS datetime, {_SENSOR
        ELSE {_sql_pick(STATES, 'event_id')} END AS value
   FROM events)"""
 
-WEATHER_CTE = """weather AS (SELECT o_orderdate AS datetime, 'weatherRef' AS "groupRef", o_orderpriority AS "typeRef",
-  '°C' AS unit, CAST(o_totalprice AS VARCHAR) AS value FROM orders)"""
+WEATHER_CTE = """weather AS (SELECT ts AS datetime, 'weatherRef' AS "groupRef", 'UBC ' || event_type AS "typeRef",
+  '°C' AS unit, CAST(value AS VARCHAR) AS value FROM events)"""
 
 POINTS_CTE = f"""points AS (SELECT DISTINCT '@p:demo:r:1a2b ' || "equipRef" AS "equipRef",
   '@p:demo:r:1a2b ' || "groupRef" AS "groupRef", "navName", '@p:demo:r:1a2b ' || "siteRef" AS "siteRef",
