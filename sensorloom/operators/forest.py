@@ -5,10 +5,78 @@ Every round ends in a written table, so plans stay short and lost executors cost
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from sensorloom.scratch import cut_lineage
 
+# Edges a task reduces at a time; bounds its memory whatever the partition size.
+CHUNK_EDGES = 500_000
+
+
+def _find(parent: dict, node):
+    top = node
+    while parent.setdefault(top, top) != top:
+        top = parent[top]
+    while parent[node] != top:
+        parent[node], node = top, parent[node]
+    return top
+
+
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows >= CHUNK_EDGES:
+            yield pd.concat(held)
+            held, rows = [], 0
+    if held:
+        yield pd.concat(held)
+
+
+def local_stars(edges: DataFrame) -> DataFrame:
+    """Before the rounds: the edges of each chunk become stars around their smallest ids.
+
+    A partial aggregate for connectivity: the same nodes stay connected, with at most one
+    edge per node and chunk.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk in _chunks(batches):
+            parent: dict = {}
+            for a, b in zip(chunk["ra"], chunk["rb"]):
+                a, b = _find(parent, a), _find(parent, b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+            ends = [(n, _find(parent, n)) for n in parent]
+            yield pd.DataFrame([e for e in ends if e[0] != e[1]], columns=["ra", "rb"])
+
+    return edges.mapInPandas(run, "ra string, rb string")
+
+
+def local_forest(edges: DataFrame) -> DataFrame:
+    """Before the rounds: each chunk of edges drops those that close a cycle in it.
+
+    The longest edge of a cycle is in no minimum spanning tree, so nothing needed is lost.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk in _chunks(batches):
+            chunk = chunk.sort_values(["dist", "a", "b"])
+            parent: dict = {}
+            keep = []
+            for a, b in zip(chunk["a"], chunk["b"]):
+                a, b = _find(parent, a), _find(parent, b)
+                keep.append(a != b)
+                if a != b:
+                    parent[b] = a
+            yield chunk[keep]
+
+    return edges.select("a", "b", "dist").mapInPandas(run, "a string, b string, dist double")
+
 
 def roots(parents: DataFrame) -> DataFrame:
     """Follow ``parent`` to the top for every ``id``; each pass quadruples the step."""
@@ -41,7 +109,8 @@ def _relabel(edges: DataFrame, root: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, root``: the smallest id of each node's component."""
     labels = nodes.select("id", F.col("id").alias("root"))
-    live = cut_lineage(edges.select(F.col("a").alias("ra"), F.col("b").alias("rb")).filter("ra <> rb").distinct(), "edges")
+    start = edges.select(F.col("a").alias("ra"), F.col("b").alias("rb")).filter("ra <> rb").distinct()
+    live = cut_lineage(local_stars(start), "edges")
     while not live.isEmpty():
         both = live.union(live.select("rb", "ra"))
         parents = both.groupBy("ra").agg(F.min("rb").alias("m")).select(
@@ -52,7 +121,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = cut_lineage(
             labels.join(moved, "root", "left").select("id", F.coalesce("_new", "root").alias("root")), "labels"
         )
-        live = cut_lineage(_relabel(live, root).select("ra", "rb").distinct(), "edges")
+        live = cut_lineage(local_stars(_relabel(live, root).select("ra", "rb").distinct()), "edges")
     return labels
 
 
@@ -62,7 +131,8 @@ def spanning_tree(nodes: int, edges: DataFrame) -> DataFrame:
     Edges are ordered by ``dist, a, b``, which makes the result unique. ``nodes`` is the
     number of points: as many edges less one already are the tree.
     """
-    live = cut_lineage(edges.select("a", "b", "dist", F.col("a").alias("ra"), F.col("b").alias("rb")), "edges")
+    fewer = local_forest(edges.distinct())
+    live = cut_lineage(fewer.select("a", "b", "dist", F.col("a").alias("ra"), F.col("b").alias("rb")), "edges")
     if live.count() == nodes - 1:
         return live.select("a", "b", "dist")
     tree = None

@@ -10,14 +10,16 @@ from sensorloom.plans.aggregate_queries import _NC_STATS, nc_stats
 from sensorloom.plans.registry import query, rounded, rs, with_sql
 from sensorloom.plans.sqltext import NC, TAGS, TYPED
 from sensorloom.schemas import SENSOR_TAGS, STATS
+from sensorloom.scratch import cut_lineage
 
 FEATURES = [*STATS, "update_rate"]
 
 
 def sensor_points(spark, sf):
     """Sensors that are no energy meters as points: five statistics and the unit."""
-    stats = rounded(nc_stats(spark, sf), FEATURES)
-    return B.points_of(stats, F.concat_ws("|", *SENSOR_TAGS), FEATURES, ["unit"])
+    # Ranges and points both need the statistics, so they are computed once and stored.
+    stats = cut_lineage(rounded(nc_stats(spark, sf), FEATURES), "stats")
+    return cut_lineage(B.points_of(stats, F.concat_ws("|", *SENSOR_TAGS), FEATURES, ["unit"]), "points")
 
 
 _ID = " || '|' || ".join(t.strip() for t in TAGS.split(","))
