@@ -81,11 +81,11 @@ def to_members(points: DataFrame, per_profile: DataFrame, column: str) -> DataFr
     return points.join(per_profile.select("x", "c", column), ["x", "c"]).select("id", column)
 
 
-def blocked(points: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+def blocked(points: DataFrame) -> DataFrame:
     """Points with their block number, written once so that the blocks stay the same."""
     stored = cut_lineage(points, "points")
     n = stored.count()
-    parts = max(1, math.ceil(n / rows))
+    parts = max(1, math.ceil(n / BLOCK_ROWS))
     if parts == 1:
         return stored.withColumn("block", F.lit(0))
     ranged = stored.repartitionByRange(parts, "c", "x", "id").withColumn("block", F.spark_partition_id())

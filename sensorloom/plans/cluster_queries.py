@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from sensorloom.operators import blocks as B
 from sensorloom.operators import clustering as K
+from sensorloom.operators import coordinates as X
+from sensorloom.operators import linkage as L
 from sensorloom.plans.aggregate_queries import _NC_STATS, nc_stats
 from sensorloom.plans.registry import query, rounded, rs, with_sql
 from sensorloom.plans.sqltext import NC, TAGS, TYPED
@@ -103,3 +105,57 @@ def _(spark, sf):
     pts = sensor_points(spark, sf)
     labels = pts.select("id", F.col("c")[0].alias("cluster"))
     return rounded(K.silhouette(pts, labels), ["silhouette"])
+
+
+# --- linkages and coordinates ------------------------------------------------------------
+
+
+@query("agglom_average")
+def _(spark, sf):
+    return L.agglom(sensor_points(spark, sf), 20, "average")
+
+
+@query("agglom_complete")
+def _(spark, sf):
+    return L.agglom(sensor_points(spark, sf), 20, "complete")
+
+
+def _coords(spark, sf):
+    """Sensors by their scaled mean and update rate."""
+    pts = sensor_points(spark, sf)
+    return pts.select("id", F.array(F.col("x")[0], F.col("x")[4]).alias("x"))
+
+
+@query("agglom_ward")
+def _(spark, sf):
+    return L.ward(X.as_points(_coords(spark, sf)), 20)
+
+
+@query("mds_2d")
+def _(spark, sf):
+    return X.mds_2d(sensor_points(spark, sf), max_iter=10)
+
+
+@query("kmeans")
+def _(spark, sf):
+    return X.kmeans(_coords(spark, sf), 5, starts=3)
+
+
+@query("gmm")
+def _(spark, sf):
+    return X.gmm(_coords(spark, sf), 4, starts=2)
+
+
+@query("vb_gmm")
+def _(spark, sf):
+    return X.vb_gmm(_coords(spark, sf), 4)
+
+
+@query("mean_shift")
+def _(spark, sf):
+    return X.mean_shift(_coords(spark, sf))
+
+
+@query("fuzzy_cmeans")
+def _(spark, sf):
+    return X.fuzzy_cmeans(_coords(spark, sf), 5).select("id", "cluster")
