@@ -23,9 +23,16 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _plain(v: Column) -> Column:
+    """Only digits, signs, points, exponents and blanks: a cast alone tells numbers from texts."""
+    return F.translate(v, "0123456789+-.eE ", "") == ""
+
+
 def is_number(value: Column | str) -> Column:
+    """Whether a text is a number. Patterns are matched only where a cast cannot decide."""
     v = _col(value)
-    return F.coalesce(v.rlike(NUMBER_TEXT) | v.rlike(NON_FINITE_TEXT), F.lit(False))
+    odd = v.rlike(NUMBER_TEXT) | v.rlike(NON_FINITE_TEXT)
+    return F.coalesce(F.when(_plain(v), v.try_cast("double").isNotNull()).otherwise(odd), F.lit(False))
 
 
 def value_type(value: Column | str = "value") -> Column:
@@ -37,9 +44,9 @@ def value_type(value: Column | str = "value") -> Column:
 def numeric_value(value: Column | str = "value") -> Column:
     """The number a text stands for, null where it is none (NaN stays NaN)."""
     v = _col(value)
-    return F.when(
-        is_number(v), F.regexp_replace(F.trim(F.regexp_replace(v, r"\s", " ")), "_", "").try_cast("double")
-    )
+    bare = F.replace(F.trim(F.regexp_replace(v, r"\s", " ")), F.lit("_"), F.lit(""))
+    odd = v.rlike(NUMBER_TEXT) | v.rlike(NON_FINITE_TEXT)
+    return F.when(_plain(v), v.try_cast("double")).when(odd, F.regexp_replace(bare, r"^\+", "").try_cast("double"))
 
 
 def bool_value(value: Column | str = "value") -> Column:

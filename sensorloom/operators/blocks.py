@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sensorloom.scratch import cut_lineage
+from sensorloom.scratch import cut_lineage, spread
 
 BLOCK_ROWS = 1024
 
@@ -147,7 +147,8 @@ def block_pairs(
     else:
         first, last = F.lit(0), right.agg(F.max("block")).first()[0]
     pairs = a.withColumn("b2", F.explode(F.sequence(first, F.lit(last))))
-    pairs = pairs.join(b, "b2")
+    # The join needs this partitioning; the fixed number of tasks fits the work, not the bytes.
+    pairs = spread(pairs, "b2").join(b, "b2")
     if within is not None and metric is gower:
         pairs = pairs.filter(_gower_box_bound() <= within + 1e-9)
     return pairs.select(*[f"{k}{t}" for t in "12" for k in ("b", "ids", "xs", "cs", "es", "n")])

@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from sensorloom.scratch import spread
+
 # The penalties to choose from.
 ALPHAS = [1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0, 1e3, 1e4, 1e5, 1e6, 1e7, 1e8]
 
@@ -88,7 +90,7 @@ def ridge_fit(joined: DataFrame, alpha: float | None = None, alphas: Sequence[fl
             }
         )
 
-    return joined.groupBy("uniqueId").applyInPandas(fit, MODEL_SCHEMA)
+    return spread(joined, "uniqueId").groupBy("uniqueId").applyInPandas(fit, MODEL_SCHEMA)
 
 
 def ridge_mse(joined: DataFrame, models: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ from sensorloom.plans.sqltext import (
     stats_sql,
 )
 from sensorloom.schemas import SENSOR_TAGS, STATS
+from sensorloom.scratch import cut_lineage
 from sensorloom.sources import metadata as M
 from sensorloom.sources import readings as R
 from sensorloom.sources import tables as T
@@ -396,7 +397,8 @@ _SCALED = [*STATS, "update_rate"]
              select=f"SELECT {TAGS}, " + ", ".join(f"{rs(_minmax(c, 'nc_stats'))} AS {c}" for c in _SCALED) + " FROM nc_stats"),
 )
 def _(spark, sf):
-    return rounded(E.min_max_scale(nc_stats(spark, sf), _SCALED), _SCALED)
+    # Bounds and rows both read the statistics, so they are computed once and stored.
+    return rounded(E.min_max_scale(cut_lineage(nc_stats(spark, sf), "stats"), _SCALED), _SCALED)
 
 
 @query(

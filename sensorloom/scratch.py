@@ -38,3 +38,13 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partition by columns into the session's number of shuffle partitions.
+
+    For costly Python work per group: the grouping needs this shuffle anyway, and a fixed
+    number keeps adaptive execution from merging small rows with much work into one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *columns)
