@@ -110,6 +110,74 @@ def state_changes(
     )
 
 
+def previous_value(
+    df: DataFrame, keys: Sequence[str], column: str, order: Sequence[str] = ("datetime", "seq"), out: str = "previous"
+) -> DataFrame:
+    """Readings with the value before them in time order of their group; the first has none.
+
+    As for state changes, the order is taken minute by minute: only the first reading of a
+    minute looks up the last one of the minute before.
+    """
+    rows = with_keys(df, keys).withColumn("_m", minute_of_time(order[0]))
+    inside = Window.partitionBy(*keys, "_m").orderBy(*order)
+    last = rows.groupBy(*keys, "_m").agg(F.max_by(F.struct(column), F.struct(*order)).alias("_last"))
+    across = Window.partitionBy(*keys).orderBy("_m")
+    before = last.select(*keys, "_m", F.lag("_last").over(across)[column].alias("_before"))
+    first = F.row_number().over(inside) == 1
+    return (
+        rows.withColumns({"_first": first, "_lag": F.lag(column).over(inside)})
+        .join(before, [*keys, "_m"])
+        .withColumn(out, F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_lag")))
+        .select(*df.columns, out)
+    )
+
+
+# Slices a group's range is cut into per pass of the median search.
+MEDIAN_SLICES = 1024
+
+
+def agg_median(df: DataFrame, keys: Sequence[str], value: str = "value", passes: int = 2) -> DataFrame:
+    """Exact median of the numeric values per key, and their count.
+
+    No group is gathered: each pass counts the values of a group in equal slices of its
+    range and goes on with the one or two slices that hold the middle ranks. What is left
+    is ordered as distinct values with counts.
+    """
+    keys = list(keys)
+    x = F.nanvl(F.col("_x"), F.lit(None).cast("double"))
+    counted = (
+        with_keys(df, keys).filter(value_type(value) == "num").withColumn("_x", numeric_value(value))
+        .select(*keys, x.alias("_x")).filter("_x is not null").groupBy(*keys, "_x").agg(F.count("*").alias("_n"))
+    )
+    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("count"))
+    rest = counted.join(totals, keys).withColumns(
+        {"_r1": F.floor((F.col("count") + 1) / 2), "_r2": F.floor(F.col("count") / 2) + 1}
+    )
+    for _ in range(passes):
+        # Both middle ranks must lie in what is kept, so their slices and all between stay.
+        span = rest.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        width = F.col("_hi") - F.col("_lo")
+        part = F.coalesce(F.floor(F.try_divide((F.col("_x") - F.col("_lo")) * MEDIAN_SLICES, width)), F.lit(0))
+        sliced = rest.join(span, keys).withColumn("_s", part).drop("_lo", "_hi")
+        sizes = sliced.groupBy(*keys, "_s").agg(F.sum("_n").alias("_sn"))
+        up = Window.partitionBy(*keys).orderBy("_s")
+        below = sizes.withColumn("_below", F.sum("_sn").over(up) - F.col("_sn")).withColumnRenamed("_s", "_t")
+        both = sliced.withColumnRenamed("_s", "_t").join(below, [*keys, "_t"])
+        held = (F.col("_below") < F.col("_r2")) & (F.col("_below") + F.col("_sn") >= F.col("_r1"))
+        kept = both.filter(held)
+        gone = kept.groupBy(*keys).agg(F.min("_below").alias("_cut"))
+        rest = kept.join(gone, keys).select(
+            *keys, "_x", "_n", "count", (F.col("_r1") - F.col("_cut")).alias("_r1"), (F.col("_r2") - F.col("_cut")).alias("_r2")
+        )
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_x"))
+    ranked = rest.withColumn("_u", upto)
+
+    def at(rank: str) -> Column:
+        return F.min(F.when(F.col("_u") >= F.col(rank), F.col("_x")))
+
+    return ranked.groupBy(*keys).agg(((at("_r1") + at("_r2")) / 2).alias("median"), F.first("count").alias("count"))
+
+
 def _fold_hours(hours: DataFrame, keys: Sequence[str], how: str | Sequence[str]) -> DataFrame:
     names = _names(how)
     c = F.col("changes").cast("double")

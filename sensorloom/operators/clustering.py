@@ -65,25 +65,24 @@ def dbscan(points: DataFrame, eps: float = 0.15, min_samples: int = 5, metric: M
     core = rated.filter("core")
     edges = spanning_candidates(core, eps, metric)
     named = cut_lineage(components(core, edges), "cores")
-    # The order of names as numbers, so that the task can take a minimum.
-    order = named.select("root").distinct().withColumn("no", F.dense_rank().over(Window.orderBy("root")).cast("double"))
-    numbered = core.join(named, "id").join(order, "root")
+    # Core points carry the name of their cluster in front of their id.
+    numbered = core.join(named, "id").withColumn("id", F.concat_ws("\u0001", "root", "id"))
 
     def reach(a: Block, b: Block, same: bool):
         near = metric(a, b) <= eps
-        no = np.where(near, b.extra[:, 0][None, :], np.inf).min(axis=1)
-        hit = np.isfinite(no)
-        return {"id": a.ids[hit], "no": no[hit]} if hit.any() else None
+        names, number = np.unique(np.array([str(i).split("\u0001", 1)[0] for i in b.ids]), return_inverse=True)
+        first = np.where(near, number[None, :], len(names)).min(axis=1)
+        hit = first < len(names)
+        return {"id": a.ids[hit], "cluster": names[first[hit]]} if hit.any() else None
 
     edge = rated.filter("not core")
     if core.isEmpty() or edge.isEmpty():
-        border = spark_empty(points, "id string, no double")
+        border = spark_empty(points, "id string, cluster string")
     else:
-        pairs = block_pairs(edge, numbered, right_extra=["no"], within=eps, metric=metric)
-        border = reduce_pairs(pairs, reach, "id string, no double").groupBy("id").agg(F.min("no").alias("no"))
-    placed = named.select("id", F.col("root").alias("cluster")).union(
-        border.join(order, "no").select("id", F.col("root").alias("cluster"))
-    )
+        pairs = block_pairs(edge, numbered, within=eps, metric=metric)
+        found = reduce_pairs(pairs, reach, "id string, cluster string")
+        border = found.groupBy("id").agg(F.min("cluster").alias("cluster"))
+    placed = named.select("id", F.col("root").alias("cluster")).union(border)
     out = rated.select("id", "x", "c").join(placed, "id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(NOISE)))
     return to_members(points, out, "cluster")
 

@@ -14,7 +14,7 @@ from sensorloom.scratch import spread
 ALPHAS = [1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0, 1e3, 1e4, 1e5, 1e6, 1e7, 1e8]
 
 # Penalties whose errors differ by less than this share count as equal; the smallest wins.
-LOO_TIE = 1e-6
+LOO_TIE = 1e-4
 
 MODEL_SCHEMA = "uniqueId string, alpha double, intercept double, coefficients array<double>, mse double, hours long"
 

@@ -66,13 +66,13 @@ def _(spark, sf):
         "readings",
         TYPED,
         select=f"""SELECT "siteRef", unit, hour, {rs("sum(x)", 4)} AS sum, {rs("coalesce(var_samp(x), 0)")} AS var,
-count(DISTINCT x) AS nunique, arg_min(x, datetime) AS first, arg_max(x, datetime) AS last, {rs("avg(x)")} AS mean, count(x) AS count
+count(DISTINCT x) AS nunique, arg_min(x, datetime) AS first, arg_max(x, datetime) AS last, {rs("avg(x)", 8)} AS mean, count(x) AS count
 FROM typed WHERE kind = 'num' GROUP BY ALL""",
     ),
 )
 def _(spark, sf):
     out = A.agg_numeric(typed(spark, sf), ["siteRef", "unit", "hour"], ["sum", "var", "nunique", "first", "last", "mean"])
-    return rounded(rounded(out, ["mean", "var"]), ["sum"], 4)
+    return rounded(rounded(rounded(out, ["mean"], 8), ["var"]), ["sum"], 4)
 
 
 @query(
@@ -486,7 +486,12 @@ def _(spark, sf):
     with_sql("readings", select=f"SELECT seq, lag(seq) OVER (PARTITION BY {TAGS} ORDER BY datetime, seq) AS previous FROM readings"),
 )
 def _(spark, sf):
-    from pyspark.sql import Window
+    return A.previous_value(T.readings(spark, sf), SENSOR_TAGS, "seq").select("seq", "previous")
 
-    w = Window.partitionBy(*SENSOR_TAGS).orderBy("datetime", "seq")
-    return T.readings(spark, sf).select("seq", F.lag("seq").over(w).alias("previous"))
+
+@query(
+    "agg_numeric_median",
+    with_sql("readings", TYPED, select=f"""SELECT "siteRef", unit, {rs("median(x)")} AS median, count(x) AS count FROM typed WHERE kind = 'num' GROUP BY ALL"""),
+)
+def _(spark, sf):
+    return rounded(A.agg_median(typed(spark, sf), ["siteRef", "unit"]), ["median"])

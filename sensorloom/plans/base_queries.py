@@ -150,6 +150,12 @@ def _(spark, sf):
     return cut_lineage(df, "step")
 
 
+@query("checkpoint_read", with_sql("readings", TYPED, select="SELECT kind, count(*) AS n FROM typed GROUP BY 1"))
+def _(spark, sf):
+    stored = cut_lineage(T.readings(spark, sf).select("seq", values.value_type().alias("kind")), "step")
+    return stored.groupBy("kind").agg(F.count("*").alias("n"))
+
+
 @query("labels_write", with_sql("enduse", select='SELECT "uniqueID", "endUseLabel" FROM enduse'))
 def _(spark, sf):
     path = scratch_path(spark, "enduse")

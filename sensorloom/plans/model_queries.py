@@ -57,7 +57,7 @@ al AS (SELECT unnest({_ALPHA_LIST})::DOUBLE AS alpha),
 e AS (SELECT "uniqueId", alpha, avg(CASE WHEN 1 - (1.0 / n + xc * xc / (sxx + alpha)) > 1e-12
   THEN pow((yc - xc * sxy / (sxx + alpha)) / (1 - (1.0 / n + xc * xc / (sxx + alpha))), 2) ELSE 0 END) AS loo FROM s, al GROUP BY 1, 2)""",
         select=f"""SELECT "uniqueId", min(alpha) AS alpha FROM (SELECT *, min(loo) OVER (PARTITION BY "uniqueId") AS best FROM e)
-WHERE loo <= best * (1 + 1e-6) + 1e-15 GROUP BY 1""",
+WHERE loo <= best * (1 + 1e-4) + 1e-15 GROUP BY 1""",
     ),
 )
 def _(spark, sf):
@@ -371,8 +371,6 @@ def _two_results(spark, sf):
 
 def _named(cte: str, tag: str) -> str:
     """The prediction steps of one model under names of their own."""
-    for step in ("pred", "votes", "d AS", "top", "ll AS"):
-        pass
     return cte.replace("pred AS", f"pred_{tag} AS")
 
 

@@ -107,3 +107,16 @@ def test_codes_and_folds(spark):
     assert train.count() + test.count() == 200
     again = E.train_test_split(df.repartition(7), "seq", 0.3)[1]
     assert {r["seq"] for r in test.collect()} == {r["seq"] for r in again.collect()}
+
+
+def test_median_and_previous_value(spark):
+    rng = random.Random(4)
+    rows = [(T(2020, 1, 1) + datetime.timedelta(seconds=7 * i), rng.choice("abb"), repr(rng.choice([1.0, 2.0, rng.random() ** 9, 1e6 * rng.random()]))) for i in range(3001)]
+    df = frame(spark, rows)
+    want = {k: statistics.median(float(v) for _, g, v in rows if g == k) for k in "ab"}
+    assert {r["k"]: r["median"] for r in A.agg_median(df, ["k"]).collect()} == pytest.approx(want, rel=1e-12)
+    last, expected = {}, {}
+    for i, (_, k, _) in enumerate(rows):
+        expected[i] = last.get(k)
+        last[k] = i
+    assert {r["seq"]: r["previous"] for r in A.previous_value(df, ["k"], "seq").collect()} == expected

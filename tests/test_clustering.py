@@ -68,16 +68,18 @@ def test_near_pairs_and_weights(spark, block_rows):
 
 
 @pytest.mark.parametrize("how", ["single", "average", "complete"])
-def test_linkages_match_the_naive_algorithm(spark, block_rows, how):
-    rows, df = make(spark, n=40, copies=20)
+def test_linkages_match_the_naive_algorithm(spark, monkeypatch, how):
+    monkeypatch.setattr(B, "BLOCK_ROWS", 10)
+    rows, df = make(spark, n=28, copies=10)
     run = (lambda: K.agglom_single(df, 5)) if how == "single" else (lambda: L.agglom(df, 5, how))
     got = partition((r["id"], r["cluster"]) for r in run().collect())
     want = {frozenset(rows[i][0] for i in g) for g in naive_linkage(gower_matrix(rows), 5, how)}
     assert got == want
 
 
-def test_ward_matches_the_naive_algorithm(spark, block_rows):
-    rows, df = make(spark, n=40, cats=None, copies=10)
+def test_ward_matches_the_naive_algorithm(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK_ROWS", 10)
+    rows, df = make(spark, n=28, cats=None, copies=10)
     groups = [[i] for i in range(len(rows))]
     x = np.array([r[1] for r in rows])
     while len(groups) > 4:
@@ -195,7 +197,7 @@ def test_fuzzy_memberships_add_up(spark):
 def test_mds_keeps_planar_distances(spark, block_rows):
     rows, df = make(spark, n=30, cats=None, copies=0)
     x = np.array([r[1] for r in rows])
-    got = {r["id"]: r["x"] for r in X.mds_2d(df, max_iter=25, eps=1e-6, metric=B.euclidean).collect()}
+    got = {r["id"]: r["x"] for r in X.mds_2d(df, max_iter=12, eps=1e-6, metric=B.euclidean).collect()}
     y = np.array([got[r[0]] for r in rows])
     dx = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     dy = np.sqrt(((y[:, None] - y[None]) ** 2).sum(-1))
