@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sensorloom.functions.values import bool_value, minute_of_time, numeric_value, value_type
 from sensorloom.schemas import STATS
+from sensorloom.scratch import cut_lineage
 
 # Aggregate names to functions; all are mergeable, so none gathers a group in one task.
 AGGREGATES = {
@@ -145,35 +146,31 @@ def agg_median(df: DataFrame, keys: Sequence[str], value: str = "value", passes:
     """
     keys = list(keys)
     x = F.nanvl(F.col("_x"), F.lit(None).cast("double"))
-    counted = (
-        with_keys(df, keys).filter(value_type(value) == "num").withColumn("_x", numeric_value(value))
-        .select(*keys, x.alias("_x")).filter("_x is not null").groupBy(*keys, "_x").agg(F.count("*").alias("_n"))
-    )
-    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("count"))
-    rest = counted.join(totals, keys).withColumns(
-        {"_r1": F.floor((F.col("count") + 1) / 2), "_r2": F.floor(F.col("count") / 2) + 1}
+    numbers = with_keys(df, keys).filter(value_type(value) == "num").withColumn("_x", numeric_value(value))
+    counted = numbers.select(*keys, x.alias("_x")).filter("_x is not null").groupBy(*keys, "_x").agg(F.count("*").alias("_n"))
+    # Every pass reads the remaining values three times, so they are stored.
+    rest = cut_lineage(counted, "median")
+    n = F.col("count")
+    ranks = rest.groupBy(*keys).agg(F.sum("_n").alias("count")).select(
+        *keys, "count", F.floor((n + 1) / 2).alias("_r1"), (F.floor(n / 2) + 1).alias("_r2"), F.lit(0).cast("long").alias("_cut")
     )
     for _ in range(passes):
-        # Both middle ranks must lie in what is kept, so their slices and all between stay.
         span = rest.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-        width = F.col("_hi") - F.col("_lo")
-        part = F.coalesce(F.floor(F.try_divide((F.col("_x") - F.col("_lo")) * MEDIAN_SLICES, width)), F.lit(0))
-        sliced = rest.join(span, keys).withColumn("_s", part).drop("_lo", "_hi")
-        sizes = sliced.groupBy(*keys, "_s").agg(F.sum("_n").alias("_sn"))
+        part = F.floor(F.try_divide((F.col("_x") - F.col("_lo")) * MEDIAN_SLICES, F.col("_hi") - F.col("_lo")))
+        sliced = rest.join(span, keys).withColumn("_s", F.coalesce(part, F.lit(0))).drop("_lo", "_hi")
+        # One row per group and slice from here on.
         up = Window.partitionBy(*keys).orderBy("_s")
-        below = sizes.withColumn("_below", F.sum("_sn").over(up) - F.col("_sn")).withColumnRenamed("_s", "_t")
-        both = sliced.withColumnRenamed("_s", "_t").join(below, [*keys, "_t"])
-        held = (F.col("_below") < F.col("_r2")) & (F.col("_below") + F.col("_sn") >= F.col("_r1"))
-        kept = both.filter(held)
-        gone = kept.groupBy(*keys).agg(F.min("_below").alias("_cut"))
-        rest = kept.join(gone, keys).select(
-            *keys, "_x", "_n", "count", (F.col("_r1") - F.col("_cut")).alias("_r1"), (F.col("_r2") - F.col("_cut")).alias("_r2")
-        )
+        sizes = sliced.groupBy(*keys, "_s").agg(F.sum("_n").alias("_sn")).withColumn("_below", F.sum("_sn").over(up) - F.col("_sn"))
+        below = F.col("_below") + F.col("_cut")
+        held = sizes.join(ranks, keys).filter((below < F.col("_r2")) & (below + F.col("_sn") >= F.col("_r1")))
+        held = cut_lineage(held.select(*keys, "_s", "count", "_r1", "_r2", below.alias("_b")), "median")
+        rest = cut_lineage(sliced.join(held.select(*keys, "_s"), [*keys, "_s"]).drop("_s"), "median")
+        ranks = held.groupBy(*keys, "count", "_r1", "_r2").agg(F.min("_b").alias("_cut"))
     upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_x"))
-    ranked = rest.withColumn("_u", upto)
+    ranked = rest.withColumn("_u", upto).join(ranks, keys)
 
     def at(rank: str) -> Column:
-        return F.min(F.when(F.col("_u") >= F.col(rank), F.col("_x")))
+        return F.min(F.when(F.col("_u") + F.col("_cut") >= F.col(rank), F.col("_x")))
 
     return ranked.groupBy(*keys).agg(((at("_r1") + at("_r2")) / 2).alias("median"), F.first("count").alias("count"))
 
