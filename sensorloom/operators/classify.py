@@ -119,7 +119,9 @@ def clf_kernel_svm(train, test, components: int = 100, seed: int = 0):
         )
         return df.withColumn("features", array_to_vector(z)).drop("_x")
 
-    return _one_vs_rest(LinearSVC(maxIter=50, regParam=1.0 / max(train.count(), 1)), lift(train), lift(test))
+    # Every iteration reads the lifted rows, so they are computed once.
+    lifted = cut_lineage(lift(train), "lifted")
+    return _one_vs_rest(LinearSVC(maxIter=50, regParam=1.0 / max(lifted.count(), 1)), lifted, lift(test))
 
 
 def clf_adaboost(train, test, rounds: int = TREES, seed: int = 0):

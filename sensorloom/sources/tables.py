@@ -103,7 +103,7 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select(
         F.col("ts").alias("datetime"),
         F.lit("weatherRef").alias("groupRef"),
-        F.concat(F.lit("UBC "), "event_type").alias("typeRef"),
+        F.concat(F.lit("Outdoor "), "event_type").alias("typeRef"),
         F.lit("°C").alias("unit"),
         F.col("value").cast("string").alias("value"),
     )
@@ -197,7 +197,7 @@ READINGS_CTE = f"""readings AS (SELECT event_id AS seq, ts AS datetime, {_SENSOR
        ELSE {_sql_pick(STATES, 'event_id')} END AS value
   FROM events)"""
 
-WEATHER_CTE = """weather AS (SELECT ts AS datetime, 'weatherRef' AS "groupRef", 'UBC ' || event_type AS "typeRef",
+WEATHER_CTE = """weather AS (SELECT ts AS datetime, 'weatherRef' AS "groupRef", 'Outdoor ' || event_type AS "typeRef",
   '°C' AS unit, CAST(value AS VARCHAR) AS value FROM events)"""
 
 POINTS_CTE = f"""points AS (SELECT DISTINCT '@p:demo:r:1a2b ' || "equipRef" AS "equipRef",
