@@ -23,7 +23,9 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = _local_root.setdefault(app, tempfile.mkdtemp(prefix="sensorloom-"))
+        if app not in _local_root:
+            _local_root[app] = tempfile.mkdtemp(prefix="sensorloom-")
+        root = _local_root[app]
     return f"{root.rstrip('/')}/sensorloom/{app}"
 
 
