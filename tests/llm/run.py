@@ -1,0 +1,8 @@
+"""Compare the operators' queries with SQL: ``python -m tests.llm.run [sf] [query ...]``."""
+
+import sys
+
+from tests.oracle import main
+
+if __name__ == "__main__":
+    main(sys.argv[1:])
