@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sensorloom.llm.common import table
 from sensorloom.llm.exact_dedup import exact_duplicates
+from sensorloom.llm.token_files import read_tokens, write_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +36,9 @@ def query(name: str, sql: str | None = None):
 )
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op6_token_files")
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, parts = write_tokens(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return read_tokens(folder, parts)
