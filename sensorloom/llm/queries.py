@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sensorloom.llm.common import table
 from sensorloom.llm.exact_dedup import exact_duplicates
+from sensorloom.llm.sharding import shard_documents
 from sensorloom.llm.token_files import read_tokens, write_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +43,11 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, parts = write_tokens(table(spark, sf_dir, "documents", "doc_id", "text"))
     return read_tokens(folder, parts)
+
+
+@query("op5_shards")
+def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"), shards=40)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
