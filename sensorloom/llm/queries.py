@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sensorloom.llm.common import table
 from sensorloom.llm.exact_dedup import exact_duplicates
+from sensorloom.llm.packing import pack
 from sensorloom.llm.sharding import shard_documents
 from sensorloom.llm.token_files import read_tokens, write_tokens
 
@@ -51,3 +52,8 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query("op4_packing")
+def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents", "doc_id", "text"))
