@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sensorloom.llm.chat import SLICE_TURNS, format_chats
 from sensorloom.llm.common import table
 from sensorloom.llm.exact_dedup import exact_duplicates
 from sensorloom.llm.packing import pack
@@ -57,3 +58,24 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_packing")
 def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query(
+    "op2_chat_format",
+    f"""
+    WITH t AS (
+      SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+    r AS (
+      SELECT *, row_number() OVER w AS j, count(*) OVER (PARTITION BY conv_id) AS n,
+             string_agg(md5(role || chr(10) || text), '') OVER w AS prefix
+      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)),
+    kept AS (
+      SELECT min(conv_id) AS conv_id FROM r
+      WHERE j = n AND prefix NOT IN (SELECT prefix FROM r WHERE j < n) GROUP BY prefix)
+    SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn // {SLICE_TURNS}) - 1 AS INTEGER) AS part,
+           CAST(count(*) AS INTEGER) AS turns,
+           string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS text
+    FROM t JOIN kept USING (conv_id) GROUP BY conv_id, turn // {SLICE_TURNS}""",
+)
+def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
