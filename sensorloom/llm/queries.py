@@ -11,6 +11,7 @@ from sensorloom.llm.common import table
 from sensorloom.llm.exact_dedup import exact_duplicates
 from sensorloom.llm.packing import pack
 from sensorloom.llm.sharding import shard_documents
+from sensorloom.llm.url_filter import judge_urls
 from sensorloom.llm.token_files import read_tokens, write_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +80,8 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+@query("op3_url_filter")
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
