@@ -10,6 +10,7 @@ from sensorloom.llm.chat import SLICE_TURNS, format_chats
 from sensorloom.llm.common import table
 from sensorloom.llm.exact_dedup import exact_duplicates
 from sensorloom.llm.packing import pack
+from sensorloom.llm.quality import grade_documents
 from sensorloom.llm.sharding import shard_documents
 from sensorloom.llm.url_filter import judge_urls
 from sensorloom.llm.token_files import read_tokens, write_tokens
@@ -85,3 +86,9 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_url_filter")
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
+@query("op9_quality")
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return grade_documents(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
