@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sensorloom.llm.chat import SLICE_TURNS, format_chats
 from sensorloom.llm.common import table
+from sensorloom.llm.decontaminate import contaminated
 from sensorloom.llm.exact_dedup import exact_duplicates
 from sensorloom.llm.packing import pack
 from sensorloom.llm.quality import grade_documents
@@ -92,3 +93,8 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return grade_documents(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
+@query("op1_decontamination")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
