@@ -10,6 +10,7 @@ from sensorloom.llm.chat import SLICE_TURNS, format_chats
 from sensorloom.llm.common import table
 from sensorloom.llm.decontaminate import contaminated
 from sensorloom.llm.exact_dedup import exact_duplicates
+from sensorloom.llm.jaccard_join import near_duplicates
 from sensorloom.llm.packing import pack
 from sensorloom.llm.quality import grade_documents
 from sensorloom.llm.sharding import shard_documents
@@ -98,3 +99,8 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_decontamination")
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+@query("op10_jaccard_join")
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
