@@ -11,6 +11,7 @@ from sensorloom.llm.common import table
 from sensorloom.llm.decontaminate import contaminated
 from sensorloom.llm.exact_dedup import exact_duplicates
 from sensorloom.llm.jaccard_join import near_duplicates
+from sensorloom.llm.line_dedup import cut_repeats
 from sensorloom.llm.packing import pack
 from sensorloom.llm.quality import grade_documents
 from sensorloom.llm.sharding import shard_documents
@@ -104,3 +105,15 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_jaccard_join")
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op7_line_dedup")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = cut_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return cut.select(
+        "doc_id",
+        "text",
+        F.col("__words").alias("n_words"),
+        F.col("__removed").alias("removed_words"),
+        F.col("__runs").alias("removed_runs"),
+    )
