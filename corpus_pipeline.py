@@ -1,14 +1,57 @@
-"""From raw documents to packed training sequences: the operators of ``sensorloom.llm`` in a row."""
+"""From raw documents to packed training sequences: five operators of ``sensorloom.llm`` in a row.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that the stage before it kept.
+All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sensorloom.llm.common import table
+from sensorloom.llm.decontaminate import decontaminate
+from sensorloom.llm.jaccard_join import one_of_each_group
+from sensorloom.llm.line_dedup import without_repeats
+from sensorloom.llm.packing import pack
+from sensorloom.llm.quality import keep_good
 from sensorloom.scratch import cut_lineage
 
-STAGES: list = []
 
-#: No SQL can express the trained classifier and the solved packing; tests use brute force.
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labels, grades good."""
+    return keep_good(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without runs of words that an earlier one has; those of which nothing is left go."""
+    return without_repeats(docs)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return one_of_each_group(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens in sequences of a window."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("packing", packing),
+]
+
+#: SQL can express neither the trained classifier nor the solved packing; the tests hold each
+#: stage against a brute-force version instead.
 ORACLE_SQL = None
 
 

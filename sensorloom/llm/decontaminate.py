@@ -132,41 +132,70 @@ def passages(n_words: int, longest: int) -> np.ndarray:
     return np.arange(0, max(1, n_words - longest), longest)
 
 
-def _search(index, threshold: float, overlap: float):
+def found_in(index: Index, texts: list[str | None], threshold: float, overlap: float) -> list[tuple]:
+    """Rows ``(text number, item number, score, question overlap, answer overlap)`` of verified items."""
+    w = Words(texts, MARKS)
+    term = index.term_of(w.hashes)
+    at = np.flatnonzero(term >= 0)
+    doc = np.searchsorted(w.bounds, at, "right") - 1
+    stride = index.longest
+    window = (at - w.bounds[doc]) // stride
+    last = np.maximum(0, -(-(np.diff(w.bounds) - stride) // stride) - 1)
+    base = np.concatenate(([0], np.cumsum(last + 1)))
+    # A word is in the passage that starts in its stride and in the one before.
+    in_own, in_before = window <= last[doc], window >= 1
+    passage = np.concatenate([(base[doc] + window)[in_own], (base[doc] + window - 1)[in_before]])
+    words = np.concatenate([term[at][in_own], term[at][in_before]])
+    size = len(index.words)
+    pair = np.unique(passage * size + words)
+    out = []
+    for p, item, score in zip(*(h.tolist() for h in index.search(pair // size, pair % size, int(base[-1]), threshold))):
+        d = int(np.searchsorted(base, p, "right")) - 1
+        start = w.bounds[d] + (p - base[d]) * stride
+        question, answer = index.overlaps(item, w.hashes[start : min(start + 2 * stride, w.bounds[d + 1])])
+        if min(question, answer) >= overlap:
+            out.append((d, item, score, question, answer))
+    return out
+
+
+def _report(sent, threshold: float, overlap: float):
+    names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = pickle.loads(index.value)
+        index = pickle.loads(sent.value)
         for batch in batches:
             for part in pieces(batch, "text", 1 << 20):
-                w = Words(part.column(1).to_pylist(), MARKS)
-                term = found.term_of(w.hashes)
-                at = np.flatnonzero(term >= 0)
-                doc = np.searchsorted(w.bounds, at, "right") - 1
-                window = (at - w.bounds[doc]) // found.longest
-                last = np.maximum(0, -(-(np.diff(w.bounds) - found.longest) // found.longest) - 1)
-                base = np.concatenate(([0], np.cumsum(last + 1)))
-                # A word is in the passage that starts in its stride and in the one before.
-                in_own, in_before = window <= last[doc], window >= 1
-                passage = np.concatenate([(base[doc] + window)[in_own], (base[doc] + window - 1)[in_before]])
-                words = np.concatenate([term[at][in_own], term[at][in_before]])
-                size = len(found.words)
-                pair = np.unique(passage * size + words)
-                hits = found.search(pair // size, pair % size, int(base[-1]), threshold)
-                rows: list[tuple] = []
-                ids = part.column(0).to_pylist()
-                for p, item, score in zip(*(h.tolist() for h in hits)):
-                    d = int(np.searchsorted(base, p, "right")) - 1
-                    start = w.bounds[d] + (p - base[d]) * found.longest
-                    question, answer = found.overlaps(item, w.hashes[start : min(start + 2 * found.longest, w.bounds[d + 1])])
-                    if min(question, answer) >= overlap:
-                        rows.append((ids[d], found.ids[item], score, question, answer))
+                ids = part.column("doc_id").to_pylist()
+                rows = found_in(index, part.column("text").to_pylist(), threshold, overlap)
+                rows = [(ids[d], index.ids[item], *figures) for d, item, *figures in rows]
                 columns = list(zip(*rows)) if rows else [[]] * 5
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-                names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     return run
 
 
+def _drop(sent, threshold: float, overlap: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = pickle.loads(sent.value)
+        for batch in batches:
+            for part in pieces(batch, "text", 1 << 20):
+                clean = np.ones(part.num_rows, bool)
+                clean[[r[0] for r in found_in(index, part.column("text").to_pylist(), threshold, overlap)]] = False
+                yield part.filter(pa.array(clean))
+
+    return run
+
+
+def _indexes(spark: SparkSession, items: DataFrame) -> Iterator:
+    """A broadcast index for each shard of the items; its size is bounded by the shard's limits."""
+    names = ["question", "answer"] if {"question", "answer"} <= set(items.columns) else ["text"]
+    for shard in _shards(items.select(F.col("item_id").cast("long").alias("item_id"), *names)):
+        index = Index(shard)
+        if index.ids:
+            yield spark.sparkContext.broadcast(pickle.dumps(index))
+
+
 def _shards(items: DataFrame) -> Iterator[list[tuple]]:
     """Item rows in shards of bounded rows and bytes, one shard on the driver at a time."""
     shard, size = [], 0
@@ -190,16 +219,18 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     Null texts are empty. Rows that repeat an id give one pair per item; a null id is an id.
     Empty tables give an empty result.
     """
-    spark: SparkSession = docs.sparkSession
+    spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    names = ["question", "answer"] if {"question", "answer"} <= set(items.columns) else ["text"]
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), *names)
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     found = spark.createDataFrame([], schema)
-    for shard in _shards(rows):
-        index = Index(shard)
-        if index.ids:
-            sent = spark.sparkContext.broadcast(pickle.dumps(index))  # bounded by the shard's limits
-            found = found.union(cut_lineage(source.mapInArrow(_search(sent, threshold, overlap), schema), "leaks"))
+    for sent in _indexes(spark, items):
+        found = found.union(cut_lineage(source.mapInArrow(_report(sent, threshold, overlap), schema), "leaks"))
     figures = [F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")]
     return found.groupBy("doc_id", "item_id").agg(*figures)
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no item is found; nothing is shuffled."""
+    for sent in _indexes(docs.sparkSession, items):
+        docs = cut_lineage(docs.mapInArrow(_drop(sent, threshold, overlap), docs.schema), "clean")
+    return docs

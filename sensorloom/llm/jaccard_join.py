@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sensorloom.llm.common import components, shuffle_partitions
 from sensorloom.llm.text import SPACE, Words, mix, pieces, shingles
@@ -178,8 +178,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 nodes.append(int.from_bytes(digest, "little", signed=True))
                 sizes.append(len(runs))
                 bands.append(band_keys(minhashes(runs)).tobytes() if len(runs) else b"")
-            arrays = [part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "runs", "bands"])
+            arrays = [part.column("doc_id"), part.column("text_hash"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "node", "runs", "bands"])
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,19 +220,21 @@ def candidate_components(classes: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
-    """One row per document: ``doc_id, class_id, copy_id, n_copies, n_links``.
+    """One row per document: ``doc_id, class_id, copy_id, n_copies, n_links, text_hash``.
 
     Words are lower-cased and split at ASCII white space; a text of fewer than five words is one
     run. ``copy_id`` is the least id of the documents with the same set of runs (``n_copies`` of
     them), ``n_links`` the number of other documents at or over the threshold, copies included,
     and ``class_id`` the least id of those connected by links. Texts without words, null ones
     too, are linked to nothing: their class is their own id, with one copy. Rows that repeat an id
-    are copies or documents of their own by their text. Null ids take part, but a least id is
+    are copies or documents of their own by their text, told apart by ``text_hash``. Null ids take part, but a least id is
     null only if there is no other. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    described = cut_lineage(source.mapInArrow(_describe, "doc_id long, node long, runs long, bands binary"), "described")
+    hashed = source.withColumn("text_hash", _text_hash("text"))
+    described = hashed.mapInArrow(_describe, "doc_id long, text_hash long, node long, runs long, bands binary")
+    described = cut_lineage(described, "described")
     classes = described.filter("runs > 0").groupBy("node", "runs").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"))
     classes = cut_lineage(classes, "classes")
     roots = candidate_components(described)
@@ -265,7 +267,7 @@ def near_duplicates(
     found = found.withColumn("root", F.coalesce("root", "node"))
     least = found.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     named = found.join(least, "root").select("node", "class_id", "copy_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    out = described.select("doc_id", "node", "runs").join(named, "node", "left")
+    out = described.select("doc_id", "text_hash", "node", "runs").join(named, "node", "left")
     alone = F.col("runs") == 0
     return out.select(
         "doc_id",
@@ -273,4 +275,23 @@ def near_duplicates(
         F.when(alone, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("copies")).cast("long").alias("n_copies"),
         F.when(alone, F.lit(0)).otherwise(F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"),
+        "text_hash",
     )
+
+
+def _text_hash(column: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
+def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose id is the least of their group.
+
+    Of rows that agree in id and text one stays. Documents without words all stay, and so do
+    different texts with a null id, as no id names one of them.
+    """
+    found = near_duplicates(docs, threshold=threshold)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    kept = kept.select(F.col("doc_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash")).distinct()
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__hash": _text_hash("text")})
+    same = F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__hash") == F.col("__kept_hash"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)

@@ -231,3 +231,16 @@ def cut_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         .drop("__key", "__doc")
         .mapInArrow(_cut(docs.columns, text_column), T.StructType(fields))
     )
+
+
+def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with repeated runs cut out, without the documents of which nothing is left.
+
+    A column ``n_chars`` is counted anew where the text changed.
+    """
+    cut = cut_repeats(docs, id_column, text_column)
+    cut = cut.filter((F.col("__words") == 0) | (F.col("__removed") < F.col("__words")))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        cut = cut.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length(text_column).cast(kind)).otherwise(F.col("n_chars")))
+    return cut.select(*docs.columns)
