@@ -244,7 +244,8 @@ def near_duplicates(
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.col("r") / BLOCK_RUNS)).cast("int")
     dealt = members.join(large.filter("n > 1").select("root", blocks.alias("blocks")), "root")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = source.join(dealt, source["doc_id"].eqNullSafe(dealt["copy_id"])).select("node", "root", "block", "blocks", "copies", "text")
+    # A merge join at every size: texts are shuffled once, however few documents have candidates.
+    texts = source.join(dealt.hint("merge"), source["doc_id"].eqNullSafe(dealt["copy_id"])).select("node", "root", "block", "blocks", "copies", "text")
     partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = texts.withColumn("partner", partner).select(
         "node",
