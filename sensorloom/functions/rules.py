@@ -193,21 +193,26 @@ def fix_unit(
     return first_match([(condition(r), result(r)) for r in UNIT_RULES], F.col(unit))
 
 
+def several_units(df: DataFrame, key: str = "uniqueId") -> DataFrame:
+    """Sensors that occur with more than one unit, no unit being one, as one partial aggregate."""
+    u = F.coalesce(F.col("unit"), F.lit("\u0000"))
+    spans = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(u).alias("lo"), F.max(u).alias("hi"))
+    return spans.filter("lo <> hi").select(key)
+
+
+def problem_readings(df: DataFrame, key: str = "uniqueId") -> DataFrame:
+    """Readings of sensors that occur with more than one unit."""
+    return df.join(several_units(df, key), key, "left_semi")
+
+
 def correct_units(df: DataFrame, key: str = "uniqueId") -> DataFrame:
     """Repair units, but only of sensors that occur with more than one unit.
 
-    The sensor list comes from one partial aggregate (min and max of the unit), which is
-    small next to the readings, so the join back moves it and not the readings when it is
-    below Spark's broadcast size, and is a skew-splittable left join otherwise.
+    The sensor list is small next to the readings, so the join back moves it and not the
+    readings when it is below Spark's broadcast size, and is a skew-splittable left join
+    otherwise.
     """
-    u = F.coalesce(F.col("unit"), F.lit("\u0000"))
-    several = (
-        df.filter(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.min(u).alias("lo"), F.max(u).alias("hi"))
-        .filter("lo <> hi")
-        .select(key, F.lit(True).alias("_several"))
-    )
+    several = several_units(df, key).withColumn("_several", F.lit(True))
     return (
         df.join(several, key, "left")
         .withColumn("unit", F.when(F.col("_several"), fix_unit()).otherwise(F.col("unit")))

@@ -55,7 +55,15 @@ def with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def agg_numeric(
     df: DataFrame, keys: Sequence[str], how: str | Sequence[str] = "all", value: str = "value", order: str = "datetime"
 ) -> DataFrame:
-    """Aggregates of the numeric values per key, and their count; missing results are 0."""
+    """Aggregates of the numeric values per key, and their count; missing results are 0.
+
+    A median is not mergeable, so it is found by ``agg_median`` and joined to the others.
+    """
+    if how == "median" or (not isinstance(how, str) and "median" in how):
+        others = [n for n in ([how] if isinstance(how, str) else how) if n != "median"]
+        rest = agg_numeric(df, keys, others, value, order)
+        medians = agg_median(df, keys, value).drop("count")
+        return rest.join(medians, list(keys), "left").withColumn("median", F.coalesce("median", F.lit(0.0)))
     number = F.nanvl(F.col("_x"), F.lit(None).cast("double"))
     names = _names(how)
     rows = with_keys(df, keys).filter(value_type(value) == "num").withColumn("_x", numeric_value(value))
@@ -137,12 +145,17 @@ def previous_value(
 MEDIAN_SLICES = 1024
 
 
-def agg_median(df: DataFrame, keys: Sequence[str], value: str = "value", passes: int = 2) -> DataFrame:
+# Distinct values of a group that one task orders in the end.
+MEDIAN_ROWS = 10_000
+
+
+def agg_median(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Exact median of the numeric values per key, and their count.
 
     No group is gathered: each pass counts the values of a group in equal slices of its
-    range and goes on with the one or two slices that hold the middle ranks. What is left
-    is ordered as distinct values with counts.
+    range and goes on with the one or two slices that hold the middle ranks, until no group has
+    more than ``MEDIAN_ROWS`` distinct values left. Those are ordered with their counts. A pass
+    that an outlier makes useless still drops the outlier.
     """
     keys = list(keys)
     x = F.nanvl(F.col("_x"), F.lit(None).cast("double"))
@@ -154,7 +167,7 @@ def agg_median(df: DataFrame, keys: Sequence[str], value: str = "value", passes:
     ranks = rest.groupBy(*keys).agg(F.sum("_n").alias("count")).select(
         *keys, "count", F.floor((n + 1) / 2).alias("_r1"), (F.floor(n / 2) + 1).alias("_r2"), F.lit(0).cast("long").alias("_cut")
     )
-    for _ in range(passes):
+    while (rest.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > MEDIAN_ROWS:
         span = rest.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
         part = F.floor(F.try_divide((F.col("_x") - F.col("_lo")) * MEDIAN_SLICES, F.col("_hi") - F.col("_lo")))
         sliced = rest.join(span, keys).withColumn("_s", F.coalesce(part, F.lit(0))).drop("_lo", "_hi")
@@ -195,20 +208,21 @@ def agg_categorical(df: DataFrame, keys: Sequence[str], how: str | Sequence[str]
 
 
 def combine_mixed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per key: counts add up, max and min are true, mean and std count-weighted."""
+    """One row per key: counts, sums and sizes add up, max and min are true, mean and std count-weighted.
+
+    Other aggregates of a part say nothing about the whole and are refused.
+    """
     n = F.col("count")
-    rules = {
-        "max": F.max("max"),
-        "min": F.min("min"),
-        "sum": F.sum("sum") if "sum" in df.columns else None,
-    }
+    weighted = lambda c: F.coalesce(F.try_divide(F.sum(F.col(c) * n), F.sum(n)), F.lit(0.0))
+    rules = {"max": F.max, "min": F.min, "sum": F.sum, "size": F.sum, "mean": weighted, "std": weighted}
+    stats = [c for c in df.columns if c not in (*keys, "count")]
+    unknown = [c for c in stats if c not in rules]
+    if unknown:
+        raise ValueError(f"{unknown} of parts cannot be combined; known: {sorted(rules)}")
 
     def combined(c: str) -> Column:
-        if rules.get(c) is not None:
-            return rules[c]
-        return F.coalesce(F.try_divide(F.sum(F.col(c) * n), F.sum(n)), F.lit(0.0))
+        return rules[c](c)
 
-    stats = [c for c in df.columns if c not in (*keys, "count")]
     return df.groupBy(*keys).agg(*[combined(c).alias(c) for c in stats], F.sum(n).alias("count"))
 
 
@@ -305,6 +319,18 @@ def numeric_partials(df: DataFrame, keys: Sequence[str], value: str = "value") -
     )
 
 
+def merge_partials(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Partial results of ``numeric_partials`` merged into partial results, one row per key."""
+    n = F.sum("n")
+    totals = parts.groupBy(*keys).agg(F.coalesce(F.try_divide(F.sum(F.col("n") * F.col("mean")), n), F.lit(0.0)).alias("_mu"))
+    m2 = F.col("m2") + F.col("n") * (F.col("mean") - F.col("_mu")) * (F.col("mean") - F.col("_mu"))
+    return (
+        parts.join(totals, list(keys))
+        .groupBy(*keys)
+        .agg(n.alias("n"), F.first("_mu").alias("mean"), F.sum(m2).alias("m2"), F.max("max").alias("max"), F.min("min").alias("min"))
+    )
+
+
 def append_agg_exact(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Merge partial results exactly, as if all their rows had been aggregated at once.
 

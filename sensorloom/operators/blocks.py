@@ -3,8 +3,9 @@
 Points are cut into blocks of bounded size by range, so near points share a block. Each
 pair of blocks is one row of a Spark table; a small numpy function turns it into what an
 algorithm needs (near pairs, neighbour counts, spanning edges, sums), so the n x n distance
-table never exists, and no task sees more than two blocks. Block pairs whose bounding
-boxes are farther apart than the distance asked for are never formed.
+table never exists, and no task sees more than two blocks. Which blocks meet is decided on
+their headers alone (bounding box and category); points are only sent to pairs of blocks
+that lie within the distance asked for.
 
 A point is ``id string, x array<double>, c array<string>`` plus numeric columns the
 algorithm adds. Equal points should be collapsed first (``profiles``).
@@ -112,21 +113,37 @@ def _packed(points: DataFrame, extra: Sequence[str], tag: str) -> DataFrame:
     )
 
 
-def _gower_box_bound() -> Column:
-    """A lower bound on the Gower distance of any two points of two blocks."""
-    gaps = F.zip_with(
+def _gaps() -> Column:
+    """Distance between the bounding boxes of two blocks along each numeric feature."""
+    return F.zip_with(
         F.zip_with("lo1", "hi2", lambda a, b: F.greatest(a - b, F.lit(0.0))),
         F.zip_with("lo2", "hi1", lambda a, b: F.greatest(a - b, F.lit(0.0))),
         lambda a, b: a + b,
     )
-    numeric = F.coalesce(F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g), F.lit(0.0))
+
+
+def _gower_bound() -> Column:
+    """A lower bound on the Gower distance of any two points of two blocks."""
+    numeric = F.coalesce(F.aggregate(_gaps(), F.lit(0.0), lambda s, g: s + g), F.lit(0.0))
     mismatch = F.aggregate(
         F.zip_with("cat1", "cat2", lambda a, b: F.when(a != b, 1.0).otherwise(0.0)), F.lit(0.0), lambda s, g: s + g
     )
-    width = F.coalesce(F.size("lo1"), F.lit(0)) + F.size("cs1") / F.col("n1")
+    width = F.coalesce(F.size("lo1"), F.lit(0)) + F.col("width1")
     return (numeric + F.coalesce(mismatch, F.lit(0.0))) / width
 
 
+def _euclidean_bound() -> Column:
+    return F.sqrt(F.coalesce(F.aggregate(_gaps(), F.lit(0.0), lambda s, g: s + g * g), F.lit(0.0)))
+
+
+_BOUNDS = {gower: _gower_bound, euclidean: _euclidean_bound}
+
+
+def _heads(packed: DataFrame, tag: str) -> DataFrame:
+    width = F.size(f"cs{tag}") / F.col(f"n{tag}")
+    return packed.select(f"b{tag}", f"lo{tag}", f"hi{tag}", f"cat{tag}", width.alias(f"width{tag}"))
+
+
 def block_pairs(
     left: DataFrame,
     right: DataFrame | None = None,
@@ -137,20 +154,22 @@ def block_pairs(
 ) -> DataFrame:
     """Rows of two packed blocks: all unordered pairs of one table, or left x right of two.
 
-    The partner numbers come from a sequence, so the join itself is an equi-join.
+    The pairs are formed from headers, one small row per block, and those too far apart are
+    dropped before any points are joined to them.
     """
     one = right is None
-    a = _packed(left, extra, "1")
-    b = _packed(left if one else right, extra if right_extra is None else right_extra, "2")
-    if one:
-        first, last = F.col("b1"), left.agg(F.max("block")).first()[0]
-    else:
-        first, last = F.lit(0), right.agg(F.max("block")).first()[0]
-    pairs = a.withColumn("b2", F.explode(F.sequence(first, F.lit(last))))
+    a = cut_lineage(_packed(left, extra, "1"), "packed")
+    b = a.withColumnsRenamed({c: c[:-1] + "2" for c in a.columns}) if one else None
+    if b is None:
+        b = cut_lineage(_packed(right, extra if right_extra is None else right_extra, "2"), "packed")
+    last = b.agg(F.max("b2")).first()[0]
+    first = F.col("b1") if one else F.lit(0)
+    pairs = _heads(a, "1").withColumn("b2", F.explode(F.sequence(first, F.lit(-1 if last is None else last).cast("int"))))
+    pairs = pairs.join(_heads(b, "2"), "b2")
+    if within is not None and metric in _BOUNDS:
+        pairs = pairs.filter(_BOUNDS[metric]() <= within + 1e-9)
     # The join needs this partitioning; the fixed number of tasks fits the work, not the bytes.
-    pairs = spread(pairs, "b2").join(b, "b2")
-    if within is not None and metric is gower:
-        pairs = pairs.filter(_gower_box_bound() <= within + 1e-9)
+    pairs = spread(pairs.select("b1", "b2"), "b2").join(b, "b2").join(a, "b1")
     return pairs.select(*[f"{k}{t}" for t in "12" for k in ("b", "ids", "xs", "cs", "es", "n")])
 
 
@@ -206,24 +225,29 @@ def weight_within(points_blocked: DataFrame, max_dist: float, weight: str = "w",
     return parts.groupBy("id").agg(F.sum("weight").alias("weight"))
 
 
-def _spanning(d: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges of a minimum spanning forest of a small dense distance matrix (Prim 1957)."""
+def _spanning(d: np.ndarray, ids: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of the minimum spanning forest of a small dense distance matrix (Prim 1957).
+
+    Edges are ordered by distance, then smaller id, then larger id, as everywhere else; so
+    the forest is unique and does not depend on how points were cut into blocks.
+    """
     m = len(d)
-    best = np.full(m, np.inf)
+    place = np.empty(m, dtype=np.int64)
+    place[np.argsort(ids.astype(str), kind="stable")] = np.arange(m)
+    best, tie = np.full(m, np.inf), np.full(m, m * m)
     source = np.zeros(m, dtype=int)
     out = np.ones(m, dtype=bool)
     rows = []
     current = 0
     for _ in range(m):
         out[current] = False
-        closer = out & (d[current] < best)
-        best[closer] = d[current][closer]
-        source[closer] = current
+        order = np.minimum(place[current], place) * m + np.maximum(place[current], place)
+        closer = out & ((d[current] < best) | (d[current] == best) & (order < tie))
+        best[closer], tie[closer], source[closer] = d[current][closer], order[closer], current
         if not out.any():
             break
-        nxt = int(np.argmin(np.where(out, best, np.inf)))
-        if not out[nxt]:
-            nxt = int(np.argmax(out))
+        nearest = np.flatnonzero(out & (best == best[out].min()))
+        nxt = int(nearest[np.argmin(tie[nearest])])
         if best[nxt] <= limit:
             rows.append((source[nxt], nxt, best[nxt]))
         current = nxt
@@ -234,14 +258,11 @@ def _spanning(d: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.n
     return np.array(i), np.array(j), np.array(w)
 
 
-def spanning_candidates(
-    points_blocked: DataFrame, max_dist: float | None = None, metric: Metric = gower, core: str | None = None
-) -> DataFrame:
-    """Edges that together hold a minimum spanning forest of all points.
+def spanning_candidates(points_blocked: DataFrame, max_dist: float | None = None, metric: Metric = gower) -> DataFrame:
+    """Edges that together hold the minimum spanning forest of all points.
 
-    Each block pair keeps only the spanning edges of its own points. They connect the same
-    points at every distance as the full pair would, so their union does so for all points.
-    ``core`` names a core-distance column for mutual reachability.
+    Each block pair keeps only the spanning edges of its own points: an edge that is the last
+    of a cycle there, in the order of distance and ids, is in no spanning forest of all points.
     """
     limit = np.inf if max_dist is None else max_dist
 
@@ -253,17 +274,14 @@ def spanning_candidates(
             np.concatenate([a.extra, b.extra]),
         )
         d = metric(both, both)
-        if core is not None:
-            k = both.extra[:, 0]
-            d = np.maximum(np.maximum(d, k[:, None]), k[None, :])
-        i, j, w = _spanning(d, limit)
+        i, j, w = _spanning(d, both.ids, limit)
         if not len(i):
             return None
         ia, ib = both.ids[i], both.ids[j]
         swap = ia > ib
         return {"a": np.where(swap, ib, ia), "b": np.where(swap, ia, ib), "dist": w}
 
-    pairs = block_pairs(points_blocked, extra=[core] if core else [], within=max_dist, metric=metric)
+    pairs = block_pairs(points_blocked, within=max_dist, metric=metric)
     return reduce_pairs(pairs, fn, "a string, b string, dist double").distinct()
 
 

@@ -4,8 +4,10 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -18,6 +20,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from sensorloom.operators.blocks import nearest_k
+from sensorloom.operators.boosting import adaboost
 from sensorloom.operators.metrics import classification_metrics, log_loss, top_metric
 from sensorloom.scratch import cut_lineage
 
@@ -75,15 +78,47 @@ def clf_random_forest(train, test, trees: int = TREES, seed: int = 0):
     return _ml(RandomForestClassifier(numTrees=trees, impurity="gini", maxDepth=30, seed=seed), train, test)
 
 
-def clf_extra_trees(train, test, trees: int = TREES, seed: int = 0):
-    """Approximation of trees with random thresholds: few candidate bins, no bootstrap.
+def clf_extra_trees(train, test, trees: int = TREES, cuts: int = 31, seed: int = 0):
+    """Trees without bootstrap whose thresholds are random: every tree has random cut points of its own.
 
-    MLlib has no random split points, so thresholds come from a coarse binning instead.
+    A column's cut points are drawn between its least and greatest value. Trees are fitted side
+    by side and their class probabilities averaged.
     """
-    est = RandomForestClassifier(
-        numTrees=trees, bootstrap=False, featureSubsetStrategy="sqrt", maxBins=4, maxDepth=30, seed=seed
-    )
-    return _ml(est, train, test)
+    long = train.select(F.posexplode(vector_to_array("features")).alias("f", "v"))
+    bounds = long.groupBy("f").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("f").collect()
+    lo, hi = (np.array([r[k] for r in bounds]) for k in ("lo", "hi"))
+    classes = int(train.agg(F.max("label")).first()[0]) + 1
+
+    def bucketed(df: DataFrame, tree: int) -> DataFrame:
+        rng = np.random.default_rng([seed, tree])
+        points = np.sort(lo[:, None] + (hi - lo)[:, None] * rng.random((len(lo), cuts)), axis=1)
+
+        @F.pandas_udf("array<double>")
+        def bucket(x: pd.Series) -> pd.Series:
+            values = np.stack(x.to_numpy()).astype(float)
+            return pd.Series(list(np.stack([np.searchsorted(p, values[:, f]) for f, p in enumerate(points)], axis=1).astype(float)))
+
+        return df.withColumn("features", array_to_vector(bucket(vector_to_array("features"))))
+
+    def fitted(tree: int):
+        est = RandomForestClassifier(
+            numTrees=1, bootstrap=False, featureSubsetStrategy="sqrt", maxBins=cuts + 1, maxDepth=30, seed=seed + tree
+        )
+        return est.fit(bucketed(train, tree))
+
+    train = cut_lineage(train, "trees").cache()
+    with ThreadPoolExecutor(8) as pool:
+        models = list(pool.map(fitted, range(trees)))
+    train.unpersist()
+    # Probabilities add up over a few trees at a time, so that no plan holds all of them.
+    votes = test.withColumn("_p", F.array_repeat(F.lit(0.0), classes))
+    for at in range(0, trees, 20):
+        for tree in range(at, min(at + 20, trees)):
+            out = models[tree].transform(bucketed(votes.withColumn("_raw", F.col("features")), tree))
+            votes = out.select("id", "label", "_raw", F.zip_with("_p", vector_to_array("probability"), lambda a, b: a + b).alias("_p")).withColumnRenamed("_raw", "features")
+        votes = cut_lineage(votes, "votes")
+    best = (F.array_position("_p", F.array_max("_p")) - 1).cast("double")
+    return votes.select("id", "label", best.alias("prediction"), (F.get("_p", F.col("label").cast("int")) / trees).alias("p_true"))
 
 
 def clf_logistic(train, test):
@@ -107,53 +142,22 @@ def clf_kernel_svm(train, test, components: int = 100, seed: int = 0):
     rng = np.random.default_rng(seed)
     w = rng.normal(scale=math.sqrt(2.0 / (d * var)), size=(components, d))
     b = rng.uniform(0, 2 * math.pi, size=components)
-    ws = F.array(*[F.array(*[F.lit(float(v)) for v in row], F.lit(float(s))) for row, s in zip(w, b)])
+
+    @F.pandas_udf("array<double>")
+    def lifted_features(x: pd.Series) -> pd.Series:
+        values = np.stack(x.to_numpy()).astype(float)
+        return pd.Series(list(math.sqrt(2.0 / components) * np.cos(values @ w.T + b)))
 
     def lift(df: DataFrame) -> DataFrame:
-        x = F.concat(vector_to_array("features"), F.array(F.lit(1.0)))
-        df = df.withColumn("_x", x)
-        z = F.transform(
-            ws,
-            lambda row: F.lit(math.sqrt(2.0 / components))
-            * F.cos(F.aggregate(F.zip_with(row, F.col("_x"), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)),
-        )
-        return df.withColumn("features", array_to_vector(z)).drop("_x")
+        return df.withColumn("features", array_to_vector(lifted_features(vector_to_array("features"))))
 
     # Every iteration reads the lifted rows, so they are computed once.
     lifted = cut_lineage(lift(train), "lifted")
     return _one_vs_rest(LinearSVC(maxIter=50, regParam=1.0 / max(lifted.count(), 1)), lifted, lift(test))
 
 
-def clf_adaboost(train, test, rounds: int = TREES, seed: int = 0):
-    """Stumps with reweighted rows (SAMME, Zhu et al. 2009)."""
-    k = int(train.agg(F.max("label")).first()[0]) + 1
-    n = train.count()
-    rows = cut_lineage(train.withColumn("w", F.lit(1.0 / n)), "boost")
-    votes = test.withColumn("_v", F.array_repeat(F.lit(0.0), k))
-    for i in range(rounds):
-        model = DecisionTreeClassifier(maxDepth=1, weightCol="w", seed=seed + i, rawPredictionCol="_raw", probabilityCol="_p").fit(rows)
-        scored = model.transform(rows)
-        wrong = F.col("prediction") != F.col("label")
-        err, total = scored.agg(F.sum(F.when(wrong, F.col("w")).otherwise(0.0)), F.sum("w")).first()
-        err = err / total
-        if err >= 1 - 1 / k:
-            break
-        alpha = math.log((1 - err) / max(err, 1e-12)) + math.log(k - 1)
-        hit = model.transform(votes)
-        add = F.transform("_v", lambda v, j: v + F.when(j == F.col("prediction").cast("int"), alpha).otherwise(0.0))
-        votes = hit.select("id", "label", "features", add.alias("_v"))
-        if err <= 1e-12:
-            break
-        rows = cut_lineage(
-            scored.select("id", "label", "features", (F.col("w") * F.when(wrong, math.exp(alpha)).otherwise(1.0) / total).alias("w")),
-            "boost",
-        )
-        if i % 10 == 9:
-            votes = cut_lineage(votes, "votes")
-    best = F.array_position("_v", F.array_max("_v")) - 1
-    total = F.aggregate("_v", F.lit(1e-12), lambda s, v: s + F.exp(v / (k - 1)))
-    p = F.exp(F.get("_v", F.col("label").cast("int")) / (k - 1)) / total
-    return votes.select("id", "label", best.cast("double").alias("prediction"), p.alias("p_true"))
+def clf_adaboost(train, test, rounds: int = TREES):
+    return adaboost(train, test, rounds)
 
 
 def clf_gaussian_nb(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -218,16 +222,16 @@ def clf_knn(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
 
 
 CLASSIFIERS = {
-    "decision_tree": clf_decision_tree,
-    "knn": clf_knn,
-    "kernel_svm": clf_kernel_svm,
-    "logistic_regression": clf_logistic,
-    "naive_bayse": clf_gaussian_nb,
-    "random_forest": clf_random_forest,
-    "extremely_random_trees": clf_extra_trees,
-    "bagging": clf_bagging,
-    "adaboost": clf_adaboost,
-    "gradientboost": clf_gbt,
+    "tree": clf_decision_tree,
+    "neighbours": clf_knn,
+    "rbf_svm": clf_kernel_svm,
+    "logistic": clf_logistic,
+    "gaussian_nb": clf_gaussian_nb,
+    "forest": clf_random_forest,
+    "extra_trees": clf_extra_trees,
+    "bagged_trees": clf_bagging,
+    "boosted_stumps": clf_adaboost,
+    "boosted_trees": clf_gbt,
 }
 
 

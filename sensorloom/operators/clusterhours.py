@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,13 +11,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sensorloom.operators.aggregate import (
     _fold_hours,
     agg_numeric,
-    changes_per_sensor_then_sum,
+    append_agg_exact,
     combine_mixed,
     pivot_last,
     state_changes,
     with_keys,
 )
+from sensorloom.functions.values import numeric_value, value_type
 from sensorloom.schemas import SENSOR_TAGS, STATS
+from sensorloom.scratch import cut_lineage
 
 HOUR_KEYS = ["hour", "date", "cluster"]
 
@@ -39,20 +42,59 @@ def join_readings_cluster(
     return null_safe_join(readings, assignment.select(*tags, "cluster"), tags)
 
 
-def cluster_hourly_long(
-    df: DataFrame, keys: Sequence[str] = HOUR_KEYS, tags: Sequence[str] = SENSOR_TAGS, per_sensor: bool = True
-) -> DataFrame:
-    """Mean, std, max and min per hour, date and cluster in one pass per value kind.
+@dataclass(frozen=True)
+class SensorHours:
+    """Hourly partial results per sensor, written once; what follows never reads readings again.
 
-    ``per_sensor`` counts the state changes of each sensor on its own; without it all
-    sensors of a cluster form one time-ordered sequence.
+    ``numbers``: one row per sensor, date and hour with the number of values (``updates``), the
+    rows of the number kind, and count, mean, squared deviations, max and min of the numbers.
+    ``changes``: state changes of the other kinds, each sensor a sequence of its own.
     """
-    numbers = agg_numeric(df, keys, "all")
-    changes = (
-        changes_per_sensor_then_sum(df, keys, tags) if per_sensor else state_changes(df, keys, ["bool", "str"])
+
+    numbers: DataFrame
+    changes: DataFrame
+
+
+def sensor_hours(readings: DataFrame, tags: Sequence[str] = SENSOR_TAGS) -> SensorHours:
+    """Reduce readings (with ``date`` and ``hour``) to hours of sensors; null tags are tags."""
+    is_number = value_type("value") == "num"
+    x = F.when(is_number, F.nanvl(numeric_value("value"), F.lit(None).cast("double")))
+    numbers = (
+        with_keys(readings, ["hour", "date"])
+        .withColumns({"_x": x, "_number": is_number})
+        .groupBy("hour", "date", *tags)
+        .agg(
+            F.count("value").alias("updates"),
+            F.count(F.when(F.col("_number"), 1)).alias("number_rows"),
+            F.count("_x").alias("n"),
+            F.coalesce(F.avg("_x"), F.lit(0.0)).alias("mean"),
+            F.coalesce(F.var_pop("_x") * F.count("_x"), F.lit(0.0)).alias("m2"),
+            F.max("_x").alias("max"),
+            F.min("_x").alias("min"),
+        )
     )
-    parts = numbers.unionByName(_fold_hours(changes, [*keys, "kind"], "all").drop("kind"))
-    return combine_mixed(parts, keys)
+    changes = state_changes(readings, ["hour", "date", *tags], ["bool", "str"])
+    return SensorHours(cut_lineage(numbers, "sensor-hours"), cut_lineage(changes, "sensor-changes"))
+
+
+def cluster_hourly_long(
+    hours: SensorHours, assignment: DataFrame, keys: Sequence[str] = HOUR_KEYS, tags: Sequence[str] = SENSOR_TAGS
+) -> DataFrame:
+    """Mean, std, max and min per hour, date and cluster, merged exactly from hours of sensors."""
+    assigned = assignment.select(*tags, "cluster")
+    numbers = with_keys(null_safe_join(hours.numbers.filter("number_rows > 0"), assigned, tags, "inner"), keys)
+    merged = append_agg_exact(numbers.select(*keys, "n", "mean", "m2", "max", "min"), keys)
+    changes = with_keys(null_safe_join(hours.changes, assigned, tags, "inner"), keys)
+    changes = changes.groupBy(*keys, "kind", "change_hour").agg(F.sum("changes").alias("changes"), F.sum("count").alias("count"))
+    folded = _fold_hours(changes, [*keys, "kind"], "all").drop("kind")
+    return combine_mixed(merged.select(*keys, *STATS, "count").unionByName(folded), keys)
+
+
+def cluster_hourly_sequence(placed: DataFrame, keys: Sequence[str] = HOUR_KEYS) -> DataFrame:
+    """The same with all sensors of a cluster as one time-ordered sequence, which needs the readings."""
+    numbers = agg_numeric(placed, keys, "all")
+    changes = state_changes(placed, keys, ["bool", "str"])
+    return combine_mixed(numbers.unionByName(_fold_hours(changes, [*keys, "kind"], "all").drop("kind")), keys)
 
 
 def cluster_hourly_wide(long: DataFrame, clusters: Sequence, keys: Sequence[str] = HOUR_KEYS) -> DataFrame:
@@ -60,9 +102,12 @@ def cluster_hourly_wide(long: DataFrame, clusters: Sequence, keys: Sequence[str]
     return pivot_last(long, list(keys), clusters).drop("count")
 
 
-def cluster_update_counts(df: DataFrame, keys: Sequence[str] = HOUR_KEYS) -> DataFrame:
+def cluster_update_counts(
+    hours: SensorHours, assignment: DataFrame, keys: Sequence[str] = HOUR_KEYS, tags: Sequence[str] = SENSOR_TAGS
+) -> DataFrame:
     """Values per hour, date and cluster."""
-    return with_keys(df, keys).groupBy(*keys).agg(F.count("value").alias("updates"))
+    joined = null_safe_join(hours.numbers, assignment.select(*tags, "cluster"), tags, "inner")
+    return with_keys(joined, keys).groupBy(*keys).agg(F.sum("updates").alias("updates"))
 
 
 def sensors_per_cluster(assignment: DataFrame) -> DataFrame:

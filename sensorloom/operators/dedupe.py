@@ -20,8 +20,17 @@ def latest_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key by an explicit order."""
-    return _pick(df, keys, F.min_by(F.struct(*df.columns), F.struct(*order)))
+    """The first row of each key by an explicit order; null keys equal each other.
+
+    The least value of the first order column is an aggregate of fixed width; joined back, it
+    leaves the ties to pick from, so no task sorts all rows.
+    """
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    least = df.groupBy(*named).agg(F.min(order[0]).alias("_least"))
+    same = df[order[0]].eqNullSafe(least["_least"])
+    for i, k in enumerate(keys):
+        same = same & df[k].eqNullSafe(least[f"_k{i}"])
+    return _pick(df.join(least, same, "left_semi"), keys, F.min_by(F.struct(*df.columns), F.struct(*order)))
 
 
 def flag_duplicates(df: DataFrame, keys: list[str], flag: str = "duplicated") -> DataFrame:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sensorloom.functions.values import minute_of_time, numeric_value, value_type
+from sensorloom.functions.values import numeric_value, value_type
+from sensorloom.scratch import cut_lineage
 
 # Spark's own limit on pivot columns bounds what one-hot encoding may widen a table to.
 MAX_CATEGORIES = 10_000
 
+# Categories that one task ranks.
+CODE_ROWS = 100_000
+
 
 def min_max_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(x - min) / (max - min) per column; a constant column becomes 0, nulls stay.
@@ -55,20 +60,33 @@ def categories(df: DataFrame, column: str) -> list[str | None]:
 def first_appearance_code(df: DataFrame, column: str, order: Sequence[str] = ("datetime", "seq")) -> DataFrame:
     """Every category with its code 0, 1, 2 ... by first appearance.
 
-    The first appearances are one aggregate. Their ranks come in two steps, within the
-    minute of first appearance and over the minutes, so no task ranks all categories.
+    The first appearances are one aggregate, cut into ranges of about ``CODE_ROWS``. A code is
+    the place in its range plus the sizes of the ranges before; so no task ranks all categories,
+    also when all of them appear in the first minute.
     """
-    at = F.struct(*order)
-    firsts = df.groupBy(column).agg(F.min(at).alias("at")).withColumn("_m", minute_of_time(F.col(f"at.{order[0]}")))
-    per_minute = firsts.groupBy("_m").agg(F.count("*").alias("n"))
-    before = Window.orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_minute.select("_m", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    rank = F.row_number().over(Window.partitionBy("_m").orderBy("at"))
-    return firsts.join(offsets, "_m").select(column, (F.col("offset") + rank - 1).alias("code"))
+    firsts = cut_lineage(df.groupBy(column).agg(F.min(F.struct(*order)).alias("at")), "firsts")
+    parts = max(1, math.ceil(firsts.count() / CODE_ROWS))
+    ranged = cut_lineage(firsts.repartitionByRange(parts, "at").withColumn("_p", F.spark_partition_id()), "firsts")
+    # One row per range.
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("n"))
+    offsets = sizes.select(F.col("_p").alias("_o"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy("at"))
+    numbered = ranged.withColumn("_r", rank).join(offsets, F.col("_p") == F.col("_o"))
+    return numbered.select(column, (F.col("offset") + F.col("_r") - 1).alias("code"))
+
+
+def one_hot_sparse(df: DataFrame, column: str, order: Sequence[str] = ("datetime", "seq")) -> DataFrame:
+    """The same encoding for any number of categories: the code of the 1, and the width."""
+    codes = cut_lineage(first_appearance_code(df, column, order), "codes")
+    width = codes.agg(F.count("*").alias("n")).scalar()
+    named = codes.withColumnRenamed(column, "_category")
+    joined = df.join(named, F.col(column).eqNullSafe(F.col("_category"))).drop("_category")
+    return joined.withColumn("width", width)
 
 
 def one_hot(df: DataFrame, column: str, order: Sequence[str] = ("datetime", "seq"), prefix: str | None = None) -> DataFrame:
-    """One 0/1 column per category, numbered by first appearance."""
+    """One 0/1 column per category, numbered by first appearance; ``one_hot_sparse`` has no limit on them."""
     codes = first_appearance_code(df, column, order).orderBy("code").limit(MAX_CATEGORIES + 1).collect()
     if len(codes) > MAX_CATEGORIES:
         raise ValueError(f"{column} has more than {MAX_CATEGORIES} categories to encode as columns")

@@ -29,9 +29,16 @@ def min_max_table(meters: DataFrame, keys: Sequence[str] = ("siteRef", "uniqueID
 
 
 def meter_delta_first_last(meters: DataFrame, keys: Sequence[str] = ("siteRef", "uniqueID")) -> DataFrame:
-    """Last minus first reading per sensor; ties in time go to the greater value."""
-    at = F.struct("datetime", "value")
-    return meters.groupBy(*keys).agg((F.max_by("value", at) - F.min_by("value", at)).alias("delta"))
+    """Last minus first reading per sensor; of readings at one time the greatest is last, the least first.
+
+    First and last times are an aggregate of fixed width, so no task sorts readings; joined
+    back, they leave a few readings per sensor to pick from.
+    """
+    ends = meters.groupBy(*keys).agg(F.min("datetime").alias("_first"), F.max("datetime").alias("_last"))
+    at_first, at_last = F.col("datetime") == F.col("_first"), F.col("datetime") == F.col("_last")
+    rows = meters.join(ends, list(keys)).filter(at_first | at_last)
+    delta = F.max(F.when(at_last, F.col("value"))) - F.min(F.when(at_first, F.col("value")))
+    return rows.groupBy(*keys).agg(delta.alias("delta"))
 
 
 def semi_enduse(meters: DataFrame, labels: DataFrame) -> DataFrame:

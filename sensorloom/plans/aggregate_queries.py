@@ -263,6 +263,10 @@ def placed(spark, sf):
     return C.join_readings_cluster(nc(spark, sf), assignment(spark, sf))
 
 
+def hours_and_clusters(spark, sf):
+    return C.sensor_hours(nc(spark, sf)), cut_lineage(assignment(spark, sf), "assignment")
+
+
 @query("join_readings_cluster", with_sql("readings", TYPED, NC, _ASSIGN, select="SELECT seq, cluster FROM placed"))
 def _(spark, sf):
     return placed(spark, sf).select("seq", "cluster")
@@ -288,7 +292,7 @@ g AS (SELECT hour, date, cluster, sum(mean * count) / sum(count) AS mean, sum(st
     with_sql("readings", TYPED, NC, _ASSIGN, _SENSOR_CH, select=_pivot_sql("g", "hour, date", "cluster", _CLUSTERS, total=False)),
 )
 def _(spark, sf):
-    out = C.cluster_hourly_wide(C.cluster_hourly_long(placed(spark, sf)), _CLUSTERS)
+    out = C.cluster_hourly_wide(C.cluster_hourly_long(*hours_and_clusters(spark, sf)), _CLUSTERS)
     return rounded(out, [f"{s}_{c}" for c in _CLUSTERS for s in STATS])
 
 
@@ -297,7 +301,7 @@ def _(spark, sf):
     with_sql("readings", TYPED, NC, _ASSIGN, agg_all_sql("g", "placed", "hour, date, cluster"), select=show("hour, date, cluster", "g")),
 )
 def _(spark, sf):
-    return rounded(C.cluster_hourly_long(placed(spark, sf), per_sensor=False), STATS)
+    return rounded(C.cluster_hourly_sequence(placed(spark, sf)), STATS)
 
 
 _RATES = """counts AS (SELECT hour, date, cluster, count(value) AS updates FROM placed GROUP BY ALL),
@@ -307,7 +311,7 @@ rates AS (SELECT hour, date, cluster, updates / sensors AS urate FROM counts JOI
 
 @query("cluster_update_counts", with_sql("readings", TYPED, NC, _ASSIGN, _RATES, select="SELECT * FROM counts"))
 def _(spark, sf):
-    return C.cluster_update_counts(placed(spark, sf))
+    return C.cluster_update_counts(*hours_and_clusters(spark, sf))
 
 
 @query("sensors_per_cluster", with_sql("readings", TYPED, NC, _ASSIGN, _RATES, select="SELECT * FROM sizes"))
@@ -315,9 +319,9 @@ def _(spark, sf):
     return C.sensors_per_cluster(assignment(spark, sf))
 
 
-def rates_wide(spark, sf):
-    sensors = C.sensors_per_cluster(assignment(spark, sf))
-    return C.cluster_update_rate_wide(C.cluster_update_rate(C.cluster_update_counts(placed(spark, sf)), sensors), _CLUSTERS)
+def rates_wide(hours, clusters):
+    counts = C.cluster_update_counts(hours, clusters)
+    return C.cluster_update_rate_wide(C.cluster_update_rate(counts, C.sensors_per_cluster(clusters)), _CLUSTERS)
 
 
 _RATES_WIDE = "SELECT hour, date, " + ", ".join(
@@ -327,7 +331,7 @@ _RATES_WIDE = "SELECT hour, date, " + ", ".join(
 
 @query("cluster_update_rate_wide", with_sql("readings", TYPED, NC, _ASSIGN, _RATES, select=_RATES_WIDE))
 def _(spark, sf):
-    return rounded(rates_wide(spark, sf), [f"urate_{c}" for c in _CLUSTERS])
+    return rounded(rates_wide(*hours_and_clusters(spark, sf)), [f"urate_{c}" for c in _CLUSTERS])
 
 
 @query(
@@ -339,8 +343,9 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    wide = C.cluster_hourly_wide(C.cluster_hourly_long(placed(spark, sf)), _CLUSTERS)
-    return rounded(C.join_update_rates(wide, rates_wide(spark, sf)), C.feature_columns(_CLUSTERS))
+    hours, clusters = hours_and_clusters(spark, sf)
+    wide = C.cluster_hourly_wide(C.cluster_hourly_long(hours, clusters), _CLUSTERS)
+    return rounded(C.join_update_rates(wide, rates_wide(hours, clusters)), C.feature_columns(_CLUSTERS))
 
 
 # --- joins of step tables -------------------------------------------------------------------

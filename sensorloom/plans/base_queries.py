@@ -177,6 +177,23 @@ def _(spark, sf):
     return L.labels_upsert(all_labels, updates)
 
 
+@query(
+    "labels_store",
+    with_sql(
+        "enduse",
+        select="""SELECT "uniqueID", CASE WHEN "endUseLabel" LIKE '00%' THEN '05_OTHER' ELSE "endUseLabel" END AS "endUseLabel",
+TIMESTAMP '2020-01-01 00:00:00' AS time FROM enduse""",
+    ),
+)
+def _(spark, sf):
+    store = scratch_path(spark, "labels")
+    all_labels = T.end_use_labels(spark, sf)
+    changed = all_labels.filter(F.col("endUseLabel").startswith("00")).withColumn("endUseLabel", F.lit("05_OTHER"))
+    for update in (all_labels, changed, changed):
+        L.labels_store(update, store)
+    return L.stored_labels(spark, store)
+
+
 @query(
     "labels_unique_guard",
     with_sql("points", "ids AS (SELECT \"equipRef\" AS \"uniqueID\" FROM points)",
@@ -334,6 +351,42 @@ def _(spark, sf):
     return both.groupBy("part").agg(F.count("*").alias("n"))
 
 
+# --- one site and a range of days, from readings stored by day -----------------------------
+
+_SITE, _START, _END = "Site 2", "2024-01-08", "2024-01-14"
+_IN_DAYS = f"\"siteRef\" = '{_SITE}' AND datetime > TIMESTAMP '{_START} 00:00:00' AND datetime < TIMESTAMP '{_END} 23:59:59'"
+_IN_TIMES = f"\"siteRef\" = '{_SITE}' AND datetime >= TIMESTAMP '{_START}' AND datetime < TIMESTAMP '{_END}'"
+
+
+def stored_range(spark, sf):
+    """Readings of the days of the range; the others' folders are pruned."""
+    path = scratch_path(spark, "by-day")
+    R.write_readings_by_day(T.readings(spark, sf), path)
+    return R.read_stored_days(spark, path, _START, _END).drop("date")
+
+
+@query("scan_ec_range", with_sql("readings", select=f"SELECT seq, {_RCOLS} FROM readings WHERE {IS_EC} AND {_IN_DAYS}"))
+def _(spark, sf):
+    return R.scan_ec(stored_range(spark, sf), _SITE, _START, _END).select("seq", *READING_COLUMNS)
+
+
+@query("scan_nc_range", with_sql("readings", select=f"SELECT seq, {_RCOLS} FROM readings WHERE NOT {IS_EC} AND {_IN_DAYS}"))
+def _(spark, sf):
+    return R.scan_nc(stored_range(spark, sf), _SITE, _START, _END).select("seq", *READING_COLUMNS)
+
+
+@query("scan_numeric_range_days", with_sql("readings", select=f"SELECT seq, {_RCOLS} FROM readings WHERE {PLAIN} AND {_IN_TIMES}"))
+def _(spark, sf):
+    return R.scan_numeric_range(stored_range(spark, sf), _SITE, _START, _END).select("seq", *READING_COLUMNS)
+
+
+@query("site_list_since", with_sql("readings", select=f"SELECT DISTINCT \"siteRef\" FROM readings WHERE datetime >= TIMESTAMP '{_START}'"))
+def _(spark, sf):
+    path = scratch_path(spark, "by-day")
+    R.write_readings_by_day(T.readings(spark, sf), path)
+    return R.site_list(R.read_stored_days(spark, path, _START), _START)
+
+
 @query("site_list", with_sql("readings", select='SELECT DISTINCT "siteRef" FROM readings'))
 def _(spark, sf):
     return R.site_list(T.readings(spark, sf))
@@ -379,7 +432,7 @@ def _(spark, sf):
 
 
 _SEVERAL = f"""keyed AS (SELECT *, {UNIQUE_ID} AS "uniqueId" FROM readings),
-several AS (SELECT "uniqueId" FROM keyed GROUP BY 1 HAVING count(DISTINCT unit) > 1)"""
+several AS (SELECT "uniqueId" FROM keyed GROUP BY 1 HAVING count(DISTINCT coalesce(unit, chr(1))) > 1)"""
 
 
 @query(
@@ -401,8 +454,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     keyed = T.readings(spark, sf).withColumn("uniqueId", ids.unique_id())
-    several = keyed.groupBy("uniqueId").agg(F.min("unit").alias("lo"), F.max("unit").alias("hi")).filter("lo <> hi")
-    return keyed.join(several, "uniqueId", "left_semi").select("seq")
+    return rules.problem_readings(keyed).select("seq")
 
 
 @query(
@@ -523,63 +575,81 @@ def _(spark, sf):
 
 
 def _buildings(spark, sf):
+    """Tables of different columns in the place of building exports; ``part`` has a column it never fills."""
+    text = lambda c: F.col(c).cast("string")
     return {
-        "supplier": T.load(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance")),
-        "customer": T.load(spark, sf, "customer").select(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")),
-        "part": T.load(spark, sf, "part").select(F.col("p_name").alias("name"), F.col("p_size").alias("size")),
-        "nation": T.load(spark, sf, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("nation")),
+        "supplier": T.load(spark, sf, "supplier").select(F.col("s_name").alias("name"), text("s_nationkey").alias("nation"), F.format_string("%.2f", "s_acctbal").alias("balance")),
+        "customer": T.load(spark, sf, "customer").select(F.col("c_name").alias("name"), text("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")),
+        "part": T.load(spark, sf, "part").select(F.col("p_name").alias("name"), text("p_size").alias("size"), F.lit(None).cast("string").alias("segment")),
+        "nation": T.load(spark, sf, "nation").select(F.col("n_name").alias("name"), text("n_nationkey").alias("nation")),
     }
 
 
+def _exports(spark, sf):
+    """One folder of CSV exports per building, each with its own header."""
+    folder = scratch_path(spark, "exports")
+    for name, df in _buildings(spark, sf).items():
+        df.write.option("header", True).csv(f"{folder}/{name}")
+    return folder
+
+
 @query(
     "scan_many_union",
-    """SELECT s_name AS name, s_nationkey AS nation, s_acctbal AS balance, NULL::VARCHAR AS segment, NULL::INTEGER AS size FROM supplier
-UNION ALL SELECT c_name, c_nationkey, NULL, c_mktsegment, NULL FROM customer
-UNION ALL SELECT p_name, NULL, NULL, NULL, p_size FROM part
-UNION ALL SELECT n_name, n_nationkey, NULL, NULL, NULL FROM nation""",
+    """SELECT 'supplier' AS building, s_name AS name, s_nationkey::VARCHAR AS nation, printf('%.2f', s_acctbal) AS balance, NULL::VARCHAR AS segment, NULL::VARCHAR AS size FROM supplier
+UNION ALL SELECT 'customer', c_name, c_nationkey::VARCHAR, NULL, c_mktsegment, NULL FROM customer
+UNION ALL SELECT 'part', p_name, NULL, NULL, NULL, p_size::VARCHAR FROM part
+UNION ALL SELECT 'nation', n_name, n_nationkey::VARCHAR, NULL, NULL, NULL FROM nation""",
 )
 def _(spark, sf):
-    return M.union_all(list(_buildings(spark, sf).values()))
+    return M.scan_many(spark, _exports(spark, sf))
 
 
-_USE = """buildings AS (SELECT 'supplier' AS b, s_name AS name, s_nationkey AS nation, s_acctbal AS balance, NULL AS segment, NULL AS size FROM supplier
-UNION ALL SELECT 'customer', c_name, c_nationkey, NULL, c_mktsegment, NULL FROM customer
-UNION ALL SELECT 'part', p_name, NULL, NULL, NULL, p_size FROM part
-UNION ALL SELECT 'nation', n_name, n_nationkey, NULL, NULL, NULL FROM nation),
-occ AS (SELECT 'name' AS field, count(DISTINCT b) AS count FROM buildings WHERE name IS NOT NULL
-UNION ALL SELECT 'nation', count(DISTINCT b) FROM buildings WHERE nation IS NOT NULL
-UNION ALL SELECT 'balance', count(DISTINCT b) FROM buildings WHERE balance IS NOT NULL
-UNION ALL SELECT 'segment', count(DISTINCT b) FROM buildings WHERE segment IS NOT NULL
-UNION ALL SELECT 'size', count(DISTINCT b) FROM buildings WHERE size IS NOT NULL
-UNION ALL SELECT 'TOTAL_BUILDINGS', count(DISTINCT b) FROM buildings)"""
+_HEADERS = """heads AS (SELECT * FROM (VALUES ('supplier', ['name', 'nation', 'balance']), ('customer', ['name', 'nation', 'segment']),
+  ('part', ['name', 'size', 'segment']), ('nation', ['name', 'nation'])) AS t(building, fields)),
+occ AS (SELECT field, count(*) AS count FROM (SELECT building, unnest(list_append(fields, 'TOTAL_BUILDINGS')) AS field FROM heads
+  WHERE building <> 'part' OR (SELECT count(*) FROM part) > 0) GROUP BY 1)"""
+
+
+@query("column_occurrence", with_sql(_HEADERS, select="SELECT field, count FROM occ"))
+def _(spark, sf):
+    return M.column_occurrence(spark, M.headers(spark, _exports(spark, sf)))
+
 
+_COMMON = """SELECT field, count FROM occ WHERE field <> 'TOTAL_BUILDINGS'
+AND count >= floor(0.75 * (SELECT count FROM occ WHERE field = 'TOTAL_BUILDINGS'))"""
 
-def _column_use(spark, sf):
-    named = [df.withColumn("b", F.lit(name)) for name, df in _buildings(spark, sf).items()]
-    return M.column_use(M.union_all(named), "b")
+
+@query("common_fields", with_sql(_HEADERS, select=_COMMON))
+def _(spark, sf):
+    return M.common_fields(M.column_occurrence(spark, M.headers(spark, _exports(spark, sf))), share=0.75)
 
 
-@query("column_occurrence", with_sql(_USE, select="SELECT field, count FROM occ"))
+@query("common_fields_pivot", with_sql(_HEADERS, select=_COMMON.replace("0.75", "0.5") + " AND field IN ('name', 'size', 'segment')"))
 def _(spark, sf):
-    return _column_use(spark, sf)
+    heads = M.headers(spark, _exports(spark, sf))
+    return M.common_fields(M.column_occurrence(spark, heads), share=0.5, pivot_fields=heads["part"])
+
+
+_USE = """buildings AS (SELECT 'supplier' AS b, s_name AS name, s_nationkey AS nation, s_acctbal AS balance, NULL AS segment, NULL AS size FROM supplier
+UNION ALL SELECT 'customer', c_name, c_nationkey, NULL, c_mktsegment, NULL FROM customer
+UNION ALL SELECT 'part', p_name, NULL, NULL, NULL, p_size FROM part
+UNION ALL SELECT 'nation', n_name, n_nationkey, NULL, NULL, NULL FROM nation)"""
 
 
 @query(
-    "common_fields",
-    with_sql(
-        _USE,
-        select="""SELECT field, count FROM occ WHERE field <> 'TOTAL_BUILDINGS'
-AND count >= floor(0.75 * (SELECT count FROM occ WHERE field = 'TOTAL_BUILDINGS'))""",
-    ),
+    "column_use",
+    with_sql(_USE, select=" UNION ALL ".join(
+        f"SELECT '{c}' AS field, count(DISTINCT b) AS count FROM buildings WHERE {c} IS NOT NULL" for c in ("name", "nation", "balance", "segment", "size")
+    ) + " UNION ALL SELECT 'TOTAL_BUILDINGS', count(DISTINCT b) FROM buildings"),
 )
 def _(spark, sf):
-    return M.common_fields(_column_use(spark, sf), share=0.75)
+    return M.column_use(M.scan_many(spark, _exports(spark, sf)), "building")
 
 
 @query(
     "columns_intersect",
-    """SELECT s_name AS name, s_nationkey AS nation FROM supplier UNION ALL SELECT c_name, c_nationkey FROM customer
-UNION ALL SELECT p_name, NULL FROM part UNION ALL SELECT n_name, n_nationkey FROM nation""",
+    """SELECT s_name AS name, s_nationkey::VARCHAR AS nation FROM supplier UNION ALL SELECT c_name, c_nationkey::VARCHAR FROM customer
+UNION ALL SELECT p_name, NULL FROM part UNION ALL SELECT n_name, n_nationkey::VARCHAR FROM nation""",
 )
 def _(spark, sf):
     return M.combine_common(_buildings(spark, sf), ["name", "nation"])
@@ -607,6 +677,27 @@ def energy_by_end_use(spark, sf):
     return rounded(out, ["energy"], 4)
 
 
+_RANGED = _METERS.replace(f"WHERE {PLAIN}", f"WHERE {PLAIN} AND {_IN_TIMES}")
+
+
+@query(
+    "energy_by_end_use_range",
+    with_sql(
+        "readings",
+        "enduse",
+        _RANGED,
+        _DELTAS,
+        select=f"""SELECT "siteRef", "endUseLabel" AS end_use_category, {rs("sum(delta)", 4)} AS energy, count(*) AS meters
+FROM deltas JOIN enduse USING ("uniqueID") GROUP BY 1, 2""",
+    ),
+)
+def _(spark, sf):
+    """The dashboard's query: always one site and a range of times."""
+    labels = T.end_use_labels(spark, sf)
+    out = energy.energy_by_end_use(stored_range(spark, sf), labels, site=_SITE, start=_START, end=_END)
+    return rounded(out, ["energy"], 4)
+
+
 @query("meter_delta", with_sql("readings", _METERS, _DELTAS, select=f'SELECT "siteRef", "uniqueID", {rs("delta")} AS delta FROM deltas'))
 def _(spark, sf):
     return rounded(energy.meter_delta(energy.meter_readings(T.readings(spark, sf))), ["delta"])

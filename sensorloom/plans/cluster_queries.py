@@ -8,6 +8,7 @@ from sensorloom.operators import blocks as B
 from sensorloom.operators import clustering as K
 from sensorloom.operators import coordinates as X
 from sensorloom.operators import linkage as L
+from sensorloom.operators.flow import cluster
 from sensorloom.plans.aggregate_queries import _NC_STATS, nc_stats
 from sensorloom.plans.registry import query, rounded, rs, with_sql
 from sensorloom.plans.sqltext import NC, TAGS, TYPED
@@ -64,7 +65,26 @@ def _(spark, sf):
     return K.agglom_threshold(sensor_points(spark, sf), 0.03)
 
 
-@query("agglom_single")
+def _linkage(height: str) -> tuple[str, ...]:
+    """Merge the closest two clusters, ties by name, until 20 are left; a cluster has its least id as name."""
+    return (
+        f"""lk AS (
+  SELECT 0 AS step, a, b, wa, wb, d AS h, '' AS p, '' AS q FROM pairs WHERE a <> b
+  UNION ALL
+  SELECT step + 1, na, nb, CASE WHEN na = p THEN sum(wa) ELSE max(wa) END, CASE WHEN nb = p THEN sum(wb) ELSE max(wb) END, {height}, p, q
+  FROM (SELECT l.step, l.wa, l.wb, l.h, m.p, m.q, CASE WHEN l.a = m.q THEN m.p ELSE l.a END AS na, CASE WHEN l.b = m.q THEN m.p ELSE l.b END AS nb
+    FROM lk l, (SELECT a AS p, b AS q FROM lk WHERE a < b ORDER BY h, a, b LIMIT 1) m WHERE l.step < (SELECT count(*) - 20 FROM shapes))
+  WHERE na <> nb GROUP BY step, p, q, na, nb)""",
+        "merged AS (SELECT DISTINCT p, q FROM lk WHERE q <> '')",
+        """up AS (SELECT id, id AS root FROM shapes UNION ALL SELECT up.id, merged.p FROM up JOIN merged ON up.root = merged.q)""",
+        "tops AS (SELECT id, min(root) AS cluster FROM up GROUP BY id)",
+    )
+
+
+_BY_SHAPE = "SELECT m.id, t.cluster FROM member m JOIN tops t ON m.shape = t.id"
+
+
+@query("agglom_single", with_sql(*_BASE, *_linkage("min(h)"), select=_BY_SHAPE))
 def agglom_single(spark, sf):
     return K.agglom_single(sensor_points(spark, sf), 20)
 
@@ -110,52 +130,46 @@ def _(spark, sf):
 # --- linkages and coordinates ------------------------------------------------------------
 
 
-@query("agglom_average")
+@query("agglom_average", with_sql(*_BASE, *_linkage("sum(h * wa * wb) / sum(wa * wb)"), select=_BY_SHAPE))
 def _(spark, sf):
     return L.agglom(sensor_points(spark, sf), 20, "average")
 
 
-@query("agglom_complete")
+@query("agglom_complete", with_sql(*_BASE, *_linkage("max(h)"), select=_BY_SHAPE))
 def _(spark, sf):
     return L.agglom(sensor_points(spark, sf), 20, "complete")
 
 
-def _coords(spark, sf):
-    """Sensors by their scaled mean and update rate."""
-    pts = sensor_points(spark, sf)
-    return pts.select("id", F.array(F.col("x")[0], F.col("x")[4]).alias("x"))
-
-
-@query("agglom_ward")
+@query("mds_2d")
 def _(spark, sf):
-    return L.ward(X.as_points(_coords(spark, sf)), 20)
+    return X.mds_2d(sensor_points(spark, sf))
 
 
-@query("mds_2d")
+@query("agglom_ward")
 def _(spark, sf):
-    return X.mds_2d(sensor_points(spark, sf), max_iter=10)
+    return cluster(sensor_points(spark, sf), "ward", 20)
 
 
 @query("kmeans")
 def _(spark, sf):
-    return X.kmeans(_coords(spark, sf), 5, starts=3)
+    return cluster(sensor_points(spark, sf), "kmeans", 20)
 
 
 @query("gmm")
 def _(spark, sf):
-    return X.gmm(_coords(spark, sf), 4, starts=2)
+    return cluster(sensor_points(spark, sf), "gmm", 20)
 
 
 @query("vb_gmm")
 def _(spark, sf):
-    return X.vb_gmm(_coords(spark, sf), 4)
+    return cluster(sensor_points(spark, sf), "vb_gmm", 20)
 
 
 @query("mean_shift")
 def _(spark, sf):
-    return X.mean_shift(_coords(spark, sf))
+    return cluster(sensor_points(spark, sf), "mean_shift")
 
 
 @query("fuzzy_cmeans")
 def _(spark, sf):
-    return X.fuzzy_cmeans(_coords(spark, sf), 5).select("id", "cluster")
+    return cluster(sensor_points(spark, sf), "fuzzy_cmeans", 20)

@@ -20,7 +20,7 @@ from sensorloom.operators import clusterhours as C
 from sensorloom.operators.classify import clf_bagging
 from sensorloom.operators.clustering import agglom_single
 from sensorloom.operators.encode import min_max_scale
-from sensorloom.operators.regress import join_ec_nc, ridge_fit
+from sensorloom.operators.regress import hour_features, meter_hours, ridge_fit
 from sensorloom.schemas import SENSOR_TAGS, STATS, UNKNOWN_CODE
 from sensorloom.scratch import cut_lineage
 from sensorloom.sources import metadata as M
@@ -54,9 +54,9 @@ def cluster_phase(readings: DataFrame, s: Settings) -> tuple[DataFrame, list[str
         stats.select("id", *SENSOR_TAGS).join(named.select("id", number.alias("cluster")), "id").drop("id"), "assignment"
     )
     ks = list(range(len(names)))
-    placed = C.join_readings_cluster(nc, assignment)
-    wide = C.cluster_hourly_wide(C.cluster_hourly_long(placed), ks)
-    rates = C.cluster_update_rate(C.cluster_update_counts(placed), C.sensors_per_cluster(assignment))
+    hours = C.sensor_hours(nc)
+    wide = C.cluster_hourly_wide(C.cluster_hourly_long(hours, assignment), ks)
+    rates = C.cluster_update_rate(C.cluster_update_counts(hours, assignment), C.sensors_per_cluster(assignment))
     return C.join_update_rates(wide, C.cluster_update_rate_wide(rates, ks)), C.feature_columns(ks)
 
 
@@ -66,7 +66,7 @@ def regression_phase(readings: DataFrame, features: DataFrame, columns: list[str
     stats = A.update_rate_ec(A.ec_sensor_stats(ec), A.days_of(ec).scalar()).withColumnRenamed("unit", "ec_unit")
     hours = min_max_scale(cut_lineage(A.ec_hourly_mean(ec), "ec_hours"), ["EC_mean_value"])
     scaled = min_max_scale(cut_lineage(features, "features"), columns)
-    return stats, cut_lineage(ridge_fit(join_ec_nc(hours, scaled, columns)), "ridge")
+    return stats, cut_lineage(ridge_fit(meter_hours(hours), cut_lineage(hour_features(scaled, columns), "hours")), "ridge")
 
 
 def classification_frame(
@@ -102,8 +102,8 @@ def predict_unknown(frame: DataFrame, trees: int = 100, model=clf_bagging) -> Da
     )
     train, unknown = flags.train_predict_split(rows)
     predicted = model(train, unknown, trees=trees).select("id", F.col("prediction").cast("int").alias("code"))
-    # One row per class.
-    names = train.select("code", "endUseLabel").distinct()
+    # One row per class, also when two spellings share a code.
+    names = train.groupBy("code").agg(F.min("endUseLabel").alias("endUseLabel"))
     return train.select("id", "code").unionByName(predicted).join(names, "code").select(F.col("id").alias("uniqueId"), "endUseLabel")
 
 

@@ -31,46 +31,63 @@ xy AS (SELECT "uniqueId", date, hour, y, f1, f2 FROM eh JOIN hf USING (date, hou
 _REG = ("readings", TYPED, EC, NC, _HOURS)
 
 
-def hour_rows(spark, sf, columns=("f1", "f2")):
+def regression_parts(spark, sf, columns=("f1", "f2")):
+    """Hours of the meters, and the features of each hour."""
     nc = R.scan_nc(typed(spark, sf))
     stats = A.agg_numeric(nc, ["date", "hour"], ["mean", "max"])
     features = stats.select("date", "hour", F.round("mean", 6).alias("f1"), F.round("max", 6).alias("f2"))
-    return G.join_ec_nc(A.ec_hourly_mean(ec(spark, sf)), features, list(columns))
+    hours = cut_lineage(G.hour_features(features, list(columns)), "hours")
+    return G.meter_hours(A.ec_hourly_mean(ec(spark, sf))), hours
+
+
+def hour_rows(spark, sf):
+    meters, hours = regression_parts(spark, sf)
+    return meters.join(hours, ["date", "hour"])
+
+
+def models(spark, sf):
+    return G.ridge_fit(*regression_parts(spark, sf))
 
 
 @query("join_ec_nc", with_sql(*_REG, select=f'SELECT "uniqueId", date, hour, {rs("y")} AS y, {rs("f1")} AS f1, {rs("f2")} AS f2 FROM xy'))
 def _(spark, sf):
-    rows = hour_rows(spark, sf)
+    nc = A.agg_numeric(R.scan_nc(typed(spark, sf)), ["date", "hour"], ["mean", "max"])
+    features = nc.select("date", "hour", F.round("mean", 6).alias("f1"), F.round("max", 6).alias("f2"))
+    rows = G.join_ec_nc(A.ec_hourly_mean(ec(spark, sf)), features, ["f1", "f2"])
     return rows.select("uniqueId", "date", "hour", r("y").alias("y"), r(F.col("x")[0]).alias("f1"), r(F.col("x")[1]).alias("f2"))
 
 
 _ALPHA_LIST = "[" + ", ".join(repr(a) for a in G.ALPHAS) + "]"
 
 
-@query(
-    "ridge_alpha_loo",
-    with_sql(
-        *_REG,
-        f"""c AS (SELECT "uniqueId", y - avg(y) OVER w AS yc, f1 - avg(f1) OVER w AS xc, count(*) OVER w AS n FROM xy WINDOW w AS (PARTITION BY "uniqueId")),
-s AS (SELECT *, sum(xc * xc) OVER w AS sxx, sum(xc * yc) OVER w AS sxy FROM c WINDOW w AS (PARTITION BY "uniqueId")),
+_CHOSEN = f"""c AS (SELECT "uniqueId", y - avg(y) OVER w AS yc, f1 - avg(f1) OVER w AS x1, f2 - avg(f2) OVER w AS x2, count(*) OVER w AS n
+  FROM xy WINDOW w AS (PARTITION BY "uniqueId")),
+turn AS (SELECT "uniqueId" AS m, 0.5 * atan2(2 * sum(x1 * x2), sum(x1 * x1) - sum(x2 * x2)) AS t FROM c GROUP BY 1),
+zr AS (SELECT c.*, x1 * cos(t) + x2 * sin(t) AS z1, x2 * cos(t) - x1 * sin(t) AS z2 FROM c JOIN turn ON c."uniqueId" = turn.m),
+s AS (SELECT *, sum(z1 * z1) OVER w AS l1, sum(z2 * z2) OVER w AS l2, sum(z1 * yc) OVER w AS q1, sum(z2 * yc) OVER w AS q2
+  FROM zr WINDOW w AS (PARTITION BY "uniqueId")),
 al AS (SELECT unnest({_ALPHA_LIST})::DOUBLE AS alpha),
-e AS (SELECT "uniqueId", alpha, avg(CASE WHEN 1 - (1.0 / n + xc * xc / (sxx + alpha)) > 1e-12
-  THEN pow((yc - xc * sxy / (sxx + alpha)) / (1 - (1.0 / n + xc * xc / (sxx + alpha))), 2) ELSE 0 END) AS loo FROM s, al GROUP BY 1, 2)""",
-        select=f"""SELECT "uniqueId", min(alpha) AS alpha FROM (SELECT *, min(loo) OVER (PARTITION BY "uniqueId") AS best FROM e)
-WHERE loo <= best * (1 + 1e-4) + 1e-15 GROUP BY 1""",
-    ),
-)
+u AS (SELECT "uniqueId", alpha, yc - z1 * q1 / (l1 + alpha) - z2 * q2 / (l2 + alpha) AS e,
+  1 - (1.0 / n + z1 * z1 / (l1 + alpha) + z2 * z2 / (l2 + alpha)) AS free FROM s, al),
+e AS (SELECT "uniqueId", alpha, avg(CASE WHEN free > {G.LEAST_FREE} THEN pow(e / free, 2) ELSE 'Infinity'::DOUBLE END) AS loo FROM u GROUP BY 1, 2),
+chosen AS (SELECT "uniqueId", min(alpha) AS alpha FROM (SELECT *, min(loo) OVER (PARTITION BY "uniqueId") AS best FROM e)
+  WHERE loo <= best * (1 + {G.LOO_TIE}) + 1e-15 GROUP BY 1)"""
+
+
+@query("ridge_alpha_loo", with_sql(*_REG, _CHOSEN, select='SELECT "uniqueId", alpha FROM chosen'))
 def _(spark, sf):
-    return G.ridge_fit(hour_rows(spark, sf, ["f1"])).select("uniqueId", "alpha")
+    return models(spark, sf).select("uniqueId", "alpha")
 
 
-_SOLVED = """m AS (SELECT "uniqueId", avg(y) AS my, avg(f1) AS m1, avg(f2) AS m2, count(*) AS hours FROM xy GROUP BY 1),
+_SOLVED = f"""{_CHOSEN},
+m AS (SELECT "uniqueId", avg(y) AS my, avg(f1) AS m1, avg(f2) AS m2, count(*) AS hours FROM xy GROUP BY 1),
 g AS (SELECT "uniqueId", any_value(my) AS my, any_value(m1) AS m1, any_value(m2) AS m2, any_value(hours) AS hours,
   sum((f1 - m1) * (f1 - m1)) AS q1, sum((f2 - m2) * (f2 - m2)) AS q2,
   sum((f1 - m1) * (f2 - m2)) AS q12, sum((f1 - m1) * (y - my)) AS p1, sum((f2 - m2) * (y - my)) AS p2
   FROM xy JOIN m USING ("uniqueId") GROUP BY 1),
 n AS (SELECT *, CASE WHEN q1 = 0 THEN 1 ELSE sqrt(q1) END AS l1, CASE WHEN q2 = 0 THEN 1 ELSE sqrt(q2) END AS l2 FROM g),
-z AS (SELECT *, q1 / (l1 * l1) + 1 AS a11, q2 / (l2 * l2) + 1 AS a22, q12 / (l1 * l2) AS a12, p1 / l1 AS b1, p2 / l2 AS b2 FROM n),
+z AS (SELECT *, q1 / (l1 * l1) + alpha AS a11, q2 / (l2 * l2) + alpha AS a22, q12 / (l1 * l2) AS a12, p1 / l1 AS b1, p2 / l2 AS b2
+  FROM n JOIN chosen USING ("uniqueId")),
 models AS (SELECT *, (a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12) / l1 AS c1, (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) / l2 AS c2 FROM z)"""
 
 
@@ -80,7 +97,7 @@ models AS (SELECT *, (a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12) / l1 AS c1,
              select=f"""SELECT "uniqueId", {rs('c1')} AS c1, {rs('c2')} AS c2, {rs('my - c1 * m1 - c2 * m2', 5)} AS intercept, hours FROM models"""),
 )
 def ridge_fit(spark, sf):
-    m = G.ridge_fit(hour_rows(spark, sf), alpha=1.0)
+    m = models(spark, sf)
     return m.select(
         "uniqueId", r(F.col("coefficients")[0]).alias("c1"), r(F.col("coefficients")[1]).alias("c2"), r("intercept", 5).alias("intercept"), "hours"
     )
@@ -91,13 +108,12 @@ _MSE = """mse AS (SELECT "uniqueId", avg(pow(y - (my - c1 * m1 - c2 * m2 + c1 *
 
 @query("ridge_mse", with_sql(*_REG, _SOLVED, _MSE, select=f'SELECT "uniqueId", {rs("mse", 4)} AS mse FROM mse'))
 def _(spark, sf):
-    rows = hour_rows(spark, sf)
-    return rounded(G.ridge_mse(rows, G.ridge_fit(rows, alpha=1.0)), ["mse"], 4)
+    return rounded(G.ridge_mse(hour_rows(spark, sf), models(spark, sf)), ["mse"], 4)
 
 
 @query("avg_mse", with_sql(*_REG, _SOLVED, _MSE, select=f"SELECT {rs('avg(mse)', 4)} AS avg_mse FROM mse"))
 def _(spark, sf):
-    return rounded(G.avg_mse(G.ridge_fit(hour_rows(spark, sf), alpha=1.0)), ["avg_mse"], 4)
+    return rounded(G.avg_mse(models(spark, sf)), ["avg_mse"], 4)
 
 
 @query(
@@ -106,7 +122,7 @@ def _(spark, sf):
              select=f"""SELECT "uniqueId", 0 AS feature, {rs('c1')} AS value FROM models UNION ALL SELECT "uniqueId", 1, {rs('c2')} FROM models"""),
 )
 def _(spark, sf):
-    return rounded(G.coefficient_features(G.ridge_fit(hour_rows(spark, sf), alpha=1.0)), ["value"])
+    return rounded(G.coefficient_features(models(spark, sf)), ["value"])
 
 
 @query(
@@ -116,7 +132,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     stats = A.ec_sensor_stats(ec(spark, sf)).select("uniqueId", "mean")
-    both = G.join_coefficients(stats, G.ridge_fit(hour_rows(spark, sf), alpha=1.0))
+    both = G.join_coefficients(stats, models(spark, sf))
     return both.select("uniqueId", r("mean").alias("mean"), r(F.col("coefficients")[0]).alias("c1"), r(F.col("coefficients")[1]).alias("c2"))
 
 
@@ -362,7 +378,7 @@ def model_comparison(spark, sf):
 def _two_results(spark, sf):
     split = vectors(spark, sf)
     out = None
-    for name, fit in (("knn", K.clf_knn), ("naive_bayse", K.clf_gaussian_nb)):
+    for name, fit in (("neighbours", K.clf_knn), ("gaussian_nb", K.clf_gaussian_nb)):
         pred = cut_lineage(fit(*split), "pred")
         row = Q.classification_metrics(pred).withColumns({"logloss": Q.log_loss(pred).scalar(), "model": F.lit(name)})
         out = row if out is None else out.unionByName(row)
@@ -389,8 +405,8 @@ _RESULTS = (
     _SPLIT,
     _named(_KNN, "knn"),
     _named(_NB, "nb"),
-    _result_row("knn", "knn"),
-    _result_row("nb", "naive_bayse"),
+    _result_row("knn", "neighbours"),
+    _result_row("nb", "gaussian_nb"),
     "results AS (SELECT * FROM row_knn UNION ALL SELECT * FROM row_nb)",
 )
 _WINS = " + ".join(

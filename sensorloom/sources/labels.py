@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Fixed value: labels carry one constant time, so a new write replaces the old label.
 LABEL_TIME = "2020-01-01 00:00:00"
@@ -44,3 +46,31 @@ def labels_upsert(existing: DataFrame, updates: DataFrame) -> DataFrame:
 def labels_write(labels: DataFrame, path: str) -> None:
     """Write a checked label table as CSV with a header."""
     labels_unique_guard(labels).select("uniqueID", "endUseLabel").write.option("header", True).csv(path)
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Finished versions of a label store, oldest first; a version is finished once its marker is there."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(hadoop):
+        return []
+    names = sorted(s.getPath().getName() for s in files.listStatus(hadoop))
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return [n for n in names if files.exists(marker(f"{path}/{n}/_SUCCESS"))]
+
+
+def labels_store(updates: DataFrame, path: str) -> None:
+    """Add or replace labels in a store: the updates are checked, merged and written as a new version.
+
+    Readers go on with the version before until the new one is finished.
+    """
+    checked = labels_unique_guard(updates)
+    spark = updates.sparkSession
+    versions = _versions(spark, path)
+    old = spark.read.parquet(f"{path}/{versions[-1]}") if versions else checked.limit(0)
+    number = int(versions[-1].split("-")[0]) + 1 if versions else 0
+    labels_upsert(old, checked).write.parquet(f"{path}/{number:08d}-{uuid.uuid4().hex[:8]}")
+
+
+def stored_labels(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{_versions(spark, path)[-1]}")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sensorloom.functions.flags import checkmark_flags, checkmark_to_int, unit_omit
 from sensorloom.functions.ids import strip_ref, unique_id_metadata
@@ -28,14 +29,41 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def column_occurrence(buildings: dict[str, DataFrame]) -> DataFrame:
-    """How many buildings have each column, and the number of buildings.
+def headers(spark: SparkSession, folder: str) -> dict[str, list[str]]:
+    """The columns of each building's export: ``folder/<building>.csv`` or ``folder/<building>/*.csv``.
 
-    Only schemas are looked at, so no data is read.
+    Files are listed without their contents, and of each building one header line is read.
     """
-    spark = next(iter(buildings.values())).sparkSession
-    rows = [(name, c) for name, df in buildings.items() for c in df.columns]
-    rows += [(name, TOTAL_FIELD) for name in buildings]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(folder)
+    inside = F.element_at(F.split("path", re.escape(folder.rstrip("/").rsplit("/", 1)[-1]) + "/"), -1)
+    building = F.regexp_replace(F.split(inside, "/")[0], r"\.csv$", "")
+    # One short row per building.
+    rows = files.groupBy(building.alias("building")).agg(F.min("path").alias("path")).orderBy("building").collect()
+    return {r["building"]: scan_metadata_strings(spark, r["path"]).columns for r in rows}
+
+
+def scan_many(spark: SparkSession, folder: str) -> DataFrame:
+    """All exports of a folder as text, with the ``building``; a column an export lacks is null there.
+
+    Exports with the same header are one scan; one scan over all would go by the first header.
+    """
+    kinds: dict[tuple[str, ...], list[str]] = {}
+    for building, columns in headers(spark, folder).items():
+        kinds.setdefault(tuple(columns), []).append(building)
+    frames = []
+    for columns, buildings in kinds.items():
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        paths = [f"{folder}/{{{b},{b}.csv}}" for b in buildings]
+        scan = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+        name = F.regexp_extract("_metadata.file_path", re.escape(folder.rstrip("/").rsplit("/", 1)[-1]) + r"/([^/]+?)(\.csv)?(/|$)", 1)
+        frames.append(scan.csv(paths).withColumn("building", name))
+    return union_all(frames)
+
+
+def column_occurrence(spark: SparkSession, headers: dict[str, list[str]]) -> DataFrame:
+    """How many buildings have each column in their header, filled or not, and the number of buildings."""
+    rows = [(name, c) for name, columns in headers.items() for c in columns]
+    rows += [(name, TOTAL_FIELD) for name in headers]
     return (
         spark.createDataFrame(rows, "building string, field string")
         .groupBy("field")

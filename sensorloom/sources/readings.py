@@ -146,3 +146,18 @@ def write_readings_by_day(df: DataFrame, path: str, fmt: str = "parquet", ts: st
         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
         .save(path)
     )
+
+
+def read_stored_days(
+    spark: SparkSession, path: str, start: str | None = None, end: str | None = None, fmt: str = "parquet"
+) -> DataFrame:
+    """Readings that ``write_readings_by_day`` stored; folders of other days are not listed or read.
+
+    ``start`` and ``end`` are days or times; the range within a day is left to the scan predicates.
+    """
+    df = spark.read.format(fmt).load(path).withColumn("date", F.col("date").cast("string"))
+    if start is not None:
+        df = df.filter(F.col("date") >= check_day(start)[:10])
+    if end is not None:
+        df = df.filter(F.col("date") <= check_day(end)[:10])
+    return df

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sensorloom.functions.values import numeric_value, value_type
-from sensorloom.operators.aggregate import append_agg_exact, numeric_partials
+from sensorloom.operators.aggregate import append_agg_exact, merge_partials, numeric_partials
 
 
 def hourly_windows(readings: DataFrame, keys: Sequence[str], delay: str = "10 minutes") -> DataFrame:
@@ -38,14 +39,45 @@ def stream_rollup_hourly(readings: DataFrame, keys: Sequence[str], out: str, che
     )
 
 
-def stream_fold(readings: DataFrame, keys: Sequence[str], state: str, checkpoint: str) -> StreamingQuery:
+# Batches that stay on their own before they are merged into one.
+COMPACT_AFTER = 16
+
+
+def _batches(spark: SparkSession, state: str) -> dict[tuple[int, int], str]:
+    """Finished partial results by the batch numbers, first and last, that they hold; the widest of nested ones."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(state)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return {}
+    found = {}
+    for status in files.listStatus(root):
+        name = status.getPath().getName()
+        span = re.fullmatch(r"batches-(\d+)-(\d+)", name)
+        if span and files.exists(jvm.org.apache.hadoop.fs.Path(f"{state}/{name}/_SUCCESS")):
+            found[int(span[1]), int(span[2])] = f"{state}/{name}"
+    return {k: path for k, path in found.items() if not any(o != k and o[0] <= k[0] and k[1] <= o[1] for o in found)}
+
+
+def stream_fold(
+    readings: DataFrame, keys: Sequence[str], state: str, checkpoint: str, compact_after: int = COMPACT_AFTER
+) -> StreamingQuery:
     """Keep running totals per key: each micro-batch writes its partial aggregate.
 
-    A batch owns the folder of its number, so a replay overwrites instead of adding.
+    A batch owns the folder of its number, so a replay overwrites instead of adding. Once there
+    are ``compact_after`` folders, all batches before the current one are merged into one folder
+    that names the first and last of them; readers then pass over the folders it covers. Only
+    finished folders count, and a batch that may still be replayed is never merged.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        numeric_partials(batch, keys).write.mode("overwrite").parquet(f"{state}/batch={number}")
+        spark = batch.sparkSession
+        numeric_partials(batch, keys).write.mode("overwrite").parquet(f"{state}/batches-{number}-{number}")
+        older = {k: path for k, path in _batches(spark, state).items() if k[1] < number}
+        if len(older) >= compact_after:
+            merged = merge_partials(spark.read.parquet(*older.values()), keys)
+            first, last = min(k[0] for k in older), max(k[1] for k in older)
+            merged.write.mode("overwrite").parquet(f"{state}/batches-{first}-{last}")
 
     return (
         readings.writeStream.foreachBatch(write)
@@ -57,4 +89,4 @@ def stream_fold(readings: DataFrame, keys: Sequence[str], state: str, checkpoint
 
 def folded(spark: SparkSession, state: str, keys: Sequence[str]) -> DataFrame:
     """The totals so far: an exact merge of all batches."""
-    return append_agg_exact(spark.read.parquet(state).drop("batch"), keys)
+    return append_agg_exact(spark.read.parquet(*_batches(spark, state).values()), keys)

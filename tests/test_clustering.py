@@ -10,6 +10,8 @@ from sensorloom.operators import clustering as K
 from sensorloom.operators import coordinates as X
 from sensorloom.operators import forest as Fo
 from sensorloom.operators import linkage as L
+from sensorloom.operators import mixtures as Mx
+from sensorloom.operators.flow import cluster
 
 
 def make(spark, n=60, seed=1, dims=2, cats=("u", "v", "w"), copies=20):
@@ -77,6 +79,44 @@ def test_linkages_match_the_naive_algorithm(spark, monkeypatch, how):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [4, 6, 16, 1024])
+def test_single_linkage_of_a_grid_does_not_depend_on_blocks(spark, monkeypatch, block):
+    """All distances between neighbours are equal, so ties decide everything."""
+    monkeypatch.setattr(B, "BLOCK_ROWS", block)
+    rows = [(f"g{i}{j}", [i / 5, j / 5], ["k"]) for i in range(6) for j in range(6)]
+    df = spark.createDataFrame(rows, "id string, x array<double>, c array<string>")
+    d = gower_matrix(rows)
+    edges = sorted((d[i, j], rows[i][0], rows[j][0]) for i in range(36) for j in range(i + 1, 36))
+    top = {r[0]: r[0] for r in rows}
+    groups = 36
+    for _, a, b in edges:
+        if groups > 6 and top[a] != top[b]:
+            old, new = max(top[a], top[b]), min(top[a], top[b])
+            top = {k: new if v == old else v for k, v in top.items()}
+            groups -= 1
+    assert {r["id"]: r["cluster"] for r in K.agglom_single(df, 6).collect()} == top
+
+
+def test_only_blocks_within_reach_get_points(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK_ROWS", 10)
+    rows = [(f"p{i:03d}", [i / 10], []) for i in range(100)]
+    points = B.blocked(spark.createDataFrame(rows, "id string, x array<double>, c array<string>"))
+    for metric in (B.gower, B.euclidean):
+        formed = {(r["b1"], r["b2"]) for r in B.block_pairs(points, within=0.05, metric=metric).collect()}
+        assert all(b - a <= 1 for a, b in formed) and len(formed) < 25
+        assert B.block_pairs(points, metric=metric).count() == 55
+
+
+def test_cluster_scales_features_first_where_the_kind_needs_it(spark):
+    df = blobs(spark).withColumn("c", F.array().cast("array<string>"))
+    for kind in ("ward", "kmeans", "single", "complete"):
+        got = cluster(df, kind, 3, metric=B.euclidean)
+        found = got.select(F.substring("id", 1, 2).alias("b"), "cluster").distinct().collect()
+        assert len(found) == 3 and len({r["cluster"] for r in found}) == 3
+    with pytest.raises(ValueError):
+        cluster(df, "unknown", 3)
+
+
 def test_ward_matches_the_naive_algorithm(spark, monkeypatch):
     monkeypatch.setattr(B, "BLOCK_ROWS", 10)
     rows, df = make(spark, n=28, cats=None, copies=10)
@@ -96,7 +136,7 @@ def test_spanning_tree_weight(spark, block_rows):
     d = gower_matrix(rows)
     tree = Fo.spanning_tree(70, B.spanning_candidates(B.blocked(df.withColumn("w", F.lit(1.0)))))
     edges = tree.collect()
-    i, j, w = B._spanning(d, math.inf)
+    i, j, w = B._spanning(d, np.array([r[0] for r in rows], dtype=object), math.inf)
     assert len(edges) == 69 and sum(e["dist"] for e in edges) == pytest.approx(w.sum())
 
 
@@ -175,9 +215,9 @@ def blobs(spark, per=30, seed=2):
 @pytest.mark.parametrize(
     "run",
     [
-        lambda c: X.kmeans(c, 3, starts=3),
-        lambda c: X.gmm(c, 3, starts=3),
-        lambda c: X.vb_gmm(c, 3),
+        lambda c: Mx.kmeans(c, 3),
+        lambda c: Mx.gmm(c, 3),
+        lambda c: Mx.vb_gmm(c, 3),
         lambda c: X.mean_shift(c, bandwidth=1.0),
         lambda c: X.fuzzy_cmeans(c, 3, m=2.0),
     ],

@@ -52,13 +52,41 @@ def points(spark, per=40):
 
 @pytest.mark.parametrize("name", list(C.CLASSIFIERS))
 def test_classifiers_separate_clear_classes(spark, name):
-    few = {"random_forest": {"trees": 10}, "extremely_random_trees": {"trees": 10}, "bagging": {"trees": 10}, "adaboost": {"rounds": 8}, "gradientboost": {"rounds": 3}}
+    few = {"forest": {"trees": 10}, "extra_trees": {"trees": 10}, "bagged_trees": {"trees": 10}, "boosted_stumps": {"rounds": 8}, "boosted_trees": {"rounds": 3}}
     pred = C.CLASSIFIERS[name](*points(spark), **few.get(name, {})).collect()
     assert len(pred) == 24
     assert sum(p["prediction"] == p["label"] for p in pred) >= 22
     assert all(0 <= p["p_true"] <= 1 for p in pred)
 
 
+def test_boosted_stumps_equal_plain_reweighting(spark):
+    from sensorloom.operators import boosting as Bo
+
+    train, test = points(spark)
+    rows = train.orderBy("id").collect()
+    cuts = Bo.cut_points(train.select(C.vector_to_array("features").alias("x")))
+    x, y = Bo.binned(np.array([r.features.toArray() for r in rows]), cuts), np.array([int(r.label) for r in rows])
+    w, stumps = np.ones(len(y)), []
+    for _ in range(6):
+        best = None
+        for f in range(x.shape[1]):
+            for t in range(Bo.BINS - 1):
+                sides = [np.bincount(y[m], w[m], 3) for m in (x[:, f] <= t, x[:, f] > t)]
+                gini = sum(s.sum() - (s**2).sum() / s.sum() if s.sum() else 0.0 for s in sides) / w.sum()
+                if best is None or round(gini, 12) < best[0]:
+                    best = (round(gini, 12), f, t, int(sides[0].argmax()), int(sides[1].argmax()))
+        _, f, t, left, right = best
+        wrong = np.where(x[:, f] <= t, left, right) != y
+        error = w[wrong].sum() / w.sum()
+        alpha = np.log((1 - error) / error) + np.log(2)
+        stumps.append((f, t, left, right, alpha))
+        w = w * np.exp(alpha * wrong)
+    seen = test.orderBy("id").collect()
+    votes = Bo._votes(Bo.binned(np.array([r.features.toArray() for r in seen]), cuts), stumps, 3)
+    got = {r["id"]: r["prediction"] for r in Bo.adaboost(train.repartition(5), test, 6).collect()}
+    assert got == {r["id"]: float(v.argmax()) for r, v in zip(seen, votes)}
+
+
 def test_metrics_by_hand(spark):
     pred = spark.createDataFrame([(0.0, 0.0, 0.9), (0.0, 1.0, 0.2), (1.0, 1.0, 0.6), (2.0, 1.0, 0.1)], "label double, prediction double, p_true double")
     m = M.classification_metrics(pred).first()
