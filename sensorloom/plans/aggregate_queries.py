@@ -436,6 +436,19 @@ def _(spark, sf):
     return out.select("seq", *[c for c in out.columns if c.startswith("siteRef_")])
 
 
+@query(
+    "one_hot_sparse",
+    with_sql(
+        "readings",
+        """firsts AS (SELECT "equipRef" AS e, row_number() OVER (ORDER BY min(struct_pack(t := datetime, s := seq))) - 1 AS code, count(*) OVER () AS width
+  FROM readings GROUP BY 1)""",
+        select='SELECT seq, code, width FROM readings JOIN firsts ON "equipRef" = e',
+    ),
+)
+def _(spark, sf):
+    return E.one_hot_sparse(T.readings(spark, sf), "equipRef").select("seq", "code", "width")
+
+
 @query(
     "encode_units",
     with_sql("readings", _CODES.format(c="unit", t="readings"),
@@ -499,4 +512,4 @@ def _(spark, sf):
     with_sql("readings", TYPED, select=f"""SELECT "siteRef", unit, {rs("median(x)")} AS median, count(x) AS count FROM typed WHERE kind = 'num' GROUP BY ALL"""),
 )
 def _(spark, sf):
-    return rounded(A.agg_median(typed(spark, sf), ["siteRef", "unit"]), ["median"])
+    return rounded(A.agg_numeric(typed(spark, sf), ["siteRef", "unit"], "median"), ["median"])

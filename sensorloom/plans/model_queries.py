@@ -226,23 +226,42 @@ def _(spark, sf):
     return rounded(S.anova_f(S.feature_frame(meter_frame(spark, sf), unit=None), _NUMS, "endUseLabel"), ["score"])
 
 
+def study(spark, sf):
+    """The labelled meters with all numeric columns and a 0/1 column for each category they have."""
+    frame = cut_lineage(S.feature_frame(meter_frame(spark, sf)).na.fill("none", _CATS), "study")
+    # Flags and rule groups: a fixed, short list of values each.
+    found = {c: [v for v in E.categories(frame, c) if v is not None] for c in _CATS}
+    hot = {f"{c}={v}": (F.col(c) == v).cast("int") for c, values in found.items() for v in values}
+    named = {f"f{i}": column for i, column in enumerate(hot.values())}
+    return frame.withColumns(named), list(named), list(hot)
+
+
 @query("rfecv_linear")
 def _(spark, sf):
-    frame = S.feature_frame(meter_frame(spark, sf))
-    names = {f"{c}_{v}": (F.col(c) == v).cast("int") for c, v in [("energy", "yes_energy"), ("power", "yes_power"), ("gas", "yes_gas"), ("equip", "Cooling"), ("nav", "Energy")]}
-    return S.rfecv(frame.withColumns(names), list(names), "endUseLabel", "uniqueId", S.linear_svc())
+    """Elimination over all one-hot columns by a linear SVM that converges."""
+    frame, columns, _ = study(spark, sf)
+    return S.rfecv(frame, columns, "endUseLabel", "uniqueId", S.linear_svc())
 
 
 @query("rfecv_forest")
 def _(spark, sf):
+    """Elimination over all numeric columns by a forest of 100 trees."""
     frame = S.feature_frame(meter_frame(spark, sf), unit=None)
-    return S.rfecv(frame, _NUMS, "endUseLabel", "uniqueId", S.forest(trees=20))
+    return S.rfecv(frame, _NUMS, "endUseLabel", "uniqueId", S.forest())
 
 
 @query("cv_score_table")
 def _(spark, sf):
     frame = S.feature_frame(meter_frame(spark, sf), unit=None)
-    return S.rfecv(frame, ["mean", "std"], "endUseLabel", "uniqueId", S.forest(trees=20)).select("num_features", "score")
+    return S.rfecv(frame, _NUMS, "endUseLabel", "uniqueId", S.forest()).select("num_features", "score")
+
+
+@query("select_best_count")
+def _(spark, sf):
+    """As many categories as the elimination found best, chosen by mutual information."""
+    frame, columns, _ = study(spark, sf)
+    k = S.best_count(S.rfecv(frame, columns, "endUseLabel", "uniqueId", S.linear_svc()))
+    return S.select_k_best(rounded(S.mutual_information(frame, _CATS, "endUseLabel"), ["score"]), k)
 
 
 # --- classifiers on the embedding table ---------------------------------------------------------
@@ -317,16 +336,13 @@ def _(spark, sf):
     return rounded(Q.log_loss(K.clf_gaussian_nb(*vectors(spark, sf))), ["logloss"])
 
 
-# Rounds of the boosted models in the named queries; the library default is 100.
-_ROUNDS = 5
-
-
 def _meters_split(spark, sf):
-    """Labelled meters as vectors of their statistics and chosen categories."""
-    frame = S.feature_frame(meter_frame(spark, sf)).withColumn("code", flags.label_code())
-    cols = {f"is_{i}": (F.col(c) == v).cast("int") for i, (c, v) in enumerate([("energy", "yes_energy"), ("power", "yes_power"), ("equip", "Cooling"), ("equip", "Heating"), ("nav", "Energy")])}
-    rows = K.assemble(frame.withColumns(cols), "uniqueId", [*_NUMS, *cols], "code")
-    return tuple(cut_lineage(part, "split") for part in E.train_test_split(rows, "id", 0.2))
+    """Labelled meters as vectors: statistics scaled by the training part, and all categories."""
+    frame, columns, _ = study(spark, sf)
+    rows = frame.withColumn("code", flags.label_code()).withColumns({c: F.col(c).cast("double") for c in _NUMS})
+    train, test = (cut_lineage(part, "split") for part in E.train_test_split(rows, "uniqueId", 0.2))
+    scaled = (E.standard_scale(train, part, _NUMS) for part in (train, test))
+    return tuple(cut_lineage(K.assemble(part, "uniqueId", [*_NUMS, *columns], "code"), "split") for part in scaled)
 
 
 @query("clf_bagging")
@@ -361,18 +377,17 @@ def _(spark, sf):
 
 @query("clf_adaboost")
 def _(spark, sf):
-    return K.clf_adaboost(*_meters_split(spark, sf), rounds=_ROUNDS)
+    return K.clf_adaboost(*_meters_split(spark, sf))
 
 
 @query("clf_gbt")
 def _(spark, sf):
-    return K.clf_gbt(*_meters_split(spark, sf), rounds=_ROUNDS)
+    return K.clf_gbt(*_meters_split(spark, sf))
 
 
 @query("model_comparison")
 def model_comparison(spark, sf):
-    few = {"adaboost": {"rounds": _ROUNDS}, "gradientboost": {"rounds": _ROUNDS}}
-    return K.model_comparison(*_meters_split(spark, sf), options=few)
+    return K.model_comparison(*_meters_split(spark, sf))
 
 
 def _two_results(spark, sf):
@@ -431,20 +446,61 @@ def _(spark, sf):
     return Q.best_by_metric(_two_results(spark, sf))
 
 
-@query("predict_unknown")
-def _(spark, sf):
-    frame = meter_frame(spark, sf)
-    x = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in _NUMS])
+def _predicted(spark, sf):
+    """Labels of all meters from the frame of the job: statistics, flags and rule groups."""
+    frame = meter_frame(spark, sf).na.fill("none", _CATS)
+    found = {c: [v for v in E.categories(frame, c) if v is not None] for c in _CATS}
+    hot = {f"h{i}": (F.col(c) == v).cast("int") for i, (c, v) in enumerate((c, v) for c in _CATS for v in found[c])}
+    scaled = E.min_max_scale(cut_lineage(frame.withColumns(hot), "frame"), _NUMS)
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in [*_NUMS, *hot]])
     code = F.coalesce(flags.label_code(), F.lit(99))
-    rows = frame.select("uniqueId", code.alias("code"), flags.label_or_unknown().alias("endUseLabel"), array_to_vector(x).alias("features"))
+    rows = scaled.select("uniqueId", code.alias("code"), flags.label_or_unknown().alias("endUseLabel"), array_to_vector(x).alias("features"))
     return LU.predict_unknown(cut_lineage(rows, "frame"))
 
 
+@query("predict_unknown")
+def _(spark, sf):
+    return _predicted(spark, sf)
+
+
+def _kept_labels(out, training):
+    """Given labels that came out as they went in, and how many meters have any label."""
+    given = training.select(ids.unique_id().alias("uniqueId"), "endUseLabel").filter(flags.label_code().isNotNull()).distinct()
+    known = given.groupBy("uniqueId").agg(F.min("endUseLabel").alias("endUseLabel"), F.count("*").alias("n")).filter("n = 1").drop("n")
+    return out.join(known.withColumnRenamed("endUseLabel", "given"), "uniqueId").select(
+        "uniqueId", "given", (F.col("given") == F.col("endUseLabel")).alias("kept")
+    )
+
+
+_GIVEN = f"""given AS (SELECT DISTINCT {UNIQUE_ID} AS "uniqueId", "endUseLabel" FROM training WHERE "endUseLabel" SIMILAR TO '0[0-5]_.*'),
+single AS (SELECT "uniqueId", min("endUseLabel") AS given FROM given GROUP BY 1 HAVING count(*) = 1),
+meters AS (SELECT DISTINCT "uniqueId" FROM ec)"""
+_KEPT = 'SELECT "uniqueId", given, true AS kept FROM single WHERE "uniqueId" IN (SELECT "uniqueId" FROM meters)'
+
+
+@query("predict_unknown_given", with_sql("readings", "training", TYPED, EC, _GIVEN, select=_KEPT))
+def _(spark, sf):
+    """Meters with a label keep it; checked row by row."""
+    return _kept_labels(_predicted(spark, sf), T.training_labels(spark, sf))
+
+
 @query("label_unknown")
 def label_unknown(spark, sf):
     return LU.label_unknown(T.readings(spark, sf), T.points(spark, sf), T.training_labels(spark, sf))
 
 
+@query("label_unknown_given", with_sql("readings", "training", TYPED, EC, _GIVEN, select=_KEPT))
+def _(spark, sf):
+    return _kept_labels(label_unknown(spark, sf), T.training_labels(spark, sf))
+
+
+@query("label_unknown_meters", with_sql("readings", TYPED, EC, select='SELECT DISTINCT "uniqueId", true AS labelled FROM ec'))
+def _(spark, sf):
+    """Every energy meter gets one label of the known kind."""
+    out = label_unknown(spark, sf)
+    return out.groupBy("uniqueId").agg(F.min((flags.label_code().isNotNull()).cast("boolean")).alias("labelled"))
+
+
 # --- streaming ---------------------------------------------------------------------------------
 
 
