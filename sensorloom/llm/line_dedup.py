@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from sensorloom.llm.common import shuffle_partitions
@@ -100,8 +101,8 @@ def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for part in pieces(batch, "__text", _CHUNK):
             w = Words(part.column("__text").to_pylist(), SPACE, lower=False)
-            docs, asked = part.column("__doc").to_numpy(), part.column("__spans").to_pylist()
-            of, at, want = _listed(asked)
+            docs = part.column("__doc").to_numpy()
+            of, at, want = _listed(part.column("__spans"))
             start, windows = at // _AT, at % _AT
             ok = _same_words(w, of, start, windows, want)
             of, start, windows = of[ok], start[ok], windows[ok]
@@ -115,11 +116,12 @@ def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
 
-def _listed(lists: list[list[dict] | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, places and word hashes of lists of spans."""
-    of = np.repeat(np.arange(len(lists)), [len(x or ()) for x in lists])
-    at = np.array([s["at"] for x in lists for s in x or ()], np.int64)
-    return of, at, np.array([s["words"] for x in lists for s in x or ()], np.int64)
+def _listed(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, places and word hashes of lists of spans, one after the other."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+    flat = lists.flatten()
+    of = np.repeat(np.arange(len(lists)), sizes)
+    return of, np.asarray(flat.field("at"), np.int64), np.asarray(flat.field("words"), np.int64)
 
 
 def _same_words(w: Words, of, start, windows, want) -> np.ndarray:
@@ -152,7 +154,7 @@ def _cut(columns: list[str], text: str):
             for part in pieces(batch, "__text", _CHUNK):
                 texts = part.column(text).to_pylist()
                 w = Words(texts, SPACE, lower=False)
-                of, at, want = _listed(part.column("__spans").to_pylist())
+                of, at, want = _listed(part.column("__spans"))
                 start, windows = at // _AT, at % _AT
                 ok = _same_words(w, of, start, windows, want)
                 cover = np.zeros(len(w.hashes) + 1, np.int64)
