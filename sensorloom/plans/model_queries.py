@@ -240,7 +240,7 @@ def study(spark, sf):
 def _(spark, sf):
     """Elimination over all one-hot columns by a linear SVM that converges."""
     frame, columns, _ = study(spark, sf)
-    return S.rfecv(frame, columns, "endUseLabel", "uniqueId", S.linear_svc())
+    return S.rfecv_linear(frame, columns, "endUseLabel", "uniqueId")
 
 
 @query("rfecv_forest")
@@ -260,7 +260,7 @@ def _(spark, sf):
 def _(spark, sf):
     """As many categories as the elimination found best, chosen by mutual information."""
     frame, columns, _ = study(spark, sf)
-    k = S.best_count(S.rfecv(frame, columns, "endUseLabel", "uniqueId", S.linear_svc()))
+    k = S.best_count(S.rfecv_linear(frame, columns, "endUseLabel", "uniqueId"))
     return S.select_k_best(rounded(S.mutual_information(frame, _CATS, "endUseLabel"), ["score"]), k)
 
 

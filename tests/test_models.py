@@ -132,3 +132,25 @@ def test_label_table_guard_and_upsert(spark, tmp_path):
     new = spark.createDataFrame([("b", "z"), ("c", "w")], "uniqueID string, endUseLabel string")
     got = {r["uniqueID"]: r["endUseLabel"] for r in L.labels_upsert(labels, new).collect()}
     assert got == {"a": "x", "b": "z", "c": "w"}
+
+
+def test_linear_elimination_keeps_the_useful_categories(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(i % 3 == 0), int(i % 3 == 1), int(rng.integers(2)), "abc"[i % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, first int, second int, noise int, label string")
+    table = {r["num_features"]: r for r in S.rfecv_linear(df, ["first", "noise", "second"], "label", "id").collect()}
+    assert set(table) == {1, 2, 3} and sorted(table[2]["features"]) == ["first", "second"]
+    assert table[2]["score"] == 1.0 and table[1]["score"] < 0.8
+    assert S.best_count(S.rfecv_linear(df, ["first", "noise", "second"], "label", "id")) == 2
+
+
+def test_linear_svm_has_no_gradient_left():
+    rng = np.random.default_rng(5)
+    x, weight = rng.normal(size=(40, 3)), rng.integers(1, 4, 40).astype(float)
+    y = np.where(x[:, 0] + 0.5 * rng.normal(size=40) > 0, 1.0, -1.0)
+    w = S.linear_svm(x, y, weight)
+    a = np.concatenate([x, np.ones((40, 1))], axis=1)
+    gap = np.maximum(0, 1 - y * (a @ w))
+    assert w - 2 * a.T @ (weight * y * gap) == pytest.approx(np.zeros(4), abs=1e-5)
+    doubled = S.linear_svm(np.repeat(x, weight.astype(int), axis=0), np.repeat(y, weight.astype(int)), np.ones(int(weight.sum())))
+    assert doubled == pytest.approx(w, abs=1e-6)
