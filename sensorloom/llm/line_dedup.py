@@ -3,7 +3,7 @@
 Passages are pasted into the middle of lines, so a line here is a rolling line: any ``LINE``
 consecutive words. A window is any ``MIN_RUN`` words; its fingerprint is the least line hash in
 it, the leftmost of equal ones, so equal windows have one fingerprint at one offset. Consecutive
-windows with one fingerprint form a span, about 2 spans for every 44 words, and only spans are
+windows with one fingerprint form a span, about 2 spans for every 36 words, and only spans are
 shuffled:
 
 1. Scan tasks emit a row per span: fingerprint, hash of the span's words, place. Of the spans that
@@ -34,7 +34,8 @@ from sensorloom.llm.text import SPACE, Words, pieces, span_hashes
 from sensorloom.scratch import cut_lineage
 
 MIN_RUN = 50
-LINE = 8
+#: Longer lines are less often common phrases, whose spans meet for nothing; shorter ones give fewer spans.
+LINE = 16
 
 _LINES = MIN_RUN - LINE + 1  # lines in a window
 _NULL_ID = -(1 << 63)
