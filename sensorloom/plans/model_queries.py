@@ -494,9 +494,9 @@ def _(spark, sf):
     return _kept_labels(label_unknown(spark, sf), T.training_labels(spark, sf))
 
 
-@query("label_unknown_meters", with_sql("readings", TYPED, EC, select='SELECT DISTINCT "uniqueId", true AS labelled FROM ec'))
+@query("label_unknown_meters", with_sql("readings", TYPED, EC, select="SELECT DISTINCT \"uniqueId\", true AS labelled FROM ec WHERE kind = 'num'"))
 def _(spark, sf):
-    """Every energy meter gets one label of the known kind."""
+    """Every energy meter with numbers gets one label of the known kind."""
     out = label_unknown(spark, sf)
     return out.groupBy("uniqueId").agg(F.min((flags.label_code().isNotNull()).cast("boolean")).alias("labelled"))
 
