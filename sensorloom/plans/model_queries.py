@@ -489,16 +489,20 @@ def label_unknown(spark, sf):
     return LU.label_unknown(T.readings(spark, sf), T.points(spark, sf), T.training_labels(spark, sf))
 
 
-@query("label_unknown_given", with_sql("readings", "training", TYPED, EC, _GIVEN, select=_KEPT))
-def _(spark, sf):
-    return _kept_labels(label_unknown(spark, sf), T.training_labels(spark, sf))
-
-
-@query("label_unknown_meters", with_sql("readings", TYPED, EC, select="SELECT DISTINCT \"uniqueId\", true AS labelled FROM ec WHERE kind = 'num'"))
+@query(
+    "label_unknown_meters",
+    with_sql(
+        "readings", "training", TYPED, EC, _GIVEN,
+        select="""SELECT DISTINCT m."uniqueId", true AS labelled, CASE WHEN s.given IS NOT NULL THEN true END AS kept
+FROM (SELECT "uniqueId" FROM ec WHERE kind = 'num') m LEFT JOIN single s ON m."uniqueId" = s."uniqueId\"""",
+    ),
+)
 def _(spark, sf):
-    """Every energy meter with numbers gets one label of the known kind."""
-    out = label_unknown(spark, sf)
-    return out.groupBy("uniqueId").agg(F.min((flags.label_code().isNotNull()).cast("boolean")).alias("labelled"))
+    """Every energy meter with numbers gets one label of a known kind, and a given one stays."""
+    out = cut_lineage(label_unknown(spark, sf), "labels")
+    kept = _kept_labels(out, T.training_labels(spark, sf)).select("uniqueId", "kept")
+    labelled = out.groupBy("uniqueId").agg(F.min(flags.label_code().isNotNull()).alias("labelled"))
+    return labelled.join(kept, "uniqueId", "left")
 
 
 # --- streaming ---------------------------------------------------------------------------------
