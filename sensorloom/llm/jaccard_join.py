@@ -53,6 +53,11 @@ def run_sets(texts: list[str | None]) -> list[np.ndarray]:
     return [np.unique(shingles(w.hashes[a:b], SHINGLE)) for a, b in zip(w.bounds[:-1], w.bounds[1:])]
 
 
+def node_of(runs: np.ndarray) -> int:
+    """64-bit number of a set of runs."""
+    return int.from_bytes(hashlib.blake2b(runs.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def minhashes(runs: np.ndarray) -> np.ndarray:
     """``HASHES`` minima over a set of runs."""
     low = (runs >> np.uint64(32)).astype(np.uint32) ^ runs.astype(np.uint32)
@@ -112,7 +117,7 @@ def pruned(a: np.ndarray, b: np.ndarray, same: bool, threshold: float = THRESHOL
 def _links(left: pd.DataFrame, right: pd.DataFrame | None, threshold: float):
     """Links of one block, or of two: for each row its links' weights, and a forest of the links."""
     every = left if right is None else pd.concat([left, right], ignore_index=True)
-    sets = run_sets(every["text"].tolist())
+    sets = every["runs"].tolist()
     values = np.array([minhashes(s) for s in sets], np.uint32).reshape(len(sets), HASHES)
     sizes = np.array([len(s) for s in sets])
     first = len(left)
@@ -153,6 +158,9 @@ _BLOCK = "node long, links long, other long"
 
 def _join_block(threshold: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        # Rows that repeat an id bring several texts for one node: the one it was made of counts.
+        rows = rows.assign(runs=run_sets(rows["text"].tolist())).drop(columns="text")
+        rows = rows[[node_of(r) == n for r, n in zip(rows["runs"], rows["node"])]]
         rows = rows.drop_duplicates("node").sort_values("node", ignore_index=True)
         lo, hi = rows["lo"].iloc[0], rows["hi"].iloc[0]
         left = rows[rows["block"] == lo].reset_index(drop=True)
@@ -174,8 +182,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batch, "text"):
             nodes, sizes, bands = [], [], []
             for runs in run_sets(part.column(1).to_pylist()):
-                digest = hashlib.blake2b(runs.tobytes(), digest_size=8).digest()
-                nodes.append(int.from_bytes(digest, "little", signed=True))
+                nodes.append(node_of(runs))
                 sizes.append(len(runs))
                 bands.append(band_keys(minhashes(runs)).tobytes() if len(runs) else b"")
             arrays = [part.column("doc_id"), part.column("text_hash"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.binary())]

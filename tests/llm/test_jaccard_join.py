@@ -91,6 +91,8 @@ def test_odd_rows(spark):
     long = "a b c d e f g " * 20_000
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (5, "One  two"), (5, "One  two"), (None, "one two"), (None, "alone here"),
             (6, long), (7, long + "h"), (8, "a b c d e f"), (9, "a b c d e g")]
+    base = [f"n{i}" for i in range(60)]
+    rows += [(20, " ".join(base)), (20, " ".join(base[:59] + ["x"])), (20, "entirely other words " * 4), (21, " ".join(["y"] + base[1:]))]
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, node int")
     assert result(j.near_duplicates(df)) == brute(rows)
     assert j.near_duplicates(df.limit(0)).collect() == []
