@@ -1,18 +1,22 @@
 """URL filter: fixed host rules first, then association rules mined from labelled pages.
 
 A URL's items are its scheme, host suffixes, first host label, path segments (digits masked) and
-query names. Items that make a page more likely to be labelled bad form the vocabulary, the
-``VOCABULARY`` with the highest lift at most; that bounds the item sets, which could otherwise
-be exponential in the length of a URL. Spark's FP-growth mines the labelled pages, all of them,
-and rules "items -> block" are pruned by support and confidence.
-
-To match, pages are reduced to their distinct patterns (sets of vocabulary items). Each rule
-stands once in an inverted index, under its rarest item; a pattern meets only the rules under
-its items, and a rule fits if the pattern has all of its items.
+query names. Items that make a page more likely to be labelled bad, and are frequent on bad pages,
+form the vocabulary. Those that occur on the same labelled pages are one class: a page with any of
+them has the class, which gives the same verdicts as rules on the items and far fewer sets. Spark's
+FP-growth mines all frequent sets of the bad pages; their good pages are counted, and rules
+"items -> block" are pruned by confidence. The number of sets grows with the powers of two of the
+classes that a page has, not with the vocabulary.
+
+To count and to match, pages are reduced to their distinct patterns (sets of vocabulary items).
+Each set stands once in an inverted index, under its rarest item; a pattern meets only the sets
+under its items, and a set fits if the pattern has all of its items.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -26,7 +30,6 @@ FIXED_RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
-VOCABULARY = 24
 MIN_SUPPORT = 0.005
 MIN_ROWS = 10
 MIN_CONFIDENCE = 0.7
@@ -76,54 +79,87 @@ def items(url: Column) -> Column:
     )
 
 
-def mine_rules(
+def _mine(
     pages: DataFrame,
     labels: DataFrame,
-    vocabulary: int = VOCABULARY,
     min_support: float = MIN_SUPPORT,
     min_confidence: float = MIN_CONFIDENCE,
     min_rows: int = MIN_ROWS,
-) -> tuple[list[str], DataFrame | None]:
-    """Vocabulary, and rules ``(items, confidence)`` that lead to block; None if nothing is frequent.
+) -> tuple[DataFrame, DataFrame] | None:
+    """Vocabulary ``(item, n, b, class)`` and rules ``(needs, confidence)``; None if nothing is frequent.
 
-    ``pages`` has ``page_id, items``, ``labels`` has ``doc_id, bad``. Support counts labelled pages
-    with the items and a bad label, as a share of all labelled pages, and at least ``min_rows``.
+    Items that occur on the same labelled pages are one class, named by its least item; rules
+    need classes. ``n`` and ``b`` count an item's labelled and its bad pages.
     """
-    spark = pages.sparkSession
     bad = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     rows = cut_lineage(pages.join(bad, pages["page_id"] == bad["doc_id"]).select("items", "bad"), "labelled")
     total, blocked = rows.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0))).first()
     least = max(min_rows, min_support * total)
     if blocked < least:
-        return [], None
+        return None
     counts = rows.select(F.explode("items").alias("item"), "bad").groupBy("item").agg(F.count("*").alias("n"), F.sum("bad").alias("b"))
-    chosen = (
-        counts.filter((F.col("b") >= least) & (F.col("b") * total > F.col("n") * blocked))
-        .orderBy((F.col("b") / F.col("n")).desc(), F.col("b").desc(), "item")
-        .limit(vocabulary)
-        .collect()
-    )
-    words = [r["item"] for r in chosen]
+    counts = cut_lineage(counts.filter((F.col("b") >= least) & (F.col("b") * total > F.col("n") * blocked)), "items")
+    words = [r["item"] for r in counts.collect()]
     if not words:
+        return None
+    baskets = rows.select(_known("items", words).alias("pattern"), "bad")
+    patterns = cut_lineage(baskets.groupBy("pattern").agg(F.count("*").alias("rows"), F.sum("bad").alias("bad")), "baskets")
+    vocabulary = cut_lineage(_classes(patterns, counts), "classes")
+    names = [r["class"] for r in vocabulary.select("class").distinct().collect()]
+
+    frequent = baskets.filter("bad = 1").select(_known("pattern", names).alias("items"))
+    # Half a row less, so that rounding cannot raise the least count.
+    model = FPGrowth(itemsCol="items", minSupport=(math.ceil(least) - 0.5) / blocked).fit(frequent)
+    sets = cut_lineage(model.freqItemsets.select(F.array_sort("items").alias("needs"), F.col("freq").alias("b")), "sets")
+    good = patterns.filter("rows > bad").select(_known("pattern", names).alias("pattern"), (F.col("rows") - F.col("bad")).alias("good"))
+    against = _fitting(good, sets.select("needs"), vocabulary).groupBy("needs").agg(F.sum("good").alias("good"))
+    confidence = F.col("b") / (F.col("b") + F.coalesce("good", F.lit(0)))
+    rules = sets.join(against, "needs", "left").select("needs", confidence.alias("confidence"))
+    return vocabulary, cut_lineage(rules.filter(F.col("confidence") >= min_confidence), "rules")
+
+
+def _known(items: str, words: list[str]) -> Column:
+    return F.array_sort(F.filter(items, lambda i: i.isin(words)))
+
+
+def _classes(patterns: DataFrame, counts: DataFrame) -> DataFrame:
+    """``counts`` with the least item that occurs in the same rows of ``patterns``."""
+    other = counts.select(F.col("item").alias("class"), F.col("n").alias("others"))
+    pairs = patterns.select("rows", "pattern", F.explode("pattern").alias("item"))
+    pairs = pairs.select("rows", "item", F.explode("pattern").alias("class")).filter("class <= item")
+    together = pairs.groupBy("item", "class").agg(F.sum("rows").alias("both"))
+    same = together.join(counts, "item").join(other, "class").filter("both = n AND both = others")
+    return same.groupBy("item", "n", "b").agg(F.min("class").alias("class"))
+
+
+def _fitting(patterns: DataFrame, sets: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows of ``patterns`` with each of the ``sets`` whose ``needs`` they have: each is looked up under its rarest item."""
+    rarest = sets.withColumn("item", F.explode("needs")).join(counts.select("item", "n"), "item")
+    rarest = rarest.groupBy(*sets.columns).agg(F.min(F.struct("n", "item"))["item"].alias("item"))
+    met = patterns.withColumn("item", F.explode("pattern")).join(rarest, "item").drop("item")
+    return met.filter(F.size(F.array_except("needs", "pattern")) == 0)
+
+
+def mine_rules(pages: DataFrame, labels: DataFrame, **limits) -> tuple[list[str], DataFrame | None]:
+    """Names of the classes of items, and all rules ``(needs, confidence)`` on them that lead to block; None if nothing is frequent.
+
+    ``pages`` has ``page_id, items``, ``labels`` has ``doc_id, bad``. Support counts labelled pages
+    with the items and a bad label, as a share of all labelled pages, and at least ``min_rows``.
+    """
+    mined = _mine(pages, labels, **limits)
+    if mined is None:
         return [], None
-    known = F.array(*[F.lit(w) for w in words])
-    class_item = F.when(F.col("bad") == 1, F.array(F.lit(_BLOCK))).otherwise(F.array().cast("array<string>"))
-    baskets = rows.select(F.concat(F.array_intersect("items", known), class_item).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=least / total, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(_BLOCK)))
-    return words, cut_lineage(rules.select(F.array_sort("antecedent").alias("needs"), "confidence"), "rules")
-
-
-def match_rules(patterns: DataFrame, rules: DataFrame) -> DataFrame:
-    """Best rule of each pattern that has one: ``(pattern, method_rule)``."""
-    frequency = rules.select(F.explode("needs").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
-    postings = rules.select("needs", "confidence", F.explode("needs").alias("item")).join(frequency, "item")
-    postings = postings.groupBy("needs", "confidence").agg(F.min(F.struct("n", "item")).alias("rarest"))
-    index = postings.select(F.col("rarest.item").alias("item"), "needs", "confidence")
-    met = patterns.select("pattern", F.explode("pattern").alias("item")).join(index, "item")
-    fits = met.filter(F.size(F.array_except("needs", "pattern")) == 0)
-    best = F.max(F.struct("confidence", "needs"))
-    return fits.groupBy("pattern").agg(F.array_join(best["needs"], " & ").alias("method_rule"))
+    return sorted(r["class"] for r in mined[0].select("class").distinct().collect()), mined[1]
+
+
+def match_rules(patterns: DataFrame, rules: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Best rule of each pattern of items that has one: ``(items, method_rule)``, told in the pattern's own items."""
+    own = patterns.select("items", F.explode("items").alias("item")).join(vocabulary, "item")
+    own = own.groupBy("items", "class").agg(F.min("item").alias("item")).groupBy("items")
+    own = own.agg(F.array_sort(F.collect_list("class")).alias("pattern"), F.map_from_entries(F.collect_list(F.struct("class", "item"))).alias("own"))
+    best = F.max(F.struct("confidence", "needs"))["needs"]
+    best = _fitting(own, rules, vocabulary).groupBy("items").agg(best.alias("needs"), F.any_value("own").alias("own"))
+    return best.select("items", F.array_join(F.transform("needs", lambda c: F.col("own")[c]), " & ").alias("method_rule"))
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, id_column: str = "page_id", url_column: str = "url", **limits) -> DataFrame:
@@ -140,15 +176,16 @@ def judge_urls(pages: DataFrame, labels: DataFrame, id_column: str = "page_id",
         F.col(id_column).cast("long").alias("page_id"), host(url).alias("host"), path(url).alias("path"), items(url).alias("items")
     )
     is_bad = F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))
-    words, rules = mine_rules(source, labels.select("doc_id", is_bad.alias("bad")), **limits)
+    mined = _mine(source, labels.select("doc_id", is_bad.alias("bad")), **limits)
     source = source.withColumn("fixed", fixed_rule(F.col("host"), F.col("path")))
-    if rules is None:
+    if mined is None:
         judged = source.withColumn("method_rule", F.lit(None).cast("string"))
     else:
-        known = F.array(*[F.lit(w) for w in words])
-        source = cut_lineage(source.withColumn("pattern", F.array_sort(F.array_intersect("items", known))).drop("items"), "patterns")
-        matched = match_rules(source.select("pattern").distinct(), rules)
-        judged = source.join(matched, "pattern", "left")
+        vocabulary, rules = mined
+        words = [r["item"] for r in vocabulary.select("item").collect()]
+        source = cut_lineage(source.withColumn("items", _known("items", words)), "patterns")
+        matched = match_rules(source.select("items").distinct(), rules, vocabulary)
+        judged = source.join(matched, "items", "left")
     method = F.when(F.col("method_rule").isNotNull(), "block").otherwise("allow")
     return judged.select(
         "page_id",

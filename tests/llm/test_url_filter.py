@@ -80,6 +80,42 @@ def test_rules_equal_all_item_sets(spark):
         assert r.verdict == ("block" if hit else "allow") and (r.method_rule is not None) == hit
 
 
+def judged(spark, urls, bad):
+    """Pages, split pages and labels of these URLs; those beyond the labels have none."""
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - b, 0) for i, b in enumerate(bad)], "doc_id long, quality int, toxic int")
+    return pages, labels
+
+
+def test_every_bad_host_is_found(spark):
+    bad = [f"http://w{h}x.bad{h}y.net/h{h}z/{i}" for h in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMN" for i in range(12)]
+    good = [f"http://www.good.net/p/{i}" for i in range(1500)]
+    # Without labels: each has one item of the many that always occur together.
+    more = ["http://new.badqy.net/", "http://wqx.other.net/", "http://new.org/hqz", "http://new.org/h"]
+    pages, labels = judged(spark, bad + good + more, [1] * len(bad) + [0] * len(good))
+    got = {r.page_id: r for r in u.judge_urls(pages, labels).select("page_id", "rule", "method_rule").collect()}
+    assert all(got[i].method_rule for i in range(len(bad)))
+    assert not any(got[i].method_rule for i in range(len(bad), len(bad) + len(good)))
+    last = [got[len(bad) + len(good) + i].method_rule for i in range(4)]
+    assert [rule and rule.split(" & ")[0] for rule in last] == ["host:badqy.net", "label:wqx", "path:hqz", None]
+
+
+def test_rules_over_all_items(spark):
+    rng = random.Random(8)
+    urls, bad = [], []
+    for i in range(900):
+        k = rng.randrange(30)
+        urls.append(f"http://{rng.choice(['m', 'www'])}.site{chr(97 + k % 26)}{k // 26 * 'x'}.net/{rng.choice(['win', 'x'])}/{i}?{rng.choice(['page', 'id'])}=1")
+        bad.append(int(rng.random() < (0.9 if k < 20 else 0.05)))
+    pages, labels = judged(spark, urls, bad)
+    split = {r["page_id"]: set(r["items"]) for r in pages.select("page_id", u.items(u.F.col("url")).alias("items")).collect()}
+    want = brute_rules([(split[i], bad[i]) for i in range(900)], u.MIN_ROWS, u.MIN_CONFIDENCE)
+    assert len({w for rule in want for w in rule}) > 24
+    for r in u.judge_urls(pages, labels).collect():
+        assert (r.method_rule is not None) == any(set(rule) <= split[r.page_id] for rule in want)
+        assert r.method_rule is None or tuple(sorted(r.method_rule.split(" & "))) in want
+
+
 @pytest.mark.parametrize("sf", ["0.001", "0.01"])
 def test_query(spark, sf):
     pages = {r.page_id: r.url for r in spark.read.parquet(f"/root/testdata/sf{sf}/pages.parquet").collect()}
