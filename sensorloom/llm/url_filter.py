@@ -1,8 +1,8 @@
 """URL filter: fixed host rules first, then association rules mined from labelled pages.
 
 A URL's items are its scheme, host suffixes, first host label, path segments (digits masked) and
-query names. Items that make a page more likely to be labelled bad, and are frequent on bad pages,
-form the vocabulary. Those that occur on the same labelled pages are one class: a page with any of
+query names. Items that are frequent on bad pages form the vocabulary, whether or not they are telling
+by themselves. Those that occur on the same labelled pages are one class: a page with any of
 them has the class, which gives the same verdicts as rules on the items and far fewer sets. Spark's
 FP-growth mines all frequent sets of the bad pages; their good pages are counted, and rules
 "items -> block" are pruned by confidence. The number of sets grows with the powers of two of the
@@ -98,7 +98,7 @@ def _mine(
     if blocked < least:
         return None
     counts = rows.select(F.explode("items").alias("item"), "bad").groupBy("item").agg(F.count("*").alias("n"), F.sum("bad").alias("b"))
-    counts = cut_lineage(counts.filter((F.col("b") >= least) & (F.col("b") * total > F.col("n") * blocked)), "items")
+    counts = cut_lineage(counts.filter(F.col("b") >= least), "items")
     words = [r["item"] for r in counts.collect()]
     if not words:
         return None

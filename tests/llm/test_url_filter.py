@@ -100,6 +100,17 @@ def test_every_bad_host_is_found(spark):
     assert [rule and rule.split(" & ")[0] for rule in last] == ["host:badqy.net", "label:wqx", "path:hqz", None]
 
 
+def test_items_that_are_bad_only_together(spark):
+    kinds = [("ads", "win", 100, 100), ("ads", "x", 400, 0), ("m", "win", 400, 0), ("m", "y", 600, 260)]
+    urls, bad = [], []
+    for sub, seg, n, b in kinds:
+        urls += [f"http://{sub}.site.net/{seg}/{i}" for i in range(n)]
+        bad += [int(i < b) for i in range(n)]
+    pages, labels = judged(spark, urls, bad)
+    for r in u.judge_urls(pages, labels).collect():
+        assert (r.verdict == "block") == ("//ads" in urls[r.page_id] and "/win/" in urls[r.page_id])
+
+
 def test_rules_over_all_items(spark):
     rng = random.Random(8)
     urls, bad = [], []
