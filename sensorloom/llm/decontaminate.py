@@ -4,7 +4,9 @@ Index: the items' words with BM25 impacts, each divided by the item's score for
 passage that has all of an item scores 1. Items stand in blocks; a posting list stores its
 largest impact in each block. Items are read in shards of at most ``SHARD_ITEMS`` rows and
 ``SHARD_BYTES`` bytes; a shard's index is what is broadcast, and each further shard is one more
-pass over the documents. No text is shuffled.
+pass over the documents. Shards share the statistics of all items (how many have a word, mean
+and longest length), counted in Spark, so scores do not depend on the shards. No text of a
+document is shuffled.
 
 Queries: every document, as overlapping passages of twice the longest item's words, so that an
 item lies whole in one of them. As in WAND, words whose largest impacts together stay below
@@ -20,7 +22,9 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +51,22 @@ def split_item(text: str | None) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (parts[0], "")
 
 
+class Statistics(NamedTuple):
+    """Of all items that have words: their number, mean and longest length, and how many have each of some word hashes."""
+
+    items: int
+    mean: float
+    longest: int
+    having: Callable[[np.ndarray], np.ndarray]
+
+
 class Index:
-    """BM25 index of ``(item_id, question, answer)`` rows; items without words are left out."""
+    """BM25 index of ``(item_id, question, answer)`` rows; items without words are left out.
 
-    def __init__(self, rows: list[tuple[int | None, str, str]]):
+    ``rows`` are all items, or a shard of those that ``statistics`` are of.
+    """
+
+    def __init__(self, rows: list[tuple[int | None, str, str]], statistics: Statistics | None = None):
         whole = Words([f"{q}\n{a}" for _, q, a in rows], MARKS)
         sides = [Words([r[i] for r in rows], MARKS) for i in (1, 2)]
         have = np.flatnonzero(np.diff(whole.bounds))
@@ -65,9 +81,12 @@ class Index:
         n = max(1, len(have))
         pair, tf = np.unique(term * n + item, return_counts=True)
         self.term, self.item = pair // n, pair % n
-        df = np.bincount(self.term, minlength=len(self.words))
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if len(have) else 1.0))
+        if statistics is None:
+            df, total, mean = np.bincount(self.term, minlength=len(self.words)), n, lengths.mean() if len(have) else 1.0
+        else:
+            df, total, mean, self.longest = statistics.having(self.words), statistics.items, statistics.mean, statistics.longest
+        idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * lengths / max(1.0, mean))
         impact = idf[self.term] * tf * (K1 + 1) / (tf + norm[self.item])
         self.impact = impact / np.bincount(self.item, impact, n)[self.item]
         self.post = np.searchsorted(self.term, np.arange(len(self.words) + 1))
@@ -190,17 +209,58 @@ def _drop(sent, threshold: float, overlap: float):
 def _indexes(spark: SparkSession, items: DataFrame) -> Iterator:
     """A broadcast index for each shard of the items; its size is bounded by the shard's limits."""
     names = ["question", "answer"] if {"question", "answer"} <= set(items.columns) else ["text"]
-    for shard in _shards(items.select(F.col("item_id").cast("long").alias("item_id"), *names)):
-        index = Index(shard)
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), *names)
+    shards = _shards(items)
+    first = next(shards, [])
+    second = next(shards, None)
+    statistics = None if second is None else _statistics(items)
+    for shard in chain([first], [] if second is None else [second], shards):
+        index = Index(shard, statistics)
         if index.ids:
             yield spark.sparkContext.broadcast(pickle.dumps(index))
 
 
+def _sides(r) -> tuple[str, str]:
+    return split_item(r["text"]) if "answer" not in r else (r["question"] or "", r["answer"] or "")
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: items to word hashes and how many have them; a row without a word has the number and lengths of the items."""
+    for batch in batches:
+        w = Words(["\n".join(_sides(r)) for r in batch.to_pylist()], MARKS)
+        lengths = np.diff(w.bounds)
+        item = np.repeat(np.arange(len(lengths)), lengths)
+        words, of = np.unique(w.hashes, return_inverse=True)
+        having = np.bincount(np.unique(of * max(1, len(lengths)) + item) // max(1, len(lengths)), minlength=len(words))
+        nothing = np.zeros(len(words), np.int64)
+        rows = [np.append(having, (lengths > 0).sum()), np.append(nothing, lengths.sum()), np.append(nothing, lengths.max(initial=0))]
+        word = pa.array([*words.astype(np.int64).tolist(), None], pa.int64())
+        yield pa.RecordBatch.from_arrays([word, *(pa.array(x, pa.int64()) for x in rows)], ["word", "items", "total", "longest"])
+
+
+def _statistics(items: DataFrame) -> Statistics:
+    """Statistics of all items; the counts of words stay in a table, and a shard fetches those of its words."""
+    spark = items.sparkSession
+    counted = items.mapInArrow(_count_words, "word long, items long, total long, longest long")
+    sums = [F.sum("items").alias("items"), F.sum("total").alias("total"), F.max("longest").alias("longest")]
+    counted = cut_lineage(counted.groupBy("word").agg(*sums), "words")
+    n, total, longest = counted.filter("word IS NULL").select("items", "total", "longest").first()
+
+    def having(words: np.ndarray) -> np.ndarray:
+        mine = spark.createDataFrame(pa.table({"word": pa.array(words.astype(np.int64))}))
+        found = counted.join(mine, "word").select("word", "items").toArrow()
+        hashes = found.column("word").to_numpy().astype(np.uint64)
+        order = np.argsort(hashes)
+        return found.column("items").to_numpy()[order][np.searchsorted(hashes, words, sorter=order)]
+
+    return Statistics(n, total / max(1, n), longest, having)
+
+
 def _shards(items: DataFrame) -> Iterator[list[tuple]]:
-    """Item rows in shards of bounded rows and bytes, one shard on the driver at a time."""
+    """Item rows by id in shards of bounded rows and bytes, two shards on the driver at a time at most."""
     shard, size = [], 0
-    for r in items.toLocalIterator():
-        question, answer = split_item(r["text"]) if "answer" not in r else (r["question"] or "", r["answer"] or "")
+    for r in items.orderBy("item_id").toLocalIterator():
+        question, answer = _sides(r)
         if shard and (len(shard) >= SHARD_ITEMS or size + len(question) + len(answer) > SHARD_BYTES):
             yield shard
             shard, size = [], 0

@@ -97,3 +97,22 @@ def test_odd_rows(spark, monkeypatch):
     pairs = spark.createDataFrame([(7, "what is in here", "this answer text")], "item_id long, question string, answer string")
     texts = spark.createDataFrame([(1, "what is in here"), (2, "what is in here? this answer text")], "doc_id long, text string")
     assert [r.doc_id for r in d.contaminated(texts, pairs).collect()] == [2]
+
+
+def test_scores_do_not_depend_on_shards(spark, monkeypatch):
+    rng = random.Random(4)
+    some = lambda n, k: [f"v{min(int(rng.paretovariate(0.5)), k)}" for _ in range(n)]
+    items = [some(rng.randint(12, 40), 60 if i < 20 else 4000) for i in range(40)]
+    docs = [(i, " ".join(some(50, 4000) + t[: int(len(t) * share)] + some(30, 4000))) for share in (0.7, 0.85, 1) for i, t in enumerate(items)]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    frame = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(docs)], "doc_id long, text string")
+
+    def found(rows):
+        return {(r.doc_id, r.item_id): r.score for r in d.contaminated(frame, rows, overlap=0.5).collect()}
+
+    want = found(bench)
+    assert any(s < 0.99 for s in want.values())
+    for shard, rows in ((10, bench), (7, bench.orderBy(d.F.desc("item_id")))):
+        monkeypatch.setattr(d, "SHARD_ITEMS", shard)
+        got = found(rows)
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
