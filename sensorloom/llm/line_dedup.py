@@ -45,6 +45,26 @@ _POSITION_BITS = 24
 _SPAN = "fingerprint long, words long, doc long, at long, again boolean"
 
 
+def _chosen(lines: np.ndarray) -> np.ndarray:
+    """Place of each window's least line, the leftmost of equal ones.
+
+    A place within a stretch of lines has ``_POSITION_BITS``; stretches overlap, so each window lies whole in one.
+    """
+    size, out = 1 << _POSITION_BITS, []
+    mask = np.uint64(size - 1)
+    for begin in range(0, len(lines) - _LINES + 1, size - _LINES + 1):
+        part = lines[begin : begin + size]
+        least = (part & ~mask) | np.arange(len(part), dtype=np.uint64)  # so that of equal hashes the leftmost is less
+        width = 1
+        while 2 * width <= _LINES:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        rest = _LINES - width
+        least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
+        out.append((least & mask).astype(np.int64) + begin)
+    return np.concatenate(out)
+
+
 def spans(w: Words) -> tuple[np.ndarray, ...]:
     """Spans of all texts: fingerprint, hash of the words, text number, start in the text, windows."""
     n = len(w.hashes)
@@ -52,19 +72,12 @@ def spans(w: Words) -> tuple[np.ndarray, ...]:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     at = np.arange(n - LINE + 1)
     lines = span_hashes(w.hashes, at, at + LINE)
-    mask = np.uint64((1 << _POSITION_BITS) - 1)
-    least = (lines & ~mask) | at.astype(np.uint64)  # so that of equal hashes the leftmost is less
-    width = 1
-    while 2 * width <= _LINES:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    rest = _LINES - width
-    least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
-    of = np.repeat(np.arange(len(w.bounds) - 1), np.diff(w.bounds))[: len(least)]
-    start = np.flatnonzero(np.arange(len(least)) + MIN_RUN <= w.bounds[of + 1])
+    chosen = _chosen(lines)
+    of = np.repeat(np.arange(len(w.bounds) - 1), np.diff(w.bounds))[: len(chosen)]
+    start = np.flatnonzero(np.arange(len(chosen)) + MIN_RUN <= w.bounds[of + 1])
     if not len(start):
         return tuple(np.zeros(0, np.int64) for _ in range(5))
-    chosen, of = (least[start] & mask).astype(np.int64), of[start]
+    chosen, of = chosen[start], of[start]
     first = np.flatnonzero(np.concatenate(([True], (chosen[1:] != chosen[:-1]) | (of[1:] != of[:-1]))))
     windows = np.diff(np.append(first, len(start)))
     begin, of = start[first], of[first]

@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 
+from sensorloom.llm import line_dedup
 from sensorloom.llm.line_dedup import MIN_RUN, cut_repeats
 from sensorloom.llm.queries import QUERIES
+from sensorloom.llm.text import SPACE, Words
 
 
 def brute(rows):
@@ -66,3 +69,12 @@ def test_odd_rows(spark):
     assert got[8].split() == ["w"] * 20 + ["é", "ü"] * 25
     assert out.filter("doc_id = 6").count() == 2
     assert cut_repeats(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("n", [200, 255, 256, 271, 272, 300, 2000])
+def test_texts_of_more_words_than_a_stretch_has_places(monkeypatch, n):
+    rng = random.Random(n)
+    words = Words([" ".join(f"w{rng.randint(0, 900)}" for _ in range(n)) + " z" * 70, "a b " * 60], SPACE, lower=False)
+    want = line_dedup.spans(words)
+    monkeypatch.setattr(line_dedup, "_POSITION_BITS", 8)
+    assert all(np.array_equal(x, y) for x, y in zip(line_dedup.spans(words), want)) and len(want[0])
