@@ -114,6 +114,14 @@ def test_elimination_keeps_the_useful_feature(spark):
     assert next(r for r in table if r["num_features"] == 1)["features"] == ["good"]
 
 
+def test_elimination_grows_full_trees(spark):
+    rng = np.random.default_rng(6)
+    rows = [(Vectors.dense(rng.normal(size=3)), float(rng.integers(2))) for _ in range(300)]
+    make, _ = S.forest(trees=3)
+    model = make().fit(spark.createDataFrame(rows, ["features", "label"]))
+    assert min(t.depth for t in model.trees) > 5
+
+
 def test_known_labels_stay_and_unknown_get_one(spark):
     train, _ = points(spark)
     names = F.element_at(F.array(F.lit("00_A"), F.lit("01_B"), F.lit("02_C")), F.col("label").cast("int") + 1)
