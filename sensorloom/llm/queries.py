@@ -13,6 +13,7 @@ from sensorloom.llm.exact_dedup import exact_duplicates
 from sensorloom.llm.jaccard_join import near_duplicates
 from sensorloom.llm.line_dedup import cut_repeats
 from sensorloom.llm.packing import pack
+from sensorloom.llm.prefix_trie import conversation_trie
 from sensorloom.llm.quality import grade_documents
 from sensorloom.llm.sharding import shard_documents
 from sensorloom.llm.url_filter import judge_urls
@@ -117,3 +118,47 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("__removed").alias("removed_words"),
         F.col("__runs").alias("removed_runs"),
     )
+
+
+@query(
+    "op11_prefix_trie",
+    """
+    WITH t AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (
+      SELECT *, md5(length(role) || ':' || role || text) AS hash,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS j
+      FROM t),
+    steps AS (
+      SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) AS crc),
+    c AS (
+      SELECT conv_id,
+             xor(4294967295, list_reduce(
+               list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+               lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]))) % 6 AS h
+      FROM (SELECT DISTINCT conv_id FROM own), steps),
+    both_ AS (
+      SELECT c.conv_id, 0 AS side, j, hash, text FROM c JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 100 AND j <= h
+      UNION ALL
+      SELECT c.conv_id, 1, j, hash, text FROM c JOIN own o ON o.conv_id = c.conv_id AND j > h),
+    r AS (
+      SELECT conv_id, row_number() OVER w AS depth, string_agg(hash, '') OVER w AS prefix, length(text) AS n
+      FROM both_ WINDOW w AS (PARTITION BY conv_id ORDER BY side, j ROWS UNBOUNDED PRECEDING)
+      UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+    ends AS (SELECT prefix, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (
+               SELECT conv_id, arg_max(prefix, depth) AS prefix FROM r GROUP BY conv_id) GROUP BY prefix),
+    nodes AS (
+      SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(n) AS saved FROM r GROUP BY prefix, depth),
+    children AS (
+      SELECT left(prefix, 32 * (depth - 1)) AS prefix, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+    below AS (
+      SELECT a.prefix, sum(v.saved) AS saved_tokens, count(*) FILTER (WHERE k.prefix IS NULL) AS n_leaves
+      FROM nodes v JOIN r a ON a.conv_id = v.conv_id AND a.depth <= v.depth LEFT JOIN children k ON k.prefix = v.prefix
+      GROUP BY a.prefix)
+    SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, coalesce(k.n_children, 0) AS n_children,
+           b.n_leaves, b.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+    FROM nodes v JOIN below b USING (prefix) LEFT JOIN children k ON k.prefix = v.prefix LEFT JOIN ends e ON e.prefix = v.prefix
+    LEFT JOIN nodes p ON p.prefix = left(v.prefix, 32 * (v.depth - 1)) AND v.depth > 0""",
+)
+def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
