@@ -10,6 +10,7 @@ from sensorloom.llm.chat import SLICE_TURNS, format_chats
 from sensorloom.llm.common import table
 from sensorloom.llm.decontaminate import contaminated
 from sensorloom.llm.exact_dedup import exact_duplicates
+from sensorloom.llm.hard_negatives import hard_negatives
 from sensorloom.llm.jaccard_join import near_duplicates
 from sensorloom.llm.line_dedup import cut_repeats
 from sensorloom.llm.packing import pack
@@ -162,3 +163,28 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+@query(
+    "op12_hard_negatives",
+    """
+    WITH v AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+      FROM v a, v b WHERE a.vec_id % 100 = 0),
+    p AS (
+      SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same AND vec_id <> anchor_id
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id,
+           row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+           vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id)
+    WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5""",
+)
+def negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
