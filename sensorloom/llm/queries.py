@@ -15,6 +15,7 @@ from sensorloom.llm.jaccard_join import near_duplicates
 from sensorloom.llm.line_dedup import cut_repeats
 from sensorloom.llm.packing import pack
 from sensorloom.llm.prefix_trie import conversation_trie
+from sensorloom.llm.private_data import personal_data
 from sensorloom.llm.quality import grade_documents
 from sensorloom.llm.sharding import shard_documents
 from sensorloom.llm.url_filter import judge_urls
@@ -188,3 +189,8 @@ def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+@query("op13_personal_data")
+def private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents", "doc_id", "text"))
