@@ -258,7 +258,9 @@ def _spanning(d: np.ndarray, ids: np.ndarray, limit: float) -> tuple[np.ndarray,
     return np.array(i), np.array(j), np.array(w)
 
 
-def spanning_candidates(points_blocked: DataFrame, max_dist: float | None = None, metric: Metric = gower) -> DataFrame:
+def spanning_candidates(
+    points_blocked: DataFrame, max_dist: float | None = None, metric: Metric = gower, extra: Sequence[str] = ()
+) -> DataFrame:
     """Edges that together hold the minimum spanning forest of all points.
 
     Each block pair keeps only the spanning edges of its own points: an edge that is the last
@@ -281,7 +283,7 @@ def spanning_candidates(points_blocked: DataFrame, max_dist: float | None = None
         swap = ia > ib
         return {"a": np.where(swap, ib, ia), "b": np.where(swap, ia, ib), "dist": w}
 
-    pairs = block_pairs(points_blocked, within=max_dist, metric=metric)
+    pairs = block_pairs(points_blocked, extra=extra, within=max_dist, metric=metric)
     return reduce_pairs(pairs, fn, "a string, b string, dist double").distinct()
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sensorloom.operators import blocks as B
 from sensorloom.operators import clustering as K
 from sensorloom.operators import coordinates as X
+from sensorloom.operators import density as H
 from sensorloom.operators import linkage as L
 from sensorloom.operators.flow import cluster
 from sensorloom.plans.aggregate_queries import _NC_STATS, nc_stats
@@ -106,6 +107,41 @@ def _(spark, sf):
     return K.dbscan(sensor_points(spark, sf), eps=0.04)
 
 
+_DENDROGRAM = (
+    "held AS (SELECT a, d, sum(wb) OVER (PARTITION BY a ORDER BY d RANGE UNBOUNDED PRECEDING) AS held FROM pairs)",
+    "core AS (SELECT a AS id, coalesce(min(CASE WHEN held >= 6 THEN d END), max(d)) AS core FROM held GROUP BY a)",
+    """reach AS (SELECT p.a AS f, p.b AS t, {'h': greatest(p.d, x.core, y.core), 'a': least(p.a, p.b), 'b': greatest(p.a, p.b)} AS e
+  FROM pairs p JOIN core x ON x.id = p.a JOIN core y ON y.id = p.b WHERE p.a <> p.b)""",
+    """prim AS (SELECT t AS id, e FROM reach WHERE f = (SELECT min(id) FROM shapes)
+  UNION ALL SELECT p.id, least(p.e, r.e) FROM prim p, (SELECT id, e FROM prim ORDER BY e LIMIT 1) m JOIN reach r ON r.f = m.id WHERE r.t = p.id)""",
+    "ends AS (SELECT id, min(e) AS e FROM prim GROUP BY id)",
+    """edges AS (SELECT e.a AS a, e.b AS b, e.h AS dist, 1 AS late FROM ends
+  UNION ALL SELECT s.id, s.id || chr(1), core, 0 FROM shapes s JOIN core USING (id) WHERE w >= 5)""",
+    "ranked AS (SELECT *, row_number() OVER (ORDER BY dist, late, a, b) AS k FROM edges)",
+    "both_ways AS (SELECT k, a AS f, b AS t FROM ranked UNION ALL SELECT k, b, a FROM ranked)",
+    """side AS (SELECT k, f AS start, f AS id FROM both_ways
+  UNION SELECT s.k, s.start, e.t FROM side s JOIN both_ways e ON e.f = s.id AND e.k < s.k)""",
+    "weight AS (SELECT k, start, sum(coalesce(w, 0)) AS n FROM side LEFT JOIN shapes USING (id) GROUP BY k, start)",
+)
+
+
+@query(
+    "hdbscan_merges",
+    with_sql(*_BASE, *_DENDROGRAM,
+             select=f"""SELECT a, b, {rs('dist')} AS dist, sum(n)::DOUBLE AS size, min(n)::DOUBLE AS smaller
+FROM ranked JOIN weight USING (k) GROUP BY k, a, b, dist"""),
+)
+def _(spark, sf):
+    """The dendrogram of mutual reachability: every merge with the sizes of its sides."""
+    merges = H.density_tree(sensor_points(spark, sf))[1]
+    return rounded(merges.select("a", "b", "dist", "size", F.least("one", "other").alias("smaller")), ["dist"])
+
+
+@query("hdbscan")
+def _(spark, sf):
+    return cluster(sensor_points(spark, sf), "hdbscan")
+
+
 _SIL = f"""labelled AS (SELECT id, c AS cluster FROM feats),
 sums AS (SELECT a.id, a.c AS cluster, b.c AS other, sum({_DIST}) AS t, count(*) AS n FROM feats a, feats b GROUP BY ALL),
 sil AS (SELECT id, cluster, max(CASE WHEN other = cluster THEN n END) AS n, max(CASE WHEN other = cluster THEN t END) AS own,
