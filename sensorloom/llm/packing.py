@@ -8,14 +8,15 @@ histogram reaches the driver, however large the corpus.
    enumerated, and non-negative least squares finds how often to repeat each so that the
    repeats use up the histogram. Repeats are rounded down, then up while pieces are left.
 2. Bodies and filled blocks: the same with the combinations of 1 to 7 blocks that fill a window.
-3. What rounding leaves over is packed greedily, best fit decreasing, at any depth.
-
-Padding is small as long as there are short pieces to fill what bodies leave of a window; a
-corpus of nothing but bodies of, say, five blocks leaves three of eight blocks empty.
+3. What rounding leaves over fills windows greedily: the longest pieces that fit, then parts of
+   pieces that do not fit. Bodies are cut between blocks, remainders every ``GRAIN`` ids; the other
+   part is a piece of its new length. So windows are full but for fewer than ``GRAIN`` ids, whatever
+   lengths a corpus has, until the pieces run out. A composition is repeated while its lengths last.
 
 The plan says which ranks of a length go to which place of which sequence. Spark ranks the
 pieces (number within a scan task, plus a prefix sum over tasks) and looks the place up; ids
-stay where they were encoded, only piece rows of a few numbers are shuffled.
+stay where they were encoded, only piece rows of a few numbers are shuffled. A row has the checksums
+of its prefixes at the places where it may be cut, from which those of its parts follow.
 """
 
 from __future__ import annotations
@@ -36,9 +37,10 @@ from sensorloom.scratch import cut_lineage
 WINDOW = 4096
 BLOCK = 512
 DEPTH = 3
-_FILLED = 0  # stands for a filled block among the lengths of a plan
+#: Remainders are cut at multiples of so many ids.
+GRAIN = 16
 
-_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, number long"
+_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, prefix_crcs binary, part int, number long"
 
 
 def cuts(n: int, window: int = WINDOW, block: int = BLOCK) -> list[int]:
@@ -105,27 +107,32 @@ def whole_repeats(combos: list[tuple[int, ...]], x: np.ndarray, histogram: Count
     return [(combos[i], int(repeats[i])) for i in np.flatnonzero(repeats)]
 
 
-def best_fit(histogram: Counter, window: int) -> list[tuple[tuple, int]]:
-    """Greedy packing of what is left: longest first, into the tightest open sequence, many at a time."""
-    rooms: dict[int, list[list]] = defaultdict(list)  # room: [composition, how many sequences]
-    for length, count in sorted(((size, n) for size, n in histogram.items() if n), reverse=True):
-        while count:
-            room = min((r for r in rooms if r >= length and rooms[r]), default=None)
-            if room is None:
-                per = window // length
-                full, rest = divmod(count, per)
-                for times, n in ((per, full), (rest, 1)):
-                    if times and n:
-                        rooms[window - times * length].append([(length,) * times, n])
+def fill(histogram: Counter, window: int, block: int, grain: int = GRAIN) -> Iterator[tuple[list[tuple[int, int]], int]]:
+    """Greedy windows from what is left: ``(length, part placed)`` of each piece, and how often to repeat that.
+
+    Where a part is less than the length, the rest goes back to the histogram, which ends empty.
+    """
+    while sum(histogram.values()):
+        room, used, window_of = window, Counter(), []
+        for length in sorted((x for x, n in histogram.items() if n), reverse=True):
+            n = min(room // length, histogram[length])
+            window_of += [(length, length)] * n
+            used[length] += n
+            room -= n * length
+        while room >= grain:
+            steps = [(room - room % (block if x >= block else grain), -x) for x, n in histogram.items() if n > used[x] and x > room]
+            part, length = max(steps, default=(0, 0))
+            if not part:
                 break
-            combo, n = rooms[room].pop()
-            per = min(room // length, count)
-            used = min(n, count // per)
-            if used < n:
-                rooms[room].append([combo, n - used])
-            rooms[room - per * length].append([combo + (length,) * per, used])
-            count -= per * used
-    return [(tuple(c), n) for group in rooms.values() for c, n in group]
+            window_of.append((-length, part))
+            used[-length] += 1
+            room -= part
+        repeats = min(histogram[x] // n for x, n in used.items() if n)
+        for length, part in window_of:
+            histogram[length] -= repeats
+            if part < length:
+                histogram[length - part] += repeats
+        yield window_of, repeats
 
 
 class Plan:
@@ -135,10 +142,11 @@ class Plan:
         self.window, self.block = window, block
         left = Counter({length: n for length, n in histogram.items() if length != window})
         self._next: Counter = Counter()
+        self._parts = Counter(histogram)  # ranks of the rests of cut pieces follow those of the given ones
         self.rows: dict[int, list[tuple]] = defaultdict(list)
         self.sequences = histogram.get(window, 0)
         if self.sequences:
-            self.rows[window].append((0, 0, 0, 0))
+            self.rows[window].append((0, 0, 0, 0, 0, 0))
         small = Counter({length: n for length, n in left.items() if length < block})
         blocks = 0
         if small:
@@ -157,33 +165,68 @@ class Plan:
                 self.sequences += n
         rest = Counter({u * block: n for u, n in units.items()})
         rest.update(small)
-        for combo, n in best_fit(rest, window):
-            self._put(combo, n, self.sequences, False)
-            self.sequences += n
         self.bodies = of_block
+        self._parts[block] += blocks
+        for window_of, n in fill(rest, window, block):
+            self._put_parts(window_of, n)
         self.tables = {length: np.array(rows, np.int64).T for length, rows in self.rows.items()}
-
     def _put(self, combo, n: int, target: int, in_block: bool) -> None:
         for slot, length in enumerate(combo):
-            self.rows[length].append((self._next[length], target, slot, in_block))
+            self.rows[length].append((self._next[length], target, slot, in_block, 0, 0))
             self._next[length] += n
 
-    def _find(self, length: int, ranks: np.ndarray) -> tuple:
-        first, target, slot, in_block = self.tables[length]
-        at = np.searchsorted(first, ranks, "right") - 1
-        return target[at] + ranks - first[at], slot[at], in_block[at] == 1
+    def _put_parts(self, window_of: list[tuple[int, int]], n: int) -> None:
+        for slot, (length, part) in enumerate(window_of):
+            cut, rest = (part, self._parts[length - part]) if part < length else (0, 0)
+            self.rows[length].append((self._next[length], self.sequences, slot, 0, cut, rest))
+            self._next[length] += n
+            if cut:
+                self._parts[length - part] += n
+        self.sequences += n
+
+    def places(self, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Parts of the pieces with these lengths and ranks: piece, start in it, length, sequence, order within it."""
+        found = [np.zeros((5, 0), np.int64)]
+        piece, begin = np.arange(len(ranks)), np.zeros(len(ranks), np.int64)
+        lengths, ranks = lengths.astype(np.int64), ranks.astype(np.int64)
+        while len(piece):
+            rows = np.zeros((6, len(piece)), np.int64)
+            for length in np.unique(lengths):
+                mine = lengths == length
+                table = self.tables[int(length)]
+                rows[:, mine] = table[:, np.searchsorted(table[0], ranks[mine], "right") - 1]
+            first, target, slot, inside, cut, rest = rows
+            sequence, order = target + ranks - first, slot * self.window
+            within = np.flatnonzero(inside)
+            if len(within):  # the place of the filled block, then the slot in it
+                table = self.tables[self.block]
+                block = sequence[within] + self.bodies
+                outer = table[:, np.searchsorted(table[0], block, "right") - 1]
+                sequence[within], order[within] = outer[1] + block - outer[0], outer[2] * self.window + slot[within]
+            part = np.where(cut > 0, cut, lengths)
+            found.append(np.stack([piece, begin, part, sequence, order]))
+            more = cut > 0
+            ranks = (rest + ranks - first)[more]
+            piece, begin, lengths = piece[more], (begin + part)[more], (lengths - part)[more]
+        return tuple(np.concatenate(found, axis=1))
+
+
+def part_crc(prefix_crcs: bytes, step: int, whole: int, length: int, begin: int, part: int) -> int:
+    """Checksum of ids ``begin:begin + part`` of a piece from those of its prefixes.
+
+    The checksum of two runs is that of the first, moved on by the second's bytes, xor that of the second.
+    """
+    of = np.frombuffer(prefix_crcs, "<u4")
+    end = begin + part
+    upto = whole if end == length else int(of[end // step - 1])
+    if not begin:
+        return upto
+    zeros = bytes(4 * part)
+    return upto ^ zlib.crc32(zeros, int(of[begin // step - 1])) ^ zlib.crc32(zeros)
 
-    def places(self, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sequence and order within it of the pieces with these lengths and ranks."""
-        sequence, order = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), np.int64)
-        for length in np.unique(lengths):
-            rows = np.flatnonzero(lengths == length)
-            target, slot, inside = self._find(int(length), ranks[rows])
-            sequence[rows], order[rows] = target, slot * self.window
-            if inside.any():  # the place of the filled block, then the slot in it
-                outer, at, _ = self._find(self.block, target[inside] + self.bodies)
-                sequence[rows[inside]], order[rows[inside]] = outer, at * self.window + slot[inside]
-        return sequence, order
+
+def _step(length: int, block: int) -> int:
+    return block if length >= block else GRAIN
 
 
 def _cut(vocabulary: str, window: int, block: int):
@@ -196,7 +239,7 @@ def _cut(vocabulary: str, window: int, block: int):
         seen: Counter = Counter()
         for batch in batches:
             for some in pieces(batch, "text"):
-                docs, starts, lengths, crcs, totals, numbers = [], [], [], [], [], []
+                docs, starts, lengths, crcs, totals, prefixes, numbers = [], [], [], [], [], [], []
                 for doc, ids in zip(some.column(0).to_pylist(), tokens.encode(some.column(1).to_pylist())):
                     ids = np.append(ids.astype("<u4"), np.uint32(END_ID))
                     start = 0
@@ -204,15 +247,21 @@ def _cut(vocabulary: str, window: int, block: int):
                         docs.append(doc)
                         starts.append(start)
                         lengths.append(length)
-                        crcs.append(zlib.crc32(ids[start : start + length].astype("<u4").tobytes()))
+                        run, crc = ids[start : start + length].tobytes(), 0
+                        step, steps = 4 * _step(length, block), []
+                        for at in range(0, len(run) if length < window else 0, step):
+                            crc = zlib.crc32(run[at : at + step], crc)
+                            steps.append(crc)
+                        crcs.append(crc if steps else zlib.crc32(run))
+                        prefixes.append(np.array(steps[:-1], "<u4").tobytes())
                         totals.append(len(ids))
                         numbers.append(seen[length])
                         seen[length] += 1
                         start += length
                 longs = [pa.array(x, pa.int64()) for x in (docs, starts, lengths, crcs, totals)]
                 yield pa.RecordBatch.from_arrays(
-                    [*longs, pa.array([part] * len(docs), pa.int32()), pa.array(numbers, pa.int64())],
-                    ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "number"],
+                    [*longs, pa.array(prefixes, pa.binary()), pa.array([part] * len(docs), pa.int32()), pa.array(numbers, pa.int64())],
+                    ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "prefix_crcs", "part", "number"],
                 )
 
     return run
@@ -242,18 +291,28 @@ def pack(
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     bases = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "order"]
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sequence, order = plan.places(batch.column("length").to_numpy(), batch.column("rank").to_numpy())
-            keep = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(sequence), pa.array(order)], [*keep, "sequence_id", "order"]
-            )
+            lengths = batch.column("length").to_numpy()
+            piece, begin, part, sequence, order = plan.places(lengths, batch.column("rank").to_numpy())
+            crcs = batch.column("ids_crc32").to_numpy()[piece]
+            cut = np.flatnonzero(part < lengths[piece])
+            prefixes = batch.column("prefix_crcs")
+            for i in cut.tolist():
+                of, length = int(piece[i]), int(lengths[piece[i]])
+                known = prefixes[of].as_py(), _step(length, block), int(batch.column("ids_crc32")[of].as_py()), length
+                crcs[i] = part_crc(*known, int(begin[i]), int(part[i]))
+            start = batch.column("start").to_numpy()[piece] + begin
+            doc, total = (batch.column(c).take(pa.array(piece)) for c in ("doc_id", "doc_tokens"))
+            columns = [doc, pa.array(start), pa.array(part), pa.array(crcs), total, pa.array(sequence), pa.array(order)]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     placed = (
         cut.join(bases, ["length", "part"])
-        .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("number")).alias("rank"))
-        .mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, order long")
+        .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "prefix_crcs", (F.col("base") + F.col("number")).alias("rank"))
+        .mapInArrow(place, ", ".join(f"{n} long" for n in names))
     )
     earlier = W.partitionBy("sequence_id").orderBy("order").rowsBetween(W.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0))).drop("order")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from sensorloom.llm.packing import Plan, combinations, nnls, pack
+from sensorloom.llm.packing import GRAIN, Plan, combinations, cuts, nnls, pack
 from sensorloom.llm.queries import QUERIES
 from sensorloom.llm.tokens import vocabulary_path
 
@@ -65,12 +65,29 @@ def test_plan_places_every_rank_once(seed):
     plan = Plan(histogram, 256, 32)
     lengths = np.repeat(list(histogram), list(histogram.values()))
     ranks = np.concatenate([np.arange(n) for n in histogram.values()])
-    sequence, order = plan.places(lengths, ranks)
-    assert len(set(zip(sequence, order))) == len(ranks)
-    filled = np.bincount(sequence, lengths)
+    piece, begin, part, sequence, order = plan.places(lengths, ranks)
+    assert len(set(zip(sequence, order))) == len(piece)
+    by_piece = np.lexsort((begin, piece))
+    ends = np.append(piece[by_piece][1:] != piece[by_piece][:-1], True)
+    after = (begin + part)[by_piece]
+    assert (after[ends] == lengths).all() and (after[~ends] == begin[by_piece][1:][~ends[:-1]]).all()
+    filled = np.bincount(sequence, part)
     assert filled.max() <= 256 and len(filled) == plan.sequences and filled.min() > 0
-    if lengths[lengths < 32].sum() > lengths[lengths >= 32].sum():  # else short pieces cannot fill what bodies leave
-        assert plan.sequences <= lengths.sum() // 256 + 3
+    assert plan.sequences <= lengths.sum() // (256 - GRAIN) + 3
+
+
+@pytest.mark.parametrize("tokens", [[n] * 10_000 for n in (968, 2100, 2504, 2600, 2700, 3000, 3500, 4000)] + [list(range(2600, 4000)) * 5])
+def test_little_padding_whatever_the_lengths(tokens):
+    plan = Plan(Counter(c for n in tokens for c in cuts(n)))
+    assert 1 - sum(tokens) / (plan.sequences * 4096) < 0.01
+
+
+def test_checksums_of_cut_pieces(spark):
+    rng = random.Random(8)
+    texts = {i: " ".join(rng.choice("the of and to in is was".split()) for _ in range(rng.choice([170, 169, 230]))) for i in range(300)}
+    rows = pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), window=256, block=32).collect()
+    assert len({(r.doc_id, r.start) for r in rows}) == len(rows)
+    assert check(rows, texts, 256) < 0.07
 
 
 def test_nnls_solves_a_solvable_histogram():
