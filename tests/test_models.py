@@ -7,6 +7,7 @@ from sensorloom.operators import classify as C
 from sensorloom.operators import metrics as M
 from sensorloom.operators import regress as G
 from sensorloom.operators import select as S
+from sensorloom.operators.newton import FAN_IN, Fit, fit_all
 from sensorloom.plans.label_unknown import predict_unknown
 from sensorloom.sources import labels as L
 
@@ -152,13 +153,30 @@ def test_linear_elimination_keeps_the_useful_categories(spark):
     assert S.best_count(S.rfecv_linear(df, ["first", "noise", "second"], "label", "id")) == 2
 
 
-def test_linear_svm_has_no_gradient_left():
+def test_newton_sums_leave_no_gradient_and_spare_a_fold(spark):
     rng = np.random.default_rng(5)
-    x, weight = rng.normal(size=(40, 3)), rng.integers(1, 4, 40).astype(float)
-    y = np.where(x[:, 0] + 0.5 * rng.normal(size=40) > 0, 1.0, -1.0)
-    w = S.linear_svm(x, y, weight)
-    a = np.concatenate([x, np.ones((40, 1))], axis=1)
-    gap = np.maximum(0, 1 - y * (a @ w))
-    assert w - 2 * a.T @ (weight * y * gap) == pytest.approx(np.zeros(4), abs=1e-5)
-    doubled = S.linear_svm(np.repeat(x, weight.astype(int), axis=0), np.repeat(y, weight.astype(int)), np.ones(int(weight.sum())))
-    assert doubled == pytest.approx(w, abs=1e-6)
+    x, n, fold = rng.normal(size=(90, 3)), rng.integers(1, 4, 90), np.arange(90) % 2
+    label = np.digitize(x[:, 0] + 0.5 * rng.normal(size=90), [-0.5, 0.5])
+    rows = [(int(k), int(f), int(m), v.tolist()) for k, f, m, v in zip(label, fold, n, x)]
+    data = spark.createDataFrame(rows, "label int, fold int, n long, x array<double>").repartition(40)
+    fits = [Fit([0, 1, 2], 3), Fit([2, 0], 3, 1)]
+    assert data.rdd.getNumPartitions() > FAN_IN and fit_all(data, fits) == []
+    for f, use in zip(fits, (fold >= 0, fold != 1)):
+        a = np.concatenate([x[use][:, f.kept], np.ones((use.sum(), 1))], axis=1)
+        for k in range(3):
+            y = np.where(label[use] == k, 1.0, -1.0)
+            gap = np.maximum(0, 1 - y * (a @ f.weights[k]))
+            assert f.weights[k] - 2 * a.T @ (n[use] * y * gap) == pytest.approx(np.zeros(a.shape[1]), abs=1e-5)
+    (share,) = fit_all(data, [], [([2, 0], 1, fits[1].weights)])
+    guess = (x[:, [2, 0]] @ fits[1].weights[:, :-1].T + fits[1].weights[:, -1]).argmax(axis=1)
+    on = fold == 1
+    assert share == pytest.approx((n[on] * (guess[on] == label[on])).sum() / n[on].sum())
+
+
+def test_linear_elimination_over_200_000_patterns(spark):
+    """Nearly every row has a pattern of its own; nothing is capped or gathered."""
+    bits = [((F.shiftright("id", k) % 2) == 1).cast("int").alias(f"b{k:02d}") for k in range(18)]
+    df = spark.range(1 << 18).filter("id % 5 <> 0").select(F.col("id"), *bits, F.when(F.col("id") % 4 == 3, "yes").otherwise("no").alias("label"))
+    table = S.rfecv_linear(df, ["b00", "b01", "b07"] + [f"b{k:02d}" for k in range(8, 18)] + ["b02", "b03", "b04", "b05", "b06"], "label", "id").collect()
+    assert df.count() > 200_000 and sorted(next(r for r in table if r.num_features == 2).features) == ["b00", "b01"]
+    assert next(r for r in table if r.num_features == 2).score == 1.0
