@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sensorloom.scratch import cut_lineage, spread
 
@@ -141,7 +141,24 @@ _BOUNDS = {gower: _gower_bound, euclidean: _euclidean_bound}
 
 def _heads(packed: DataFrame, tag: str) -> DataFrame:
     width = F.size(f"cs{tag}") / F.col(f"n{tag}")
-    return packed.select(f"b{tag}", f"lo{tag}", f"hi{tag}", f"cat{tag}", width.alias(f"width{tag}"))
+    return packed.select(f"b{tag}", f"n{tag}", f"lo{tag}", f"hi{tag}", f"cat{tag}", width.alias(f"width{tag}"))
+
+
+def header_pairs(a: DataFrame, b: DataFrame, one: bool, metric: Metric = gower) -> DataFrame:
+    """``b1, b2, n2, bound`` of all pairs of blocks, from headers: one small row per block."""
+    last = b.agg(F.max("b2")).first()[0]
+    first = F.col("b1") if one else F.lit(0)
+    pairs = _heads(a, "1").withColumn("b2", F.explode(F.sequence(first, F.lit(-1 if last is None else last).cast("int"))))
+    pairs = pairs.join(_heads(b, "2"), "b2")
+    bound = _BOUNDS[metric]() if metric in _BOUNDS else F.lit(0.0)
+    return pairs.select("b1", "b2", "n2", bound.alias("bound"))
+
+
+def with_points(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of two packed blocks for ``b1, b2``."""
+    # The join needs this partitioning; the fixed number of tasks fits the work, not the bytes.
+    pairs = spread(pairs.select("b1", "b2"), "b2").join(b, "b2").join(a, "b1")
+    return pairs.select(*[f"{k}{t}" for t in "12" for k in ("b", "ids", "xs", "cs", "es", "n")])
 
 
 def block_pairs(
@@ -162,15 +179,10 @@ def block_pairs(
     b = a.withColumnsRenamed({c: c[:-1] + "2" for c in a.columns}) if one else None
     if b is None:
         b = cut_lineage(_packed(right, extra if right_extra is None else right_extra, "2"), "packed")
-    last = b.agg(F.max("b2")).first()[0]
-    first = F.col("b1") if one else F.lit(0)
-    pairs = _heads(a, "1").withColumn("b2", F.explode(F.sequence(first, F.lit(-1 if last is None else last).cast("int"))))
-    pairs = pairs.join(_heads(b, "2"), "b2")
+    pairs = header_pairs(a, b, one, metric)
     if within is not None and metric in _BOUNDS:
-        pairs = pairs.filter(_BOUNDS[metric]() <= within + 1e-9)
-    # The join needs this partitioning; the fixed number of tasks fits the work, not the bytes.
-    pairs = spread(pairs.select("b1", "b2"), "b2").join(b, "b2").join(a, "b1")
-    return pairs.select(*[f"{k}{t}" for t in "12" for k in ("b", "ids", "xs", "cs", "es", "n")])
+        pairs = pairs.filter(F.col("bound") <= within + 1e-9)
+    return with_points(pairs, a, b)
 
 
 def _block(row, tag: str) -> Block:
@@ -292,8 +304,10 @@ def nearest_k(
 ) -> DataFrame:
     """The ``k`` nearest right points of each left point, ties by id, with ``rank`` 1..k.
 
-    A block pair passes on at most ``k`` rows per left point; the last choice is among
-    ``k`` times the number of right blocks.
+    In two steps: each left block meets the closest right block that has enough points, and the
+    farthest of what its points find there bounds all of them. Then it meets only blocks whose
+    bounding box is not farther. A block pair passes on at most ``k`` rows per left point, and
+    ranking keeps ``k`` of them before the shuffle and after; no list of blocks is gathered.
     """
 
     def fn(a: Block, b: Block, same: bool):
@@ -311,12 +325,19 @@ def nearest_k(
             out[name] = b.extra[j, e]
         return out
 
-    pairs = block_pairs(blocked(left), blocked(right), extra=[], right_extra=list(carry), metric=metric)
     schema = "id string, neighbour string, dist double" + "".join(f", {c} double" for c in carry)
-    near = F.struct("dist", "neighbour", *carry)
-    found = reduce_pairs(pairs, fn, schema).groupBy("id").agg(
-        F.slice(F.array_sort(F.collect_list(near)), 1, k).alias("near")
-    )
-    return found.select("id", F.posexplode("near").alias("rank", "n")).select(
-        "id", (F.col("rank") + 1).alias("rank"), "n.neighbour", "n.dist", *[F.col(f"n.{c}") for c in carry]
-    )
+    placed = blocked(left)
+    a = cut_lineage(_packed(placed, [], "1"), "packed")
+    b = cut_lineage(_packed(blocked(right), list(carry), "2"), "packed")
+    heads = cut_lineage(header_pairs(a, b, False, metric), "headers")
+    short = F.col("n2") < k + int(skip_self)
+    closest = heads.groupBy("b1").agg(F.min(F.struct(short.alias("short"), "bound", "b2")).alias("first")).select("b1", "first.b2")
+    near = cut_lineage(reduce_pairs(with_points(closest, a, b), fn, schema), "near")
+
+    farthest = near.groupBy("id").agg(F.when(F.count("*") >= k, F.max("dist")).alias("kth"))
+    reach = placed.select("id", F.col("block").alias("b1")).join(farthest, "id", "left")
+    reach = reach.groupBy("b1").agg(F.max(F.coalesce("kth", F.lit(float("inf")))).alias("reach"))
+    others = heads.join(closest, ["b1", "b2"], "left_anti").join(reach, "b1").filter(F.col("bound") <= F.col("reach") + 1e-9)
+    found = near.union(reduce_pairs(with_points(others, a, b), fn, schema))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("dist", "neighbour"))
+    return found.withColumn("rank", place).filter(F.col("rank") <= k).select("id", "rank", "neighbour", "dist", *carry)

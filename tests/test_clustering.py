@@ -242,3 +242,40 @@ def test_mds_keeps_planar_distances(spark, block_rows):
     dx = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     dy = np.sqrt(((y[:, None] - y[None]) ** 2).sum(-1))
     assert np.abs(dx - dy).mean() < 0.02
+
+
+def count_pairs(monkeypatch, module=B):
+    """Counts the block pairs that are given points."""
+    seen = []
+    real = module.with_points
+
+    def counted(pairs, a, b):
+        seen.append(pairs.count())
+        return real(pairs, a, b)
+
+    monkeypatch.setattr(module, "with_points", counted)
+    return seen
+
+
+@pytest.mark.parametrize("k", [3, 20])
+def test_nearest_k_meets_near_blocks_only(spark, monkeypatch, k):
+    monkeypatch.setattr(B, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(3)
+    x = np.sort(rng.random(400)) + 10 * (np.arange(400) // 80)
+    rows = [(f"p{i:03d}", [float(v)], []) for i, v in enumerate(x)]
+    points = spark.createDataFrame(rows, "id string, x array<double>, c array<string>")
+    seen = count_pairs(monkeypatch)
+    got = B.nearest_k(points, points, k, B.euclidean, skip_self=True).collect()
+    for i, (name, _, _) in enumerate(rows):
+        order = sorted((abs(x[i] - x[j]), rows[j][0]) for j in range(400) if j != i)[:k]
+        mine = sorted((r for r in got if r.id == name), key=lambda r: r["rank"])
+        assert [r.neighbour for r in mine] == [o[1] for o in order]
+        assert [r.dist for r in mine] == pytest.approx([o[0] for o in order])
+    assert sum(seen) < 25 * 25 / 3
+
+
+def test_nearest_k_of_few_points(spark):
+    points = spark.createDataFrame([("a", [0.0], []), ("b", [1.0], [])], "id string, x array<double>, c array<string>")
+    got = B.nearest_k(points, points, 5, B.euclidean, skip_self=True).collect()
+    assert sorted((r.id, r["rank"], r.neighbour) for r in got) == [("a", 1, "b"), ("b", 1, "a")]
+    assert B.nearest_k(points, points.limit(0), 5, B.euclidean).collect() == []
