@@ -145,12 +145,16 @@ def _heads(packed: DataFrame, tag: str) -> DataFrame:
 
 
 def header_pairs(a: DataFrame, b: DataFrame, one: bool, metric: Metric = gower) -> DataFrame:
-    """``b1, b2, n2, bound`` of all pairs of blocks, from headers: one small row per block."""
+    """``b1, b2, n2, bound`` of all pairs of blocks, from headers: one small row per block.
+
+    A metric that is never below another one names it as ``at_least``, and has that one's bound.
+    """
     last = b.agg(F.max("b2")).first()[0]
     first = F.col("b1") if one else F.lit(0)
     pairs = _heads(a, "1").withColumn("b2", F.explode(F.sequence(first, F.lit(-1 if last is None else last).cast("int"))))
     pairs = pairs.join(_heads(b, "2"), "b2")
-    bound = _BOUNDS[metric]() if metric in _BOUNDS else F.lit(0.0)
+    plain = getattr(metric, "at_least", metric)
+    bound = _BOUNDS[plain]() if plain in _BOUNDS else F.lit(0.0)
     return pairs.select("b1", "b2", "n2", bound.alias("bound"))
 
 
@@ -270,33 +274,18 @@ def _spanning(d: np.ndarray, ids: np.ndarray, limit: float) -> tuple[np.ndarray,
     return np.array(i), np.array(j), np.array(w)
 
 
-def spanning_candidates(
-    points_blocked: DataFrame, max_dist: float | None = None, metric: Metric = gower, extra: Sequence[str] = ()
-) -> DataFrame:
-    """Edges that together hold the minimum spanning forest of all points.
-
-    Each block pair keeps only the spanning edges of its own points: an edge that is the last
-    of a cycle there, in the order of distance and ids, is in no spanning forest of all points.
-    """
-    limit = np.inf if max_dist is None else max_dist
+def one_tree(points_blocked: DataFrame, limit: float, metric: Metric = gower, extra: Sequence[str] = ()) -> DataFrame:
+    """The minimum spanning forest ``a, b, dist`` of points that are one block."""
 
     def fn(a: Block, b: Block, same: bool):
-        both = a if same else Block(
-            np.concatenate([a.ids, b.ids]),
-            np.concatenate([a.x, b.x]),
-            np.concatenate([a.c, b.c]),
-            np.concatenate([a.extra, b.extra]),
-        )
-        d = metric(both, both)
-        i, j, w = _spanning(d, both.ids, limit)
+        i, j, w = _spanning(metric(a, a), a.ids, limit)
         if not len(i):
             return None
-        ia, ib = both.ids[i], both.ids[j]
+        ia, ib = a.ids[i], a.ids[j]
         swap = ia > ib
         return {"a": np.where(swap, ib, ia), "b": np.where(swap, ia, ib), "dist": w}
 
-    pairs = block_pairs(points_blocked, extra=extra, within=max_dist, metric=metric)
-    return reduce_pairs(pairs, fn, "a string, b string, dist double").distinct()
+    return reduce_pairs(block_pairs(points_blocked, extra=extra, metric=metric), fn, "a string, b string, dist double")
 
 
 def nearest_k(
@@ -304,7 +293,7 @@ def nearest_k(
 ) -> DataFrame:
     """The ``k`` nearest right points of each left point, ties by id, with ``rank`` 1..k.
 
-    In two steps: each left block meets the closest right block that has enough points, and the
+    In two steps: each left block meets the closest right blocks that have enough points, and the
     farthest of what its points find there bounds all of them. Then it meets only blocks whose
     bounding box is not farther. A block pair passes on at most ``k`` rows per left point, and
     ranking keeps ``k`` of them before the shuffle and after; no list of blocks is gathered.
@@ -330,14 +319,15 @@ def nearest_k(
     a = cut_lineage(_packed(placed, [], "1"), "packed")
     b = cut_lineage(_packed(blocked(right), list(carry), "2"), "packed")
     heads = cut_lineage(header_pairs(a, b, False, metric), "headers")
-    short = F.col("n2") < k + int(skip_self)
-    closest = heads.groupBy("b1").agg(F.min(F.struct(short.alias("short"), "bound", "b2")).alias("first")).select("b1", "first.b2")
+    # Headers of the blocks that a left block may meet, nearest first.
+    nearer = F.sum("n2").over(Window.partitionBy("b1").orderBy("bound", "b2")) - F.col("n2")
+    closest = cut_lineage(heads.withColumn("nearer", nearer).filter(F.col("nearer") < k + int(skip_self)).select("b1", "b2"), "closest")
     near = cut_lineage(reduce_pairs(with_points(closest, a, b), fn, schema), "near")
 
-    farthest = near.groupBy("id").agg(F.when(F.count("*") >= k, F.max("dist")).alias("kth"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("dist", "neighbour"))
+    farthest = near.withColumn("rank", place).filter(F.col("rank") <= k).groupBy("id").agg(F.when(F.count("*") >= k, F.max("dist")).alias("kth"))
     reach = placed.select("id", F.col("block").alias("b1")).join(farthest, "id", "left")
     reach = reach.groupBy("b1").agg(F.max(F.coalesce("kth", F.lit(float("inf")))).alias("reach"))
     others = heads.join(closest, ["b1", "b2"], "left_anti").join(reach, "b1").filter(F.col("bound") <= F.col("reach") + 1e-9)
     found = near.union(reduce_pairs(with_points(others, a, b), fn, schema))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("dist", "neighbour"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("id", "rank", "neighbour", "dist", *carry)

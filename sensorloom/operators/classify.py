@@ -26,6 +26,8 @@ from sensorloom.scratch import cut_lineage
 
 TREES = 100
 VAR_SMOOTHING = 1e-9
+#: A bound against endless runs only: the solver ends by its tolerance, far below it.
+SVM_ROUNDS = 5000
 
 
 def assemble(df: DataFrame, id_: str, columns: list[str], label: str | None = None) -> DataFrame:
@@ -153,7 +155,8 @@ def clf_kernel_svm(train, test, components: int = 100, seed: int = 0):
 
     # Every iteration reads the lifted rows, so they are computed once.
     lifted = cut_lineage(lift(train), "lifted")
-    return _one_vs_rest(LinearSVC(maxIter=50, regParam=1.0 / max(lifted.count(), 1)), lifted, lift(test))
+    svm = LinearSVC(maxIter=SVM_ROUNDS, regParam=1.0 / max(lifted.count(), 1))
+    return _one_vs_rest(svm, lifted, lift(test))
 
 
 def clf_adaboost(train, test, rounds: int = TREES):

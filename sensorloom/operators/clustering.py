@@ -14,11 +14,11 @@ from sensorloom.operators.blocks import (
     near_pairs,
     profiles,
     reduce_pairs,
-    spanning_candidates,
     to_members,
     weight_within,
 )
-from sensorloom.operators.forest import components, cut_tree, spanning_tree
+from sensorloom.operators.forest import components, cut_tree
+from sensorloom.operators.spanning import spanning_forest
 from sensorloom.scratch import cut_lineage
 
 NOISE = "-1"
@@ -39,8 +39,7 @@ def _with_keys(shapes: DataFrame, per_id: DataFrame) -> DataFrame:
 def agglom_single(points: DataFrame, clusters: int, metric: Metric = gower) -> DataFrame:
     """Single-linkage clusters ``id, cluster``, each named by its smallest id."""
     shapes = cut_lineage(profiles(points), "profiles")
-    n = shapes.count()
-    tree = spanning_tree(n, spanning_candidates(blocked(shapes), metric=metric))
+    tree = spanning_forest(blocked(shapes), metric=metric)
     root = cut_tree(shapes, cut_lineage(tree, "tree"), clusters).withColumnRenamed("root", "cluster")
     return to_members(points, _with_keys(shapes, root), "cluster")
 
@@ -48,7 +47,7 @@ def agglom_single(points: DataFrame, clusters: int, metric: Metric = gower) -> D
 def agglom_threshold(points: DataFrame, max_dist: float, metric: Metric = gower) -> DataFrame:
     """Single-linkage clusters cut at a distance instead of a number of clusters."""
     shapes = cut_lineage(profiles(points), "profiles")
-    edges = spanning_candidates(blocked(shapes), max_dist, metric)
+    edges = spanning_forest(blocked(shapes), max_dist, metric)
     root = components(shapes, edges).withColumnRenamed("root", "cluster")
     return to_members(points, _with_keys(shapes, root), "cluster")
 
@@ -63,7 +62,7 @@ def dbscan(points: DataFrame, eps: float = 0.15, min_samples: int = 5, metric: M
     density = weight_within(shapes, eps, metric=metric)
     rated = cut_lineage(shapes.join(density, "id").withColumn("core", F.col("weight") >= min_samples), "rated")
     core = rated.filter("core")
-    edges = spanning_candidates(core, eps, metric)
+    edges = cut_lineage(spanning_forest(core, eps, metric), "edges")
     named = cut_lineage(components(core, edges), "cores")
     # Core points carry the name of their cluster in front of their id.
     numbered = core.join(named, "id").withColumn("id", F.concat_ws("\u0001", "root", "id"))

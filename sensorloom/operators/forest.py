@@ -1,4 +1,4 @@
-"""Connected components and spanning trees as rounds of joins and aggregates.
+"""Connected components, and trees cut into components, as rounds of joins and aggregates.
 
 Every round ends in a written table, so plans stay short and lost executors cost one round.
 """
@@ -57,27 +57,6 @@ def local_stars(edges: DataFrame) -> DataFrame:
     return edges.mapInPandas(run, "ra string, rb string")
 
 
-def local_forest(edges: DataFrame) -> DataFrame:
-    """Before the rounds: each chunk of edges drops those that close a cycle in it.
-
-    The longest edge of a cycle is in no minimum spanning tree, so nothing needed is lost.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for chunk in _chunks(batches):
-            chunk = chunk.sort_values(["dist", "a", "b"])
-            parent: dict = {}
-            keep = []
-            for a, b in zip(chunk["a"], chunk["b"]):
-                a, b = _find(parent, a), _find(parent, b)
-                keep.append(a != b)
-                if a != b:
-                    parent[b] = a
-            yield chunk[keep]
-
-    return edges.select("a", "b", "dist").mapInPandas(run, "a string, b string, dist double")
-
-
 def roots(parents: DataFrame) -> DataFrame:
     """Follow ``parent`` to the top for every ``id``; each pass quadruples the step."""
     state = cut_lineage(parents.select("id", "parent"), "parents")
@@ -125,33 +104,6 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return labels
 
 
-def spanning_tree(nodes: int, edges: DataFrame) -> DataFrame:
-    """Minimum spanning forest of ``a, b, dist`` by rounds of cheapest edges (Borůvka 1926).
-
-    Edges are ordered by ``dist, a, b``, which makes the result unique. ``nodes`` is the
-    number of points: as many edges less one already are the tree.
-    """
-    fewer = local_forest(edges.distinct())
-    live = cut_lineage(fewer.select("a", "b", "dist", F.col("a").alias("ra"), F.col("b").alias("rb")), "edges")
-    if live.count() == nodes - 1:
-        return live.select("a", "b", "dist")
-    tree = None
-    while not live.isEmpty():
-        ends = live.select(F.col("ra").alias("id"), F.struct("dist", "a", "b", F.col("rb").alias("to")).alias("e")).union(
-            live.select(F.col("rb").alias("id"), F.struct("dist", "a", "b", F.col("ra").alias("to")).alias("e"))
-        )
-        cheapest = cut_lineage(ends.groupBy("id").agg(F.min("e").alias("e")), "cheapest")
-        chosen = cheapest.select("e.a", "e.b", "e.dist").distinct()
-        tree = chosen if tree is None else tree.union(chosen)
-        # Two components that chose the same edge point at each other: the smaller is the root.
-        mutual = cheapest.select(F.col("id").alias("to"), F.col("e.to").alias("back"))
-        parents = cheapest.select("id", F.col("e.to").alias("to")).join(mutual, "to").select(
-            "id", F.when((F.col("back") == F.col("id")) & (F.col("id") < F.col("to")), F.col("id")).otherwise(F.col("to")).alias("parent")
-        )
-        live = cut_lineage(_relabel(live, roots(parents)), "edges")
-    return tree if tree is not None else live.select("a", "b", "dist")
-
-
 def cut_tree(nodes: DataFrame, tree: DataFrame, clusters: int) -> DataFrame:
     """Components after the ``clusters - 1`` longest edges of a tree are dropped."""
     longest = tree.orderBy(F.desc("dist"), F.desc("a"), F.desc("b")).limit(clusters - 1)

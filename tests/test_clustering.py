@@ -11,6 +11,7 @@ from sensorloom.operators import coordinates as X
 from sensorloom.operators import forest as Fo
 from sensorloom.operators import linkage as L
 from sensorloom.operators import mixtures as Mx
+from sensorloom.operators import spanning as Sp
 from sensorloom.operators.flow import cluster
 
 
@@ -134,8 +135,7 @@ def test_ward_matches_the_naive_algorithm(spark, monkeypatch):
 def test_spanning_tree_weight(spark, block_rows):
     rows, df = make(spark, n=70, copies=0)
     d = gower_matrix(rows)
-    tree = Fo.spanning_tree(70, B.spanning_candidates(B.blocked(df.withColumn("w", F.lit(1.0)))))
-    edges = tree.collect()
+    edges = Sp.spanning_forest(B.blocked(df)).collect()
     i, j, w = B._spanning(d, np.array([r[0] for r in rows], dtype=object), math.inf)
     assert len(edges) == 69 and sum(e["dist"] for e in edges) == pytest.approx(w.sum())
 
@@ -257,6 +257,41 @@ def count_pairs(monkeypatch, module=B):
     return seen
 
 
+@pytest.mark.parametrize("limit", [None, 0.02])
+def test_spanning_forest_forms_few_pairs_and_edges(spark, monkeypatch, limit):
+    monkeypatch.setattr(B, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(4)
+    x = np.sort(rng.integers(0, 3000, 300)) / 1000 + 10 * (np.arange(300) // 60)
+    rows = [(f"p{i:03d}", [float(v)], []) for i, v in enumerate(x)]
+    points = spark.createDataFrame(rows, "id string, x array<double>, c array<string>")
+    seen = []
+    real = Sp._edges
+
+    def counted(pairs, metric, most):
+        found = real(pairs, metric, most)
+        seen.append((pairs.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(Sp, "_edges", counted)
+    got = Sp.spanning_forest(B.blocked(points), limit, B.euclidean).collect()
+    d = np.abs(np.subtract.outer(x, x))
+    i, j, w = B._spanning(d, np.array([r[0] for r in rows], dtype=object), math.inf if limit is None else limit)
+    want = {tuple(sorted((rows[a][0], rows[b][0]))) for a, b in zip(i, j)}
+    assert {(e.a, e.b) for e in got} == want and len(got) == len(want)
+    # Each round looks inside the blocks, then between them; 19 blocks have 171 pairs.
+    assert all(out <= 300 for _, out in seen)
+    assert seen[1][0] < 40
+
+
+def test_spanning_forest_of_few_points(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK_ROWS", 1)
+    points = spark.createDataFrame([("a", [0.0], []), ("b", [1.0], []), ("c", [5.0], [])], "id string, x array<double>, c array<string>")
+    got = Sp.spanning_forest(B.blocked(points), metric=B.euclidean).collect()
+    assert sorted((e.a, e.b, e.dist) for e in got) == [("a", "b", 1.0), ("b", "c", 4.0)]
+    assert Sp.spanning_forest(B.blocked(points.limit(0)), metric=B.euclidean).collect() == []
+    assert Sp.spanning_forest(B.blocked(points.limit(1)), metric=B.euclidean).collect() == []
+
+
 @pytest.mark.parametrize("k", [3, 20])
 def test_nearest_k_meets_near_blocks_only(spark, monkeypatch, k):
     monkeypatch.setattr(B, "BLOCK_ROWS", 16)
