@@ -1,12 +1,16 @@
 """URL filter: fixed host rules first, then association rules mined from labelled pages.
 
-A URL's items are its scheme, host suffixes, first host label, path segments (digits masked) and
-query names. Items that are frequent on bad pages form the vocabulary, whether or not they are telling
-by themselves. Those that occur on the same labelled pages are one class: a page with any of
-them has the class, which gives the same verdicts as rules on the items and far fewer sets. Spark's
-FP-growth mines all frequent sets of the bad pages; their good pages are counted, and rules
-"items -> block" are pruned by confidence. The number of sets grows with the powers of two of the
-classes that a page has, not with the vocabulary.
+A URL's items are its scheme, host and host suffixes, first host label, path segments (digits masked)
+and query names. Items that are frequent on bad pages form the vocabulary, whether or not they are
+telling by themselves. Those that occur on the same labelled pages are one class: a page with any of
+them has the class, which gives the same verdicts as rules on the items and far fewer sets.
+
+A class that is confident by itself is a rule; larger sets with it block nothing more, so it is not
+mined further. Neither is a class that all labelled pages have: without it a set has the same
+pages. Of the other classes Spark's FP-growth mines all frequent sets of the bad pages; their good
+pages are counted, and rules "items -> block" are pruned by confidence. Verdicts are those of all
+confident sets. The number of sets grows with the powers of two of the classes that are not telling
+alone and that many bad pages share, not with the vocabulary.
 
 To count and to match, pages are reduced to their distinct patterns (sets of vocabulary items).
 Each set stands once in an inverted index, under its rarest item; a pattern meets only the sets
@@ -33,6 +37,8 @@ FIXED_RULES = [
 MIN_SUPPORT = 0.005
 MIN_ROWS = 10
 MIN_CONFIDENCE = 0.7
+#: The longest legal host name. Longer suffixes of a host are no items; the whole host always is one.
+HOST_CHARS = 253
 
 _BLOCK = "verdict:block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,17 +65,23 @@ def fixed_rule(host: Column, path: Column, rules=None) -> Column:
 
 def items(url: Column) -> Column:
     """Distinct items of a URL; empty without ``://``."""
-    labels = F.split(host(url), r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.concat(F.lit("host:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")),
-    )
+    whole = host(url)
+
+    def suffixes_of(h: Column) -> Column:
+        # A legal name has at most 127 labels; so a long host takes memory in proportion, not by the square.
+        dots = F.length(h) - F.length(F.replace(h, F.lit("."), F.lit("")))
+        counted = F.sequence(F.lit(1), F.least(dots + 1, F.lit(HOST_CHARS // 2 + 1)))
+        ends = F.transform(counted, lambda i: F.right(F.call_function("substring_index", h, F.lit("."), -i), F.lit(HOST_CHARS + 1)))
+        return F.transform(F.concat(F.array(h), F.filter(ends, lambda e: F.length(e) <= HOST_CHARS)), lambda e: F.concat(F.lit("host:"), e))
+
+    # The host is found once, not once for each suffix.
+    suffixes = F.get(F.transform(F.array(whole), suffixes_of), F.lit(0))
     segments = F.filter(F.split(path(url), "/"), lambda s: s != "")
     query = F.coalesce(F.regexp_extract(url, _PARTS, 3), F.lit(""))
     names = F.filter(F.transform(F.split(query, "&"), lambda s: F.split(s, "=")[0]), lambda s: s != "")
     mask = lambda s: F.regexp_replace(s, "[0-9]+", "#")
     every = F.concat(
-        F.array(F.concat(F.lit("scheme:"), F.substring_index(url, "://", 1)), F.concat(F.lit("label:"), labels[0])),
+        F.array(F.concat(F.lit("scheme:"), F.substring_index(url, "://", 1)), F.concat(F.lit("label:"), F.substring_index(whole, ".", 1))),
         suffixes,
         F.transform(segments, lambda s: F.concat(F.lit("path:"), mask(s))),
         F.transform(names, lambda s: F.concat(F.lit("query:"), mask(s))),
@@ -105,7 +117,12 @@ def _mine(
     baskets = rows.select(_known("items", words).alias("pattern"), "bad")
     patterns = cut_lineage(baskets.groupBy("pattern").agg(F.count("*").alias("rows"), F.sum("bad").alias("bad")), "baskets")
     vocabulary = cut_lineage(_classes(patterns, counts), "classes")
-    names = [r["class"] for r in vocabulary.select("class").distinct().collect()]
+    classes = cut_lineage(vocabulary.groupBy("class").agg(F.any_value("n").alias("n"), F.any_value("b").alias("b")), "kinds")
+    telling = F.col("b") >= min_confidence * F.col("n")
+    alone = classes.filter(telling).select(F.array("class").alias("needs"), (F.col("b") / F.col("n")).alias("confidence"))
+    names = [r["class"] for r in classes.filter(~telling & (F.col("n") < total)).select("class").collect()]
+    if not names:
+        return vocabulary, cut_lineage(alone, "rules")
 
     frequent = baskets.filter("bad = 1").select(_known("pattern", names).alias("items"))
     # Half a row less, so that rounding cannot raise the least count.
@@ -115,7 +132,7 @@ def _mine(
     against = _fitting(good, sets.select("needs"), vocabulary).groupBy("needs").agg(F.sum("good").alias("good"))
     confidence = F.col("b") / (F.col("b") + F.coalesce("good", F.lit(0)))
     rules = sets.join(against, "needs", "left").select("needs", confidence.alias("confidence"))
-    return vocabulary, cut_lineage(rules.filter(F.col("confidence") >= min_confidence), "rules")
+    return vocabulary, cut_lineage(alone.union(rules.filter(F.col("confidence") >= min_confidence)), "rules")
 
 
 def _known(items: str, words: list[str]) -> Column:
@@ -141,7 +158,9 @@ def _fitting(patterns: DataFrame, sets: DataFrame, counts: DataFrame) -> DataFra
 
 
 def mine_rules(pages: DataFrame, labels: DataFrame, **limits) -> tuple[list[str], DataFrame | None]:
-    """Names of the classes of items, and all rules ``(needs, confidence)`` on them that lead to block; None if nothing is frequent.
+    """Names of the classes of items, and rules ``(needs, confidence)`` on them that lead to block; None if nothing is frequent.
+
+    The rules block what all confident sets would block: every other confident set has a rule in it.
 
     ``pages`` has ``page_id, items``, ``labels`` has ``doc_id, bad``. Support counts labelled pages
     with the items and a bad label, as a share of all labelled pages, and at least ``min_rows``.
@@ -168,7 +187,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame, id_column: str = "page_id",
     Where a fixed rule fits, the longest decides. Otherwise the mined rules do: block if one
     fits, else allow. A page is bad if its label has ``quality`` 0 or ``toxic`` 1 (null counts as
     good); page ids are looked up as document ids. Null URLs and URLs without ``://`` have an empty
-    host and path and no items, so they are allowed. Pages that repeat, or have no id, each keep a
+    host and path and no items, so they are allowed. URLs are read whole, however long; a host
+    beyond ``HOST_CHARS`` has itself and its legal suffixes as items. Pages that repeat, or have no id, each keep a
     row; with no labels, or none that are bad, only the fixed rules block.
     """
     url = F.col(url_column).cast("string")
