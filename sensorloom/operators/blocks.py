@@ -241,8 +241,22 @@ def weight_within(points_blocked: DataFrame, max_dist: float, weight: str = "w",
     return parts.groupBy("id").agg(F.sum("weight").alias("weight"))
 
 
-def _spanning(d: np.ndarray, ids: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges of the minimum spanning forest of a small dense distance matrix (Prim 1957).
+class _Distances:
+    """Rows of the distance matrix of a block, made as they are asked for."""
+
+    def __init__(self, metric: Metric, block: Block):
+        self.metric, self.block = metric, block
+
+    def __len__(self) -> int:
+        return len(self.block)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        b = self.block
+        return self.metric(Block(b.ids[i : i + 1], b.x[i : i + 1], b.c[i : i + 1], b.extra[i : i + 1]), b)[0]
+
+
+def _spanning(d: np.ndarray | _Distances, ids: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of the minimum spanning forest of the points of one task, by rows of their distances (Prim 1957).
 
     Edges are ordered by distance, then smaller id, then larger id, as everywhere else; so
     the forest is unique and does not depend on how points were cut into blocks.
@@ -258,8 +272,9 @@ def _spanning(d: np.ndarray, ids: np.ndarray, limit: float) -> tuple[np.ndarray,
     for _ in range(m):
         out[current] = False
         order = np.minimum(place[current], place) * m + np.maximum(place[current], place)
-        closer = out & ((d[current] < best) | (d[current] == best) & (order < tie))
-        best[closer], tie[closer], source[closer] = d[current][closer], order[closer], current
+        row = d[current]
+        closer = out & ((row < best) | (row == best) & (order < tie))
+        best[closer], tie[closer], source[closer] = row[closer], order[closer], current
         if not out.any():
             break
         nearest = np.flatnonzero(out & (best == best[out].min()))
@@ -275,10 +290,10 @@ def _spanning(d: np.ndarray, ids: np.ndarray, limit: float) -> tuple[np.ndarray,
 
 
 def one_tree(points_blocked: DataFrame, limit: float, metric: Metric = gower, extra: Sequence[str] = ()) -> DataFrame:
-    """The minimum spanning forest ``a, b, dist`` of points that are one block."""
+    """The minimum spanning forest ``a, b, dist`` of points that are one block; memory is linear in them."""
 
     def fn(a: Block, b: Block, same: bool):
-        i, j, w = _spanning(metric(a, a), a.ids, limit)
+        i, j, w = _spanning(_Distances(metric, a), a.ids, limit)
         if not len(i):
             return None
         ia, ib = a.ids[i], a.ids[j]

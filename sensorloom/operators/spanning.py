@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from sensorloom.operators import blocks
 from sensorloom.operators.blocks import Block, Metric, _block, _packed, gower, header_pairs, one_tree
 from sensorloom.operators.forest import roots
 from sensorloom.scratch import cut_lineage, spread
@@ -25,6 +26,9 @@ from sensorloom.scratch import cut_lineage, spread
 #: Component of points that have no edge within the limit any more.
 _DONE = -1
 
+#: So many blocks of points need no rounds: one task finds their tree.
+TASK_BLOCKS = 8
+
 _EDGES = "comp long, to long, a string, b string, dist double"
 
 
@@ -97,8 +101,8 @@ def spanning_forest(points_blocked: DataFrame, max_dist: float | None = None, me
     Equal ids are not allowed. No points give no edges, and a single one gives none either.
     """
     limit = float("inf") if max_dist is None else max_dist
-    if points_blocked.select("block").distinct().limit(2).count() < 2:
-        return one_tree(points_blocked, limit, metric, extra)
+    if points_blocked.count() <= TASK_BLOCKS * blocks.BLOCK_ROWS:
+        return one_tree(points_blocked.withColumn("block", F.lit(0)), limit, metric, extra)
     packed = cut_lineage(_packed(points_blocked, list(extra), "1"), "packed")
     heads = packed.withColumnsRenamed({c: c[:-1] + "2" for c in packed.columns})
     near = cut_lineage(header_pairs(packed, heads, True, metric).filter((F.col("b1") < F.col("b2")) & (F.col("bound") <= limit + 1e-9)), "headers")

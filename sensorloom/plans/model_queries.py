@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -519,14 +521,21 @@ def reading_stream(spark, sf):
     with_sql(
         "readings",
         TYPED,
-        "last AS (SELECT max(datetime) - INTERVAL 10 MINUTE AS mark FROM typed WHERE x IS NOT NULL)",
         select=f"""SELECT date_trunc('hour', datetime) AS hour_start, {TAGS}, {rs('avg(x)')} AS mean, min(x) AS min, max(x) AS max, count(*) AS count
-FROM typed, last WHERE x IS NOT NULL AND date_trunc('hour', datetime) + INTERVAL 1 HOUR <= mark GROUP BY ALL""",
+FROM typed WHERE x IS NOT NULL GROUP BY ALL""",
     ),
 )
 def _(spark, sf):
     base = scratch_path(spark, "rollup")
-    SR.stream_rollup_hourly(reading_stream(spark, sf), SENSOR_TAGS, f"{base}/out", f"{base}/check").awaitTermination()
+    stream = reading_stream(spark, sf)
+
+    def run() -> None:
+        SR.stream_rollup_hourly(stream, SENSOR_TAGS, f"{base}/out", f"{base}/check", clock=f"{base}/clock").awaitTermination()
+
+    run()
+    last = T.readings(spark, sf).agg(F.max("datetime")).first()[0]
+    SR.close_hours(spark, stream.schema, f"{base}/clock", str(last + datetime.timedelta(hours=2)))
+    run()
     return rounded(spark.read.parquet(f"{base}/out"), ["mean"])
 
 

@@ -5,29 +5,51 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from sensorloom.functions.values import numeric_value, value_type
 from sensorloom.operators.aggregate import append_agg_exact, merge_partials, numeric_partials
 
 
 def hourly_windows(readings: DataFrame, keys: Sequence[str], delay: str = "10 minutes") -> DataFrame:
-    """Hourly statistics per key with a watermark; works on streams and tables."""
-    x = F.nanvl(numeric_value("value"), F.lit(None).cast("double"))
-    rows = (
-        readings.withColumn("_t", F.col("datetime").cast("timestamp"))
-        .withColumn("_x", x)
-        .filter((value_type("value") == "num") & F.col("_x").isNotNull())
-        .withWatermark("_t", delay)
-    )
+    """Hourly statistics per key with a watermark; works on streams and tables.
+
+    Rows of any kind move the watermark, only numbers count. They are not filtered before, since a
+    filter on values is pushed below the watermark, which would then miss rows without numbers.
+    """
+    x = F.when(value_type("value") == "num", F.nanvl(numeric_value("value"), F.lit(None).cast("double")))
+    rows = readings.withColumn("_t", F.col("datetime").cast("timestamp")).withColumn("_x", x).withWatermark("_t", delay)
     return rows.groupBy(F.window("_t", "1 hour").alias("w"), *keys).agg(
         F.avg("_x").alias("mean"), F.min("_x").alias("min"), F.max("_x").alias("max"), F.count("_x").alias("count")
-    ).select(F.col("w.start").cast("timestamp_ntz").alias("hour_start"), *keys, "mean", "min", "max", "count")
+    ).filter("count > 0").select(F.col("w.start").cast("timestamp_ntz").alias("hour_start"), *keys, "mean", "min", "max", "count")
+
+
+def close_hours(spark: SparkSession, schema: StructType, clock: str, until: Column | str) -> None:
+    """Tell a roll-up with this ``clock`` that time has reached ``until``: a row with nothing but a time.
+
+    ``schema`` is that of the readings. The next run of the query gives out all hours that end
+    at least its delay before; readings of these hours that come later are late.
+    """
+    until = F.lit(until) if isinstance(until, str) else until
+    row = [until.cast(f.dataType).alias(f.name) if f.name == "datetime" else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+    spark.range(1).select(*row).write.mode("append").parquet(clock)
 
 
-def stream_rollup_hourly(readings: DataFrame, keys: Sequence[str], out: str, checkpoint: str, delay: str = "10 minutes") -> StreamingQuery:
-    """Append finished hours to a Parquet table; an hour is finished once the watermark passed it."""
+def stream_rollup_hourly(
+    readings: DataFrame, keys: Sequence[str], out: str, checkpoint: str, delay: str = "10 minutes", clock: str | None = None
+) -> StreamingQuery:
+    """Append finished hours to a Parquet table; an hour is finished once the watermark passed it.
+
+    The last hours of a source that has ended need a closing call: ``clock`` is a folder of Parquet
+    files for ``close_hours`` (its rows are read as a second source, from the first run on).
+    Each hour comes out once, with or without a restart between.
+    """
+    if clock is not None:
+        spark = readings.sparkSession
+        spark.createDataFrame([], readings.schema).write.mode("append").parquet(clock)
+        readings = readings.unionByName(spark.readStream.schema(readings.schema).parquet(clock))
     return (
         hourly_windows(readings, keys, delay)
         .writeStream.outputMode("append")
