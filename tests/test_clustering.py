@@ -228,6 +228,25 @@ def test_coordinate_clusterings_find_blobs(spark, run):
     assert len(got) == 3 and len({r["cluster"] for r in got}) == 3
 
 
+def test_seeds_meet_a_far_cluster_however_small(spark):
+    many = spark.range(60_000).select(
+        F.col("id").cast("string").alias("id"), F.array(F.rand(1), F.rand(2)).alias("x")
+    )
+    far = spark.createDataFrame([("far0", [1000.0, 0.0]), ("far1", [1000.5, 0.0])], "id string, x array<double>")
+    rows = many.unionByName(far)
+    pool, weight = Mx.seed_pool(rows, 3)
+    assert weight.sum() == 60_002 and len(pool) < 2 * Mx.SEED_ROUNDS * Mx.SEED_RATE * 3
+    assert weight[pool[:, 0] > 900].sum() == 2
+    got = Mx.kmeans(rows, 2, starts=3).groupBy("cluster").agg(F.count("*").alias("n")).collect()
+    assert sorted(r["n"] for r in got) == [2, 60_000]
+
+
+def test_seeds_of_equal_points(spark):
+    rows = spark.createDataFrame([(str(i), [1.0, 2.0]) for i in range(20)], "id string, x array<double>")
+    pool, weight = Mx.seed_pool(rows, 3)
+    assert pool.tolist() == [[1.0, 2.0]] and weight.tolist() == [20.0]
+
+
 def test_fuzzy_memberships_add_up(spark):
     out = X.fuzzy_cmeans(blobs(spark), 3)
     sums = out.select(F.aggregate("memberships", F.lit(0.0), lambda s, v: s + v).alias("s"))
