@@ -97,12 +97,39 @@ def one_hot(df: DataFrame, column: str, order: Sequence[str] = ("datetime", "seq
 
 
 def encode_units(df: DataFrame, order: Sequence[str] = ("datetime", "seq")) -> DataFrame:
-    """``unit_0``, ``unit_1`` ... for the units in order of appearance."""
+    """``unit_0``, ``unit_1`` ... for the units in order of appearance; ``encode_units_sparse`` has no limit on them."""
     return one_hot(df, "unit", order, "unit_")
 
 
+def encode_units_sparse(df: DataFrame, order: Sequence[str] = ("datetime", "seq")) -> DataFrame:
+    """The same encoding for any number of units: the code of the 1 as ``unit_code``, and ``unit_width``."""
+    return one_hot_sparse(df, "unit", order).withColumnsRenamed({"code": "unit_code", "width": "unit_width"})
+
+
+def encode_and_scale_values_sparse(
+    df: DataFrame, order: Sequence[str] = ("datetime", "seq"), value: str = "value"
+) -> DataFrame:
+    """Numbers scaled into ``sc_0``; of other values the code of the 1 as ``cv_code``, null for numbers, and ``cv_width``.
+
+    Free text in the values may have any number of categories. Numbers do not take part in the
+    join: they are the bulk of the rows and have no code.
+    """
+    rows = df.withColumns({"_kind": value_type(value), "sc_0": numeric_value(value)})
+    other = F.coalesce(F.col("_kind") != "num", F.lit(False))
+    codes = cut_lineage(first_appearance_code(df.filter(value_type(value) != "num"), value, order), "codes")
+    width = codes.agg(F.count("*").alias("n")).scalar()
+    named = codes.select(F.col(value).alias("_category"), F.col("code").alias("cv_code"))
+    scaled = min_max_scale(rows, ["sc_0"]).withColumn("sc_0", F.coalesce("sc_0", F.lit(0.0)))
+    coded = scaled.filter(other).join(named, F.col(value) == F.col("_category"), "left").drop("_category")
+    plain = scaled.filter(~other).withColumn("cv_code", F.lit(None).cast("long"))
+    return coded.unionByName(plain).withColumn("cv_width", width).drop("_kind")
+
+
 def encode_and_scale_values(df: DataFrame, order: Sequence[str] = ("datetime", "seq"), value: str = "value") -> DataFrame:
-    """Numbers scaled into ``sc_0``, other values one-hot as ``cv_i``; what does not apply is 0."""
+    """Numbers scaled into ``sc_0``, other values one-hot as ``cv_i``; what does not apply is 0.
+
+    ``encode_and_scale_values_sparse`` has no limit on the other values.
+    """
     kind = value_type(value)
     cats = one_hot(df.filter(kind != "num"), value, order, "cv_").select(*df.columns, F.col("*"))
     names = [c for c in cats.columns if c.startswith("cv_")]

@@ -459,6 +459,29 @@ def _(spark, sf):
     return out.select("seq", "unit", *[c for c in out.columns if c.startswith("unit_")])
 
 
+@query(
+    "encode_units_sparse",
+    with_sql("readings", _CODES.format(c="unit", t="readings"), "width AS (SELECT count(*) AS unit_width FROM codes)",
+             select="SELECT seq, unit, code AS unit_code, unit_width FROM readings JOIN codes USING (unit), width"),
+)
+def _(spark, sf):
+    return E.encode_units_sparse(T.readings(spark, sf)).select("seq", "unit", "unit_code", "unit_width")
+
+
+@query(
+    "encode_and_scale_values_sparse",
+    with_sql(
+        "readings", TYPED, "other AS (SELECT * FROM typed WHERE kind <> 'num')", _CODES.format(c="value", t="other"),
+        "width AS (SELECT count(*) AS cv_width FROM codes)",
+        select=f"SELECT seq, {rs('coalesce((x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()), 0)')} AS sc_0, "
+        "code AS cv_code, cv_width FROM typed LEFT JOIN codes USING (value), width",
+    ),
+)
+def _(spark, sf):
+    out = E.encode_and_scale_values_sparse(T.readings(spark, sf))
+    return rounded(out.select("seq", "sc_0", "cv_code", "cv_width"), ["sc_0"])
+
+
 @query(
     "encode_and_scale_values",
     with_sql(
