@@ -4,7 +4,6 @@
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -19,6 +18,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from sensorloom.operators import extra_trees
 from sensorloom.operators.blocks import nearest_k
 from sensorloom.operators.boosting import adaboost
 from sensorloom.operators.metrics import classification_metrics, log_loss, top_metric
@@ -80,47 +80,9 @@ def clf_random_forest(train, test, trees: int = TREES, seed: int = 0):
     return _ml(RandomForestClassifier(numTrees=trees, impurity="gini", maxDepth=30, seed=seed), train, test)
 
 
-def clf_extra_trees(train, test, trees: int = TREES, cuts: int = 31, seed: int = 0):
-    """Trees without bootstrap whose thresholds are random: every tree has random cut points of its own.
-
-    A column's cut points are drawn between its least and greatest value. Trees are fitted side
-    by side and their class probabilities averaged.
-    """
-    long = train.select(F.posexplode(vector_to_array("features")).alias("f", "v"))
-    bounds = long.groupBy("f").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("f").collect()
-    lo, hi = (np.array([r[k] for r in bounds]) for k in ("lo", "hi"))
-    classes = int(train.agg(F.max("label")).first()[0]) + 1
-
-    def bucketed(df: DataFrame, tree: int) -> DataFrame:
-        rng = np.random.default_rng([seed, tree])
-        points = np.sort(lo[:, None] + (hi - lo)[:, None] * rng.random((len(lo), cuts)), axis=1)
-
-        @F.pandas_udf("array<double>")
-        def bucket(x: pd.Series) -> pd.Series:
-            values = np.stack(x.to_numpy()).astype(float)
-            return pd.Series(list(np.stack([np.searchsorted(p, values[:, f]) for f, p in enumerate(points)], axis=1).astype(float)))
-
-        return df.withColumn("features", array_to_vector(bucket(vector_to_array("features"))))
-
-    def fitted(tree: int):
-        est = RandomForestClassifier(
-            numTrees=1, bootstrap=False, featureSubsetStrategy="sqrt", maxBins=cuts + 1, maxDepth=30, seed=seed + tree
-        )
-        return est.fit(bucketed(train, tree))
-
-    train = cut_lineage(train, "trees").cache()
-    with ThreadPoolExecutor(8) as pool:
-        models = list(pool.map(fitted, range(trees)))
-    train.unpersist()
-    # Probabilities add up over a few trees at a time, so that no plan holds all of them.
-    votes = test.withColumn("_p", F.array_repeat(F.lit(0.0), classes))
-    for at in range(0, trees, 20):
-        for tree in range(at, min(at + 20, trees)):
-            out = models[tree].transform(bucketed(votes.withColumn("_raw", F.col("features")), tree))
-            votes = out.select("id", "label", "_raw", F.zip_with("_p", vector_to_array("probability"), lambda a, b: a + b).alias("_p")).withColumnRenamed("_raw", "features")
-        votes = cut_lineage(votes, "votes")
-    best = (F.array_position("_p", F.array_max("_p")) - 1).cast("double")
-    return votes.select("id", "label", best.alias("prediction"), (F.get("_p", F.col("label").cast("int")) / trees).alias("p_true"))
+def clf_extra_trees(train, test, trees: int = TREES, seed: int = 0):
+    """Full trees without bootstrap, with a random threshold for each node and feature tried."""
+    return extra_trees.predict(extra_trees.grow(extra_trees.as_rows(train), trees, seed), extra_trees.as_rows(test))
 
 
 def clf_logistic(train, test):
