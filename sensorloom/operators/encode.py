@@ -111,7 +111,7 @@ def encode_and_scale_values_sparse(
 ) -> DataFrame:
     """Numbers scaled into ``sc_0``; of other values the code of the 1 as ``cv_code``, null for numbers, and ``cv_width``.
 
-    Free text in the values may have any number of categories. Numbers do not take part in the
+    Free text in the values may have any number of categories; a null is one of them. Numbers do not take part in the
     join: they are the bulk of the rows and have no code.
     """
     rows = df.withColumns({"_kind": value_type(value), "sc_0": numeric_value(value)})
@@ -120,7 +120,7 @@ def encode_and_scale_values_sparse(
     width = codes.agg(F.count("*").alias("n")).scalar()
     named = codes.select(F.col(value).alias("_category"), F.col("code").alias("cv_code"))
     scaled = min_max_scale(rows, ["sc_0"]).withColumn("sc_0", F.coalesce("sc_0", F.lit(0.0)))
-    coded = scaled.filter(other).join(named, F.col(value) == F.col("_category"), "left").drop("_category")
+    coded = scaled.filter(other).join(named, F.col(value).eqNullSafe(F.col("_category")), "left").drop("_category")
     plain = scaled.filter(~other).withColumn("cv_code", F.lit(None).cast("long"))
     return coded.unionByName(plain).withColumn("cv_width", width).drop("_kind")
 

@@ -120,3 +120,16 @@ def test_median_and_previous_value(spark):
         expected[i] = last.get(k)
         last[k] = i
     assert {r["seq"]: r["previous"] for r in A.previous_value(df, ["k"], "seq").collect()} == expected
+
+
+def test_sparse_value_codes_have_no_limit(spark):
+    texts = spark.range(E.MAX_CATEGORIES + 5).select("id", F.concat(F.lit("s"), "id").alias("value"))
+    more = spark.createDataFrame([(20_000, "2"), (20_001, "4"), (20_002, None), (20_003, "s7")], "id long, value string")
+    df = texts.unionByName(more).withColumns({"datetime": F.timestamp_seconds("id"), "seq": F.col("id")})
+    got = {r["id"]: r for r in E.encode_and_scale_values_sparse(df).collect()}
+    assert len(got) == E.MAX_CATEGORIES + 9
+    assert {r["cv_width"] for r in got.values()} == {E.MAX_CATEGORIES + 6}  # a null is a category
+    assert all(got[i]["cv_code"] == i and got[i]["sc_0"] == 0.0 for i in range(0, E.MAX_CATEGORIES + 5, 97))
+    assert [(got[i]["cv_code"], got[i]["sc_0"]) for i in range(20_000, 20_004)] == [
+        (None, 0.0), (None, 1.0), (E.MAX_CATEGORIES + 5, 0.0), (7, 0.0)
+    ]
