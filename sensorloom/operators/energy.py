@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sensorloom.functions.ids import unique_id_flux
 from sensorloom.functions.values import numeric_value
 from sensorloom.sources.readings import scan_numeric_range
 
+_LONG_MAX = 2**63 - 1
+
 
 def meter_readings(df: DataFrame, signed: bool = False, **scan) -> DataFrame:
     """Plain numbers with the dashboard's id, as doubles."""
@@ -28,17 +31,41 @@ def min_max_table(meters: DataFrame, keys: Sequence[str] = ("siteRef", "uniqueID
     return meters.groupBy(*keys).agg(F.min("value").alias("min_value"), F.max("value").alias("max_value"))
 
 
+def _micros(df: DataFrame, column: str) -> Column:
+    """Microseconds of a time; one without a zone is never put through the session's, which has gaps."""
+    at = F.col(column)
+    if df.schema[column].dataType.typeName() != "timestamp_ntz":
+        return F.unix_micros(at.cast("timestamp"))
+    minutes = (F.unix_date(at.cast("date")).cast("long") * 24 + F.hour(at)) * 60 + F.minute(at)
+    return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("long")
+
+
+def _time_then_value(micros: Column, value: Column, null_first: bool) -> Column:
+    """A fixed-width number that orders like (time, value), a null value before or after all others.
+
+    The bits of a double order like the double once those of negative ones are turned; times of
+    the years 1 to 9999 and 64 such bits fit into 38 digits.
+    """
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value).cast("long")
+    turned = F.when(bits < 0, bits.bitwiseXOR(F.lit(_LONG_MAX))).otherwise(bits)
+    none = F.lit(-_LONG_MAX - 1) if null_first else F.lit(_LONG_MAX)
+    rank = F.when(value.isNull(), none).otherwise(turned)
+    whole = "decimal(20,0)"
+    return micros.cast(whole) * F.lit(Decimal(2**64)).cast(whole) + rank.cast(whole)
+
+
 def meter_delta_first_last(meters: DataFrame, keys: Sequence[str] = ("siteRef", "uniqueID")) -> DataFrame:
     """Last minus first reading per sensor; of readings at one time the greatest is last, the least first.
 
-    First and last times are an aggregate of fixed width, so no task sorts readings; joined
-    back, they leave a few readings per sensor to pick from.
+    Time and value are ordered by one number of fixed width, so a single hash aggregate with a
+    map-side phase finds both ends: the readings are read once, and neither sorted nor moved.
     """
-    ends = meters.groupBy(*keys).agg(F.min("datetime").alias("_first"), F.max("datetime").alias("_last"))
-    at_first, at_last = F.col("datetime") == F.col("_first"), F.col("datetime") == F.col("_last")
-    rows = meters.join(ends, list(keys)).filter(at_first | at_last)
-    delta = F.max(F.when(at_last, F.col("value"))) - F.min(F.when(at_first, F.col("value")))
-    return rows.groupBy(*keys).agg(delta.alias("delta"))
+    timed = meters.filter("datetime is not null")
+    at, value = _micros(timed, "datetime"), F.col("value").cast("double")
+    ends = timed.withColumns(
+        {"_v": value, "_lo": _time_then_value(at, value, False), "_hi": _time_then_value(at, value, True)}
+    )
+    return ends.groupBy(*keys).agg((F.max_by("_v", "_hi") - F.min_by("_v", "_lo")).alias("delta"))
 
 
 def semi_enduse(meters: DataFrame, labels: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from sensorloom.functions.values import split_datetime
 from sensorloom.operators import aggregate as A
 from sensorloom.operators import dedupe as D
 from sensorloom.operators import encode as E
+from sensorloom.operators import energy
 
 T = datetime.datetime
 COLS = "seq long, datetime timestamp_ntz, k string, value string"
@@ -133,3 +134,29 @@ def test_sparse_value_codes_have_no_limit(spark):
     assert [(got[i]["cv_code"], got[i]["sc_0"]) for i in range(20_000, 20_004)] == [
         (None, 0.0), (None, 1.0), (E.MAX_CATEGORIES + 5, 0.0), (7, 0.0)
     ]
+
+
+@pytest.mark.parametrize("zone", ["timestamp", "timestamp_ntz"])
+def test_first_and_last_in_one_pass(spark, zone):
+    rng = random.Random(3)
+    odd = [0.0, -0.0, -1.5, 1e300, -1e300, 5e-324, -5e-324, float("inf"), None]
+    times = ["0001-01-01 00:00:00", "1969-12-31 23:59:59.999999", "2020-03-29 02:30:00.000001", "2020-03-29 03:30:00", "9999-12-31 23:00:00"]
+    rows = [(f"m{rng.randrange(40)}", rng.choice(times), rng.choice(odd)) for _ in range(400)]
+    rows += [("none", None, 1.0), ("same", times[2], 4.0), ("same", times[2], -4.0)]
+    df = spark.createDataFrame(rows, "uniqueID string, t string, value double")
+    df = df.select(F.lit("s").alias("siteRef"), "uniqueID", F.col("t").cast(zone).alias("datetime"), "value")
+    got = energy.meter_delta_first_last(df)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Join" not in plan and plan.count("Exchange") == 1
+
+    want = {}
+    for m in {r[0] for r in rows} - {"none"}:
+        mine = [r for r in rows if r[0] == m]
+        first, last = min(r[1] for r in mine), max(r[1] for r in mine)
+        lo = [r[2] for r in mine if r[1] == first and r[2] is not None]
+        hi = [r[2] for r in mine if r[1] == last and r[2] is not None]
+        want[m] = max(hi) - min(lo) if lo and hi else None
+    for r in got.collect():
+        w = want.pop(r["uniqueID"])
+        assert r["delta"] == w or (w != w and r["delta"] != r["delta"])
+    assert not want
