@@ -132,6 +132,39 @@ def test_ward_matches_the_naive_algorithm(spark, monkeypatch):
     assert got == {frozenset(rows[i][0] for i in g) for g in groups}
 
 
+@pytest.mark.parametrize("how", ["average", "complete", "ward"])
+def test_linkages_measure_only_clusters_that_lost_their_nearest(spark, monkeypatch, how):
+    """Each point of a growing sequence is nearest to the one before it, so a round merges one pair."""
+    monkeypatch.setattr(B, "BLOCK_ROWS", 5)
+    rows = [(f"p{i}", [3.0**i], []) for i in range(10)]
+    df = spark.createDataFrame(rows, "id string, x array<double>, c array<string>")
+    measured, formed = [], L.block_pairs
+
+    def counting(left, right, **options):
+        measured.append((left.count(), right.count()))
+        return formed(left, right, **options)
+
+    monkeypatch.setattr(L, "block_pairs", counting)
+    run = L.ward(df, 3) if how == "ward" else L.agglom(df, 3, how)
+    got = partition((r["id"], r["cluster"]) for r in run.collect())
+    assert got == {frozenset(f"p{i}" for i in range(8)), frozenset(["p8"]), frozenset(["p9"])}
+    # Asked for are the cluster that has just merged and the point after it, with their members.
+    want = [(10, 10)] + ([(2, 10 - i) for i in range(1, 5)] if how == "ward" else [(i + 2, 10) for i in range(1, 5)])
+    assert measured[:5] == want
+
+
+@pytest.mark.parametrize("how", ["average", "complete"])
+def test_linkages_of_a_grid_end_however_ties_round(spark, monkeypatch, how):
+    rows = [(f"g{i}{j}", [i / 7, j / 7], ["k"]) for i in range(4) for j in range(4)]
+    df = spark.createDataFrame(rows, "id string, x array<double>, c array<string>")
+    found = []
+    for block in (6, 1024):
+        monkeypatch.setattr(B, "BLOCK_ROWS", block)
+        found.append(partition((r["id"], r["cluster"]) for r in L.agglom(df, 4, how).collect()))
+        assert len(found[-1]) == 4 and sum(map(len, found[-1])) == 16
+    assert how == "average" or found[0] == found[1]
+
+
 def test_spanning_tree_weight(spark, block_rows):
     rows, df = make(spark, n=70, copies=0)
     d = gower_matrix(rows)
