@@ -13,12 +13,12 @@ from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
     OneVsRest,
-    RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from sensorloom.operators import extra_trees
+from sensorloom.operators.bagged_trees import ForestClassifier
 from sensorloom.operators.blocks import nearest_k
 from sensorloom.operators.boosting import adaboost
 from sensorloom.operators.metrics import classification_metrics, log_loss, top_metric
@@ -49,6 +49,11 @@ def _ml(estimator, train: DataFrame, test: DataFrame) -> DataFrame:
     return _with_p_true(estimator.fit(train).transform(test))
 
 
+def _of_forest(estimator: ForestClassifier, train: DataFrame, test: DataFrame) -> DataFrame:
+    out = estimator.fit(train).transform(test)
+    return out.select("id", "label", "prediction", F.get("probability", F.col("label").cast("int")).alias("p_true"))
+
+
 def _softmax_of_margins(out: DataFrame) -> DataFrame:
     """One-vs-rest margins as probabilities."""
     raw = vector_to_array("rawPrediction")
@@ -67,9 +72,7 @@ def _one_vs_rest(classifier, train: DataFrame, test: DataFrame) -> DataFrame:
 
 def clf_bagging(train, test, trees: int = TREES, seed: int = 0):
     """Bagged full trees: every split may use every feature."""
-    return _ml(
-        RandomForestClassifier(numTrees=trees, featureSubsetStrategy="all", maxDepth=30, seed=seed), train, test
-    )
+    return _of_forest(ForestClassifier(trees, tries="all", seed=seed), train, test)
 
 
 def clf_decision_tree(train, test, seed: int = 0):
@@ -77,7 +80,7 @@ def clf_decision_tree(train, test, seed: int = 0):
 
 
 def clf_random_forest(train, test, trees: int = TREES, seed: int = 0):
-    return _ml(RandomForestClassifier(numTrees=trees, impurity="gini", maxDepth=30, seed=seed), train, test)
+    return _of_forest(ForestClassifier(trees, seed=seed), train, test)
 
 
 def clf_extra_trees(train, test, trees: int = TREES, seed: int = 0):
