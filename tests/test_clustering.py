@@ -286,6 +286,15 @@ def test_fuzzy_memberships_add_up(spark):
     assert all(r["s"] == pytest.approx(1.0) for r in sums.collect())
 
 
+def test_fuzzy_rounds_equal_plain_ones(spark):
+    rng = np.random.default_rng(11)
+    x = rng.random((9, 2))
+    out = X.fuzzy_cmeans(spark.createDataFrame([(f"p{i}", v.tolist()) for i, v in enumerate(x)], "id string, x array<double>"), 12, m=2.0).collect()
+    # As many clusters as points at most: each point is a centre of its own.
+    assert len({r["cluster"] for r in out}) == 9
+    assert all(max(r["memberships"]) == pytest.approx(1.0) and len(r["memberships"]) == 9 for r in out)
+
+
 def test_mds_keeps_planar_distances(spark, block_rows):
     rows, df = make(spark, n=30, cats=None, copies=0)
     x = np.array([r[1] for r in rows])
