@@ -371,6 +371,23 @@ def test_nearest_k_meets_near_blocks_only(spark, monkeypatch, k):
     assert sum(seen) < 25 * 25 / 3
 
 
+@pytest.mark.parametrize("shift", [0.0, 1e4])
+def test_closest_points_are_those_of_all_distances(monkeypatch, shift):
+    rng = np.random.default_rng(12)
+    x = np.round(rng.normal(size=(300, 16)), 1) + shift
+    x[100:140] = x[0]  # copies: ties go by id
+    block = lambda at: B.Block(np.array([f"p{i * 7919 % 300:03d}" for i in at], dtype=object), x[at], np.empty((len(at), 0), dtype=object), np.empty((len(at), 0)))
+    a, b = block(np.arange(0, 120)), block(np.arange(60, 300))
+    full = B.euclidean(a, b)
+    monkeypatch.setattr(B.np, "subtract", None)  # no table of differences is formed
+    for skip in (False, True):
+        d = np.where(a.ids[:, None] == b.ids[None, :], np.inf, full) if skip else full
+        i, j, found = B._closest(a, b, 5, B.euclidean, skip)
+        for row in range(len(a)):
+            want = sorted((d[row, c], b.ids[c]) for c in range(len(b)))[:5]
+            assert [(v, b.ids[c]) for v, c in zip(found[i == row], j[i == row])] == want
+
+
 def test_nearest_k_of_few_points(spark):
     points = spark.createDataFrame([("a", [0.0], []), ("b", [1.0], [])], "id string, x array<double>, c array<string>")
     got = B.nearest_k(points, points, 5, B.euclidean, skip_self=True).collect()
