@@ -33,8 +33,8 @@ PRECISION = 0.95
 LEAST_WEIGHT = 10
 #: No threshold is below this score: unseen patterns may happen to hold no failing case.
 LEAST_SCORE = 0.5
-#: Distinct feature rows that the trees are fitted on at most, the most frequent first.
-PATTERNS = 50_000
+#: Slices of the scores in which a kind's running weights are added up.
+SLICES = 1024
 ROUNDS = 20
 DEPTH = 4
 
@@ -288,24 +288,38 @@ def _scored(trees, rows: DataFrame) -> DataFrame:
     return scored.select(*rows.columns, "score")
 
 
+def _weights_from(scored: DataFrame) -> DataFrame:
+    """``kind, score, right, all``: the weight of base patterns and of all patterns from each score on.
+
+    Weights are added up within slices of the scores, then those of the slices above, so that no
+    task takes all patterns of a kind.
+    """
+    each = scored.groupBy("kind", "score").agg(F.sum(F.col("weight") * F.col("label")).alias("right"), F.sum("weight").alias("all"))
+    each = cut_lineage(each.withColumn("slice", F.floor(F.col("score") * SLICES)), "scores")
+    # A row per kind and slice.
+    above = W.partitionBy("kind").orderBy(F.desc("slice")).rowsBetween(W.unboundedPreceding, -1)
+    slices = each.groupBy("kind", "slice").agg(F.sum("right").alias("_right"), F.sum("all").alias("_all"))
+    slices = slices.select("kind", "slice", *[F.coalesce(F.sum(f"_{c}").over(above), F.lit(0.0)).alias(f"{c}_above") for c in ("right", "all")])
+    down = W.partitionBy("kind", "slice").orderBy(F.desc("score"))
+    return each.join(slices, ["kind", "slice"]).select(
+        "kind", "score", *[(F.sum(c).over(down) + F.col(f"{c}_above")).alias(c) for c in ("right", "all")]
+    )
+
+
 def fit(candidates: DataFrame, precision: float = PRECISION, rounds: int = ROUNDS, depth: int = DEPTH) -> SpanModel | None:
     """Trees and thresholds from rows of features and ``label`` (0, 1 or null); nothing without both labels."""
     known = candidates.filter("label IS NOT NULL").groupBy(*_FEATURES, "label").agg(F.count("*").cast("double").alias("weight"))
-    order = F.xxhash64(*_FEATURES, "label")
-    counted = cut_lineage(known.orderBy(F.desc("weight"), order).limit(PATTERNS), "patterns")
+    counted = cut_lineage(known, "patterns")
     if counted.select("label").distinct().count() < 2:
         return None
-    counted = counted.withColumn("unseen", F.pmod(order, F.lit(3)) == 0)
+    counted = counted.withColumn("unseen", F.pmod(F.xxhash64(*_FEATURES, "label"), F.lit(3)) == 0)
     vectors = VectorAssembler(inputCols=list(_FEATURES), outputCol="features")
     seen = counted.filter("NOT unseen")
     if seen.select("label").distinct().count() < 2:
         seen = counted
     gbt = GBTClassifier(labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=depth, seed=1)
     trees = gbt.fit(vectors.transform(seen.withColumn("label", F.col("label").cast("double"))))
-    # At most PATTERNS rows, four kinds.
-    down = W.partitionBy("kind").orderBy(F.desc("score"))
-    held = _scored(trees, counted.filter("unseen"))
-    held = held.withColumn("right", F.sum(F.col("weight") * F.col("label")).over(down)).withColumn("all", F.sum("weight").over(down))
+    held = _weights_from(_scored(trees, counted.filter("unseen")))
     enough = (F.col("right") >= precision * F.col("all")) & (F.col("right") >= LEAST_WEIGHT)
     good = held.filter(enough & (F.col("score") >= LEAST_SCORE))
     return SpanModel(trees, {r["kind"]: r["least"] for r in good.groupBy("kind").agg(F.min("score").alias("least")).collect()})

@@ -4,7 +4,9 @@ import hashlib
 import random
 import re
 
-from sensorloom.llm.private_data import KINDS, _labelled, fit, personal_data, scan
+from pyspark.sql import functions as F
+
+from sensorloom.llm.private_data import _FEATURES, KINDS, _labelled, _weights_from, fit, personal_data, scan
 from sensorloom.scratch import cut_lineage
 
 PATTERNS = {
@@ -122,3 +124,24 @@ def test_long_runs_take_linear_time(spark):
 def test_plan_has_no_python(spark):
     plan = personal_data(spark.createDataFrame(corpus(7, 80), "doc_id long, text string"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_rare_patterns_take_part_however_many_there_are(spark):
+    """51,000 frequent patterns of one kind do not keep 300 rare ones of another kind from a threshold."""
+    n = F.col("id")
+    often = spark.range(102_000).select((n % 51_000).alias("id"), F.lit(0).alias("kind"))
+    rare = spark.range(51_000, 51_300).select("id", F.lit(3).alias("kind"))
+    rows = often.unionByName(rare).withColumns({f: F.lit(0) for f in _FEATURES if f != "kind"})
+    rows = rows.withColumns({"digits": n % 25, "groups": F.floor(n / 25) % 9, "marks": F.floor(n / 225), "plus": n % 2, "label": (n % 2).cast("int")})
+    assert set(fit(rows, rounds=2, depth=3).thresholds) == {0, 3}
+
+
+def test_weights_from_each_score_on(spark):
+    rng = random.Random(11)
+    rows = [(rng.randint(0, 3), round(rng.random(), 2) if i % 2 else rng.random(), float(rng.randint(1, 9)), rng.randint(0, 1)) for i in range(800)]
+    rows += [(0, 1.0, 2.0, 1), (1, 0.0, 3.0, 0)]
+    got = _weights_from(spark.createDataFrame(rows, "kind int, score double, weight double, label int")).collect()
+    assert sorted({(r[0], r[1]) for r in rows}) == sorted((r["kind"], r["score"]) for r in got)
+    for r in got:
+        mine = [x for x in rows if x[0] == r["kind"] and x[1] >= r["score"]]
+        assert (r["right"], r["all"]) == (sum(x[2] * x[3] for x in mine), sum(x[2] for x in mine))
