@@ -85,7 +85,7 @@ def clf_random_forest(train, test, trees: int = TREES, seed: int = 0):
 
 def clf_extra_trees(train, test, trees: int = TREES, seed: int = 0):
     """Full trees without bootstrap, with a random threshold for each node and feature tried."""
-    return extra_trees.predict(extra_trees.grow(extra_trees.as_rows(train), trees, seed), extra_trees.as_rows(test))
+    return extra_trees.fit(extra_trees.as_rows(train), trees, seed).predict(extra_trees.as_rows(test))
 
 
 def clf_logistic(train, test):

@@ -55,3 +55,32 @@ def test_result_does_not_depend_on_the_partitions_and_unseen_classes_have_no_pro
 def test_one_class_is_one_leaf(spark):
     model = X.grow(rows_of(spark, np.eye(4), [1] * 4), trees=3)
     assert (model.left == -1).all() and model.counts.tolist() == [[0.0, 4.0]] * 3
+
+
+@pytest.mark.parametrize("cells", [120, 20_000_000])
+def test_written_trees_predict_as_held_ones(spark, monkeypatch, cells):
+    """With and without an upper phase; trees are written, and few aggregates serve all their levels."""
+    monkeypatch.setattr(X, "LOCAL_CELLS", cells)
+    passes = []
+    real = X._bounds
+    monkeypatch.setattr(X, "_bounds", lambda *a: passes.append(1) or real(*a))
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(90, 3)), 1)
+    x[10:60] = x[0]  # more alike rows than a task takes, of several classes
+    label = rng.integers(0, 3, 90)
+    forest = X.fit(rows_of(spark, x, label), trees=5, seed=2)
+    assert bool(passes) == (cells == 120) and forest.table.count() > 0
+    model = forest.held()
+    for tree in range(5):
+        ends = model.leaves(x)[:, tree]
+        for leaf in np.unique(ends):
+            mine = ends == leaf
+            assert model.counts[leaf].tolist() == np.bincount(label[mine], minlength=3).tolist()
+            assert len(set(label[mine])) == 1 or len(np.unique(x[mine], axis=0)) == 1
+    test = rows_of(spark, rng.normal(size=(40, 3)), [0, 1, 2, 9] * 10)
+    key = lambda r: r["id"]
+    got, want = (sorted(p.collect(), key=key) for p in (forest.predict(test), X.predict(model, test)))
+    assert len(got) == 40
+    for a, b in zip(got, want):
+        assert (a["id"], a["label"]) == (b["id"], b["label"])
+        assert a["p_true"] == pytest.approx(b["p_true"], abs=1e-9) and (a["p_true"] is None) == (a["label"] == 9)
