@@ -393,3 +393,31 @@ def test_nearest_k_of_few_points(spark):
     got = B.nearest_k(points, points, 5, B.euclidean, skip_self=True).collect()
     assert sorted((r.id, r["rank"], r.neighbour) for r in got) == [("a", 1, "b"), ("b", 1, "a")]
     assert B.nearest_k(points, points.limit(0), 5, B.euclidean).collect() == []
+
+
+@pytest.mark.parametrize("within", [None, 0.3])
+def test_tiles_reduce_every_pair_of_blocks_once_and_send_a_block_once_to_each(spark, monkeypatch, within):
+    monkeypatch.setattr(B, "BLOCK_ROWS", 3)
+    rng = np.random.default_rng(8)
+    rows = [(f"p{i:03d}", [float(v) for v in rng.random(2)], [rng.choice(["u", "v"])]) for i in range(70)]
+    points = B.blocked(spark.createDataFrame(rows, "id string, x array<double>, c array<string>"))
+    sent = []
+    real = B._tiled
+    monkeypatch.setattr(B, "_tiled", lambda *a: sent.append(real(*a)) or sent[-1])
+
+    def fn(a, b, same):
+        d = B.gower(a, b)
+        i, j = np.nonzero(np.triu(d <= 0.3, 1) if same else d <= 0.3)
+        return {"a": a.ids[i], "b": b.ids[j], "d": d[i, j]}
+
+    pairs = B.block_pairs(points, within=within)
+    got = B.reduce_pairs(pairs, fn, "a string, b string, d double").collect()
+    want = {}
+    for i, (p, x, c) in enumerate(rows):
+        for q, y, k in rows[i + 1 :]:
+            d = (abs(x[0] - y[0]) + abs(x[1] - y[1]) + (c != k)) / 3
+            if d <= 0.3:
+                want[p, q] = d
+    assert len(got) == len(want)
+    assert all(want[tuple(sorted((r["a"], r["b"])))] == pytest.approx(r["d"], abs=1e-12) for r in got)
+    assert len(sent) == 1 and sent[0].count() < 1.5 * pairs.count()
