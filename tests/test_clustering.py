@@ -421,3 +421,63 @@ def test_tiles_reduce_every_pair_of_blocks_once_and_send_a_block_once_to_each(sp
     assert len(got) == len(want)
     assert all(want[tuple(sorted((r["a"], r["b"])))] == pytest.approx(r["d"], abs=1e-12) for r in got)
     assert len(sent) == 1 and sent[0].count() < 1.5 * pairs.count()
+
+
+def count_visitors(monkeypatch, *modules):
+    """Counts the points that go to other blocks."""
+    seen = []
+    real = B.visits
+
+    def counted(*args):
+        came = real(*args)
+        seen.append(came.agg(F.sum("n1")).first()[0] or 0)
+        return came
+
+    for module in modules:
+        monkeypatch.setattr(module, "visits", counted)
+    return seen
+
+
+def far_groups(spark, n=240):
+    """Three groups far apart, so that late rounds join components that fill their blocks."""
+    rng = np.random.default_rng(21)
+    x = rng.random((n, 3)) + 20 * (np.arange(n) % 3)[:, None]
+    rows = [(f"p{i * 97 % n:03d}", [float(v) for v in p], []) for i, p in enumerate(x)]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    return rows, d, spark.createDataFrame(rows, "id string, x array<double>, c array<string>")
+
+
+def test_spanning_forest_sends_only_points_within_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK_ROWS", 16)
+    rows, d, df = far_groups(spark)
+    seen = count_visitors(monkeypatch, Sp)
+    got = Sp.spanning_forest(B.blocked(df), metric=B.euclidean).collect()
+    i, j, _ = B._spanning(d, np.array([r[0] for r in rows], dtype=object), math.inf)
+    assert {(e.a, e.b) for e in got} == {tuple(sorted((rows[a][0], rows[b][0]))) for a, b in zip(i, j)}
+    # The last round looks for edges between whole groups: a point goes to its nearest block, then most stay at home.
+    assert len(seen) >= 6 and max(seen) <= 240 and seen[-1] < 60
+
+
+def test_weight_reaching_stops_at_enough(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK_ROWS", 16)
+    rows, d, df = far_groups(spark)
+    seen = count_visitors(monkeypatch, B)
+    blocked = B.blocked(df.withColumn("w", F.lit(1.0)))
+    whole = dict(zip([r[0] for r in rows], (d <= 0.3).sum(1)))
+    got = {r["id"]: r["weight"] for r in B.weight_reaching(blocked, 0.3, 4, metric=B.euclidean).collect()}
+    assert got.keys() == whole.keys()
+    assert all(got[i] == whole[i] if whole[i] < 4 else 4 <= got[i] <= whole[i] for i in whole)
+    assert seen[0] < 240 * 6
+
+
+def test_cells_hold_equal_shares_and_are_small_in_all_features(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(5)
+    rows = [(f"p{i:04d}", [float(v) for v in rng.random(2)], ["u" if i % 4 else "v"]) for i in range(1024)]
+    got = B.blocked(spark.createDataFrame(rows, "id string, x array<double>, c array<string>")).toPandas()
+    wide = [max(np.ptp(np.stack(g["x"]), axis=0)) for _, g in got.groupby("block")]
+    assert got["block"].nunique() == 64 and got.groupby("block").size().max() <= 20
+    assert np.mean(wide) < 0.35 and all(len({tuple(c) for c in g["c"]}) == 1 for _, g in got.groupby("block"))
+    # Equal points differ in their ids only, and still fill no block beyond its size.
+    same = spark.createDataFrame([(f"p{i:04d}", [1.0], []) for i in range(100)], "id string, x array<double>, c array<string>")
+    assert B.blocked(same).groupBy("block").count().agg(F.max("count")).first()[0] <= 16
