@@ -13,6 +13,7 @@ from sensorloom.operators import linkage as L
 from sensorloom.operators import mixtures as Mx
 from sensorloom.operators import spanning as Sp
 from sensorloom.operators.flow import cluster
+from sensorloom.scratch import cut_lineage
 
 
 def make(spark, n=60, seed=1, dims=2, cats=("u", "v", "w"), copies=20):
@@ -481,3 +482,30 @@ def test_cells_hold_equal_shares_and_are_small_in_all_features(spark, monkeypatc
     # Equal points differ in their ids only, and still fill no block beyond its size.
     same = spark.createDataFrame([(f"p{i:04d}", [1.0], []) for i in range(100)], "id string, x array<double>, c array<string>")
     assert B.blocked(same).groupBy("block").count().agg(F.max("count")).first()[0] <= 16
+
+
+@pytest.mark.parametrize("skip", [False, True])
+def test_nearest_k_sends_a_block_whole_once_to_a_tile_where_most_of_its_points_go(spark, monkeypatch, skip):
+    monkeypatch.setattr(B, "BLOCK_ROWS", 8)
+    rng = np.random.default_rng(31)
+    # Among many features each bounding box is in reach of nearly all points.
+    x = np.round(rng.normal(size=(240, 12)), 1)
+    x[200:212] = x[0]  # copies: ties go by id
+    rows = [(f"p{i * 97 % 240:03d}", [float(v) for v in p], [], float(i % 7)) for i, p in enumerate(x)]
+    points = spark.createDataFrame(rows, "id string, x array<double>, c array<string>, label double")
+    seen, sent = count_visitors(monkeypatch, B), []
+    real = B._tiled
+    monkeypatch.setattr(B, "_tiled", lambda *a: sent.append(real(*a)) or sent[-1])
+    got = B.nearest_k(points, points, 4, B.euclidean, carry=["label"], skip_self=skip).collect()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for i, (name, *_) in enumerate(rows):
+        want = sorted((round(d[i, j], 9), rows[j][0], rows[j][3]) for j in range(240) if not (skip and i == j))[:4]
+        mine = sorted((r for r in got if r.id == name), key=lambda r: r["rank"])
+        assert [(round(r.dist, 9), r.neighbour, r.label) for r in mine] == want
+    # 30 blocks have 870 pairs; no point is copied to each of them.
+    assert sum(seen) < 240 * 29 / 4 and sent[0].count() < 870
+
+
+def test_packed_blocks_of_long_rows_lie_in_many_files(spark):
+    rows = spark.range(40).coalesce(1)
+    assert len(cut_lineage(rows, "long", 8).inputFiles()) == 5
