@@ -4,9 +4,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -26,6 +29,9 @@ from sensorloom.scratch import cut_lineage
 
 TREES = 100
 VAR_SMOOTHING = 1e-9
+#: Models of one class against the rest that are fitted at once, and classifiers that are compared at once.
+FITS = 8
+COMPARED = 5
 #: A bound against endless runs only: the solver ends by its tolerance, far below it.
 SVM_ROUNDS = 5000
 
@@ -65,7 +71,7 @@ def _softmax_of_margins(out: DataFrame) -> DataFrame:
 
 
 def _one_vs_rest(classifier, train: DataFrame, test: DataFrame) -> DataFrame:
-    model = OneVsRest(classifier=classifier, parallelism=4).fit(train)
+    model = OneVsRest(classifier=classifier, parallelism=FITS).fit(train)
     model.setRawPredictionCol("rawPrediction")
     return _softmax_of_margins(model.transform(test))
 
@@ -202,14 +208,35 @@ CLASSIFIERS = {
     "boosted_trees": clf_gbt,
 }
 
+#: They take hundreds of rounds.
+SLOW = ("rbf_svm", "boosted_trees", "boosted_stumps")
+
+
+def _at_once(jobs: Sequence[Callable[[], DataFrame]], most: int) -> list[DataFrame]:
+    """What the jobs give, in their order; ``most`` of them run at a time."""
+    with ThreadPoolExecutor(most) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+
 
 def model_comparison(train: DataFrame, test: DataFrame, options: dict[str, dict] | None = None) -> DataFrame:
-    """All classifiers with five metrics each, and the number of metrics each wins."""
+    """All classifiers with five metrics each, and the number of metrics each wins.
+
+    Most of them are many small jobs one after the other, so several run at a time.
+    """
     options = options or {}
     train, test = cut_lineage(train, "train").cache(), cut_lineage(test, "test").cache()
+    # Filled before the threads start, which would all fill it.
+    train.count(), test.count()
+
+    def fitted(name: str) -> DataFrame:
+        return cut_lineage(CLASSIFIERS[name](train, test, **options.get(name, {})), "pred")
+
+    # Those of the most rounds begin first.
+    names = sorted(CLASSIFIERS, key=lambda name: name not in SLOW)
+    preds = dict(zip(names, _at_once([lambda name=name: fitted(name) for name in names], COMPARED)))
     out = None
-    for name, fit in CLASSIFIERS.items():
-        pred = cut_lineage(fit(train, test, **options.get(name, {})), "pred")
+    for name in CLASSIFIERS:
+        pred = preds[name]
         row = classification_metrics(pred).withColumns({"logloss": log_loss(pred).scalar(), "model": F.lit(name)})
         out = row if out is None else out.unionByName(row)
     result = cut_lineage(out.select("model", "accuracy", "precision", "recall", "f1_score", "logloss"), "results")

@@ -1,3 +1,5 @@
+import threading
+
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
@@ -180,3 +182,19 @@ def test_linear_elimination_over_200_000_patterns(spark):
     table = S.rfecv_linear(df, ["b00", "b01", "b07"] + [f"b{k:02d}" for k in range(8, 18)] + ["b02", "b03", "b04", "b05", "b06"], "label", "id").collect()
     assert df.count() > 200_000 and sorted(next(r for r in table if r.num_features == 2).features) == ["b00", "b01"]
     assert next(r for r in table if r.num_features == 2).score == 1.0
+
+
+def test_classifiers_are_compared_at_once(spark, monkeypatch):
+    met = threading.Barrier(2, timeout=30)
+
+    def guess(value):
+        def fit(train, test):
+            met.wait()
+            return test.select("id", "label", F.lit(value).alias("prediction"), F.lit(0.5).alias("p_true"))
+
+        return fit
+
+    monkeypatch.setattr(C, "CLASSIFIERS", {"ones": guess(1.0), "zeros": guess(0.0)})
+    rows = spark.createDataFrame([(str(i), float(i % 4 == 0)) for i in range(8)], "id string, label double")
+    got = C.model_comparison(rows, rows).collect()
+    assert [(r.model, r.accuracy, r.num_best) for r in got] == [("ones", 0.25, 1), ("zeros", 0.75, 5)]
