@@ -509,3 +509,31 @@ def test_nearest_k_sends_a_block_whole_once_to_a_tile_where_most_of_its_points_g
 def test_packed_blocks_of_long_rows_lie_in_many_files(spark):
     rows = spark.range(40).coalesce(1)
     assert len(cut_lineage(rows, "long", 8).inputFiles()) == 5
+
+
+def test_mds_rounds_are_plain_ones_and_write_a_row_for_each_block(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK_ROWS", 16)
+    rows, df = make(spark, n=90, seed=6, dims=3, cats=("u", "v"), copies=10)
+    begin, written, real, first = {}, [], X.cut_lineage, X._start
+
+    def kept(df, name="stage", *more):
+        out = real(df, name, *more)
+        if name == "mds":
+            written.append(out.count())
+        return out
+
+    def started(points):
+        out = real(first(points), "start")
+        begin.update({r["id"]: (r["e0"], r["e1"]) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(X, "cut_lineage", kept)
+    monkeypatch.setattr(X, "_start", started)
+    got = {r["id"]: r["x"] for r in X.mds_2d(df, max_iter=3, eps=-1.0).collect()}
+    d, e = gower_matrix(rows), np.array([begin[r[0]] for r in rows])
+    for _ in range(3):
+        gap = e[:, None] - e[None]
+        have = np.sqrt((gap**2).sum(-1))
+        e = (gap * (d / np.where(have == 0, 1e-5, have))[:, :, None]).sum(axis=1) / len(rows)
+    assert np.array([got[r[0]] for r in rows]) == pytest.approx(e, abs=1e-9)
+    assert len(written) == 3 and max(written) <= 10
